@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import exact, mixing
+from . import exact, mixing, neardup
 
 QUERIES = {
     "op2_mixing": mixing.query_mixing,
+    "op9_near_dedup": neardup.query_near_dedup,
     "op10_exact_dedup": exact.query_exact_dedup,
 }
 
 ORACLES = {
     "op2_mixing": mixing.SQL_MIXING,
+    "op9_near_dedup": neardup.SQL_NEAR_DEDUP,
     "op10_exact_dedup": exact.SQL_EXACT_DEDUP,
 }
