@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact, mixing, neardup
+from . import exact, mixing, neardup, packing
 
 QUERIES = {
+    "op1_packing": packing.query_packing,
     "op2_mixing": mixing.query_mixing,
     "op9_near_dedup": neardup.query_near_dedup,
     "op10_exact_dedup": exact.query_exact_dedup,
