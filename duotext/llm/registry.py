@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact, mixing, neardup, packing
+from . import exact, mixing, neardup, packing, quality
 
 QUERIES = {
     "op1_packing": packing.query_packing,
     "op2_mixing": mixing.query_mixing,
+    "op8_quality": quality.query_quality,
     "op9_near_dedup": neardup.query_near_dedup,
     "op10_exact_dedup": exact.query_exact_dedup,
 }
