@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact, lines, mixing, neardup, packing, quality
+from . import chat, exact, lines, mixing, neardup, packing, quality
 
 QUERIES = {
     "op1_packing": packing.query_packing,
     "op2_mixing": mixing.query_mixing,
     "op4_line_dedup": lines.query_line_dedup,
+    "op7_chat": chat.query_chat,
     "op8_quality": quality.query_quality,
     "op9_near_dedup": neardup.query_near_dedup,
     "op10_exact_dedup": exact.query_exact_dedup,
@@ -16,6 +17,7 @@ QUERIES = {
 ORACLES = {
     "op2_mixing": mixing.SQL_MIXING,
     "op4_line_dedup": lines.SQL_LINE_DEDUP,
+    "op7_chat": chat.SQL_CHAT,
     "op9_near_dedup": neardup.SQL_NEAR_DEDUP,
     "op10_exact_dedup": exact.SQL_EXACT_DEDUP,
 }
