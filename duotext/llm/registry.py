@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, exact, lines, mixing, neardup, packing, quality
+from . import chat, exact, lines, mixing, neardup, packing, quality, tokens
 
 QUERIES = {
     "op1_packing": packing.query_packing,
     "op2_mixing": mixing.query_mixing,
     "op4_line_dedup": lines.query_line_dedup,
+    "op6_token_counts": tokens.query_token_counts,
     "op7_chat": chat.query_chat,
     "op8_quality": quality.query_quality,
     "op9_near_dedup": neardup.query_near_dedup,
