@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, exact, lines, mixing, neardup, packing, quality, tokens
+from . import chat, exact, lines, mixing, neardup, packing, quality, tokens, urls
 
 QUERIES = {
     "op1_packing": packing.query_packing,
     "op2_mixing": mixing.query_mixing,
+    "op3_urls": urls.query_urls,
     "op4_line_dedup": lines.query_line_dedup,
     "op6_token_counts": tokens.query_token_counts,
     "op7_chat": chat.query_chat,
@@ -17,6 +18,7 @@ QUERIES = {
 
 ORACLES = {
     "op2_mixing": mixing.SQL_MIXING,
+    "op3_urls": urls.SQL_URLS,
     "op4_line_dedup": lines.SQL_LINE_DEDUP,
     "op7_chat": chat.SQL_CHAT,
     "op9_near_dedup": neardup.SQL_NEAR_DEDUP,
