@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, exact, lines, mixing, neardup, packing, quality, tokens, urls
+from . import chat, exact, lines, mixing, neardup, packing, passages, quality, tokens, urls
 
 QUERIES = {
     "op1_packing": packing.query_packing,
     "op2_mixing": mixing.query_mixing,
     "op3_urls": urls.query_urls,
     "op4_line_dedup": lines.query_line_dedup,
+    "op5_passages": passages.query_passages,
     "op6_token_counts": tokens.query_token_counts,
     "op7_chat": chat.query_chat,
     "op8_quality": quality.query_quality,
