@@ -23,7 +23,7 @@ def parse_src_tag(tag: Column) -> Column:
     """``pos.gender.number…`` up to the first ``-`` or ``_``: struct of base, pos, gender, number, mood,
     person; verbs have their mood second and person and number as in ``2p``."""
     base = F.trim(F.regexp_extract(F.trim(tag), "^[^-_]*", 0))
-    parts = F.filter(F.transform(F.split(base, r"\."), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(base, r"\."), lambda x: F.trim(x)), lambda x: x != "")
     pos = F.get(parts, F.lit(0))
     verb = pos == "v"
     pn = F.get(F.filter(parts, lambda x: x.rlike(r"^\d[ps]$")), F.lit(0))

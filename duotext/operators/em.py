@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.mathx import diagonal_prior, digamma, log_factorial
 from ..functions.points import SYMMETRISE, invert, none, point
-from ..scratch import discard, written
+from ..scratch import discard, spread, written
 
 NULL_WORD = "<eps>"
 UNSEEN = 1e-9
@@ -27,7 +27,7 @@ def _counted(words: Column) -> Column:
 def cooccurrences(df: DataFrame, chunk_col: str | None = None) -> DataFrame:
     """``row_id, e, f, n, m``: n position pairs of the words, m positions of f. ``e`` includes NULL."""
     keep = ["row_id"] + ([chunk_col] if chunk_col else [])
-    rows = df.where((F.size("src") > 0) & (F.size("tgt") > 0))
+    rows = spread(df.where((F.size("src") > 0) & (F.size("tgt") > 0)), "row_id")
     left = F.concat(F.array(F.struct(F.lit(NULL_WORD).alias("w"), F.lit(1).alias("n"))), _counted(F.col("src")))
     return (
         rows.select(*keep, F.explode(_counted(F.col("tgt"))).alias("t"), left.alias("ss"))
@@ -75,7 +75,7 @@ def train_ttable(df: DataFrame, iterations: int = 5, variational: bool = False,
 
 
 def _positions(df: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    rows = df.where((F.size("src") > 0) & (F.size("tgt") > 0))
+    rows = spread(df.where((F.size("src") > 0) & (F.size("tgt") > 0)), "row_id")
     sources = F.concat(F.array(F.lit(NULL_WORD)), F.col("src"))
     return rows.select("row_id", *keys, F.size("src").alias("ls"), F.size("tgt").alias("lt"), sources.alias("ss"), F.posexplode("tgt").alias("j", "f")).select(
         "row_id", *keys, "ls", "lt", "j", "f", F.posexplode("ss").alias("i", "e")
@@ -99,7 +99,8 @@ def viterbi(df: DataFrame, ttable: DataFrame, keys: tuple[str, ...] = ()) -> Dat
 
 def swapped(df: DataFrame) -> DataFrame:
     """Source and target exchanged."""
-    return df.withColumnsRenamed({"src": "tgt", "tgt": "src"})
+    sides = {"src": F.col("tgt").alias("src"), "tgt": F.col("src").alias("tgt")}
+    return df.select(*[sides.get(c, F.col(c)) for c in df.columns])
 
 
 def align_reverse(df: DataFrame, **settings) -> DataFrame:

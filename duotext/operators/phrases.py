@@ -10,32 +10,44 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import detokenise, strip_markers
+from ..scratch import spread
 from .em import swapped
 
 PAIR = ["src_phrase", "tgt_phrase"]
 
 
+def _reach(side: str, of: str, to: str, pick) -> Column:
+    """Per position of ``side`` the outermost position it is linked to, null without a link."""
+    n = F.size(side)
+    linked = lambda i: F.transform(F.filter("points", lambda p: p[of] == i), lambda p: p[to])
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: pick(linked(i))))
+
+
 def project_spans(df: DataFrame, min_len: int = 1, max_len: int = 3) -> DataFrame:
-    """Source spans ``s0..s1`` (inclusive) with the outermost target links ``t0..t1``."""
+    """Source spans ``s0..s1`` (inclusive) with the outermost target links ``t0..t1``. Each row's links
+    are indexed by position once, before its spans are made."""
     n = F.size("src")
     starts = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(0), n - k), lambda a: F.struct(a.alias("s0"), (a + k - 1).alias("s1"))))
     spans = F.flatten(F.filter(F.transform(F.sequence(F.lit(min_len), F.lit(max_len)), starts), lambda x: x.isNotNull()))
-    inside = F.transform(F.filter("points", lambda p: p["s"].between(F.col("s0"), F.col("s1"))), lambda p: p["t"])
+    indexed = df.withColumns(
+        {
+            "t_low": _reach("src", "s", "t", F.array_min), "t_high": _reach("src", "s", "t", F.array_max),
+            "s_low": _reach("tgt", "t", "s", F.array_min), "s_high": _reach("tgt", "t", "s", F.array_max),
+        }
+    )
+    inside = lambda c: F.slice(c, F.col("span.s0") + 1, F.col("span.s1") - F.col("span.s0") + 1)
     return (
-        df.withColumn("span", F.explode(spans))
-        .withColumns({"s0": F.col("span.s0"), "s1": F.col("span.s1")})
-        .drop("span")
-        .withColumn("ts", inside)
-        .where(F.size("ts") > 0)
-        .withColumns({"t0": F.array_min("ts"), "t1": F.array_max("ts")})
-        .drop("ts")
+        indexed.withColumn("span", F.explode(spans))
+        .withColumns({"s0": F.col("span.s0"), "s1": F.col("span.s1"), "t0": F.array_min(inside("t_low")), "t1": F.array_max(inside("t_high"))})
+        .drop("span", "t_low", "t_high")
+        .where("t0 is not null")
     )
 
 
 def consistent() -> Column:
     """The target span's links lead back to exactly the source span."""
-    back = F.transform(F.filter("points", lambda p: p["t"].between(F.col("t0"), F.col("t1"))), lambda p: p["s"])
-    return (F.array_min(back) == F.col("s0")) & (F.array_max(back) == F.col("s1"))
+    back = lambda c: F.slice(c, F.col("t0") + 1, F.col("t1") - F.col("t0") + 1)
+    return (F.array_min(back("s_low")) == F.col("s0")) & (F.array_max(back("s_high")) == F.col("s1"))
 
 
 def phrase_text(arr: str, start: str, end: str) -> Column:
@@ -65,7 +77,7 @@ _KEEP = ["row_id", *PAIR, "direction", "s_start", "t_start"]
 def extract_phrases(df: DataFrame, min_len: int = 1, max_len: int = 3, rule: str = "edge") -> DataFrame:
     """Consistent pairs of both passes: ``row_id, src_phrase, tgt_phrase, direction, s_start, t_start``;
     direction 0 in the forward pass, -1 in the reverse pass."""
-    df = df.select("row_id", "src", "tgt", "points")
+    df = spread(df.select("row_id", "src", "tgt", "points"), "row_id")
     ahead = _extract(df, min_len, max_len, rule).where("both").select("row_id", *PAIR, F.lit(0).alias("direction"), F.col("s0").alias("s_start"), F.col("t0").alias("t_start"))
     back = _extract(_turned(df), min_len, max_len, rule).where("both").select(
         "row_id", F.col("tgt_phrase").alias("src_phrase"), F.col("src_phrase").alias("tgt_phrase"), F.lit(-1).alias("direction"), F.col("t0").alias("s_start"), F.col("s0").alias("t_start")
@@ -75,7 +87,7 @@ def extract_phrases(df: DataFrame, min_len: int = 1, max_len: int = 3, rule: str
 
 def extract_directed(df: DataFrame, min_len: int = 1, max_len: int = 3, rule: str = "not_only") -> DataFrame:
     """Inconsistent spans too: forward ones get direction 1, reverse ones -1, consistent ones 0 once."""
-    df = df.select("row_id", "src", "tgt", "points")
+    df = spread(df.select("row_id", "src", "tgt", "points"), "row_id")
     ahead = _extract(df, min_len, max_len, rule).select(
         "row_id", *PAIR, F.when(F.col("both"), 0).otherwise(1).alias("direction"), F.col("s0").alias("s_start"), F.col("t0").alias("t_start")
     )

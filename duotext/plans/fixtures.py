@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.points import none, point
 from ..functions.text import tokenise, tokens
+from ..scratch import written
 from ..session import read_table
 
 
@@ -32,11 +33,13 @@ def rule_points(src: str = "src", tgt: str = "tgt"):
 
 def bitext(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = raw_pairs(spark, sf_dir)
-    out = raw.withColumn("src", tokens(tokenise(F.col("src_raw")))).withColumn("tgt", tokens(tokenise(F.col("tgt_raw"))))
-    return out.select(
+    # Written after each step: the next one's lambdas then read columns instead of repeating the step.
+    out = written(raw.withColumn("src", tokens(tokenise(F.col("src_raw")))).withColumn("tgt", tokens(tokenise(F.col("tgt_raw")))), "bitext-tokens")
+    out = out.select(
         (F.col("row_id") % 3).alias("project_id"), "row_id", "src_raw", "tgt_raw", "src", "tgt", rule_points().alias("points"),
         F.when(F.col("row_id") % 13 != 0, (F.col("row_id") * 7919 % 1000) / 1000.0).alias("score"), (F.col("row_id") % 11 == 0).alias("deleted"),
     )
+    return written(out, "bitext")
 
 
 def pseudo(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,8 +47,8 @@ def pseudo(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.filter(F.split(F.regexp_replace(F.lower("text"), "[^a-z]+", " "), " "), lambda x: x != "")
     src = turns.select("row_id", words.alias("src")).where("size(src) > 0")
     same = lambda x: (F.col("row_id") % 7 == 0) | ((F.length(x) < 3) & (F.col("row_id") % 2 == 0))
-    out = src.withColumn("tgt", F.transform("src", lambda x: F.when(same(x), x).otherwise(F.reverse(x))))
-    return out.withColumn("points", F.transform(F.sequence(F.lit(0), F.size("src") - 1), lambda i: point(i, i)))
+    out = written(src, "pseudo-words").withColumn("tgt", F.transform("src", lambda x: F.when(same(x), x).otherwise(F.reverse(x))))
+    return written(out.withColumn("points", F.transform(F.sequence(F.lit(0), F.size("src") - 1), lambda i: point(i, i))), "pseudo")
 
 
 def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,21 +145,21 @@ links as (select row_id, src, tgt, p.s as s, p.t as t from (select row_id, src,
 spans as (select row_id, src, tgt, a as s0, a + k - 1 as s1 from (select row_id, src, tgt, k, unnest(range(len(src) - k + 1)) as a from bitext, (values (1), (2), (3)) v(k))),
 proj as (select x.row_id, any_value(x.src) as src, any_value(x.tgt) as tgt, s0, s1, min(t) as t0, max(t) as t1
          from spans x join links l on l.row_id = x.row_id and l.s between x.s0 and x.s1 group by x.row_id, s0, s1),
-ahead0 as (select p.row_id, any_value(p.src) as src, any_value(p.tgt) as tgt, p.s0, p.s1, p.t0, p.t1, min(l.s) = p.s0 and max(l.s) = p.s1 as both
+ahead0 as (select p.row_id, any_value(p.src) as src, any_value(p.tgt) as tgt, p.s0, p.s1, p.t0, p.t1, min(l.s) = p.s0 and max(l.s) = p.s1 as agrees
           from proj p join links l on l.row_id = p.row_id and l.t between p.t0 and p.t1 group by p.row_id, p.s0, p.s1, p.t0, p.t1),
 rspans as (select row_id, src, tgt, a as t0, a + k - 1 as t1 from (select row_id, src, tgt, k, unnest(range(len(tgt) - k + 1)) as a from bitext, (values (1), (2), (3)) v(k))),
 rproj as (select x.row_id, any_value(x.src) as src, any_value(x.tgt) as tgt, t0, t1, min(s) as s0, max(s) as s1
          from rspans x join links l on l.row_id = x.row_id and l.t between x.t0 and x.t1 group by x.row_id, t0, t1),
-back0 as (select p.row_id, any_value(p.src) as src, any_value(p.tgt) as tgt, p.s0, p.s1, p.t0, p.t1, min(l.t) = p.t0 and max(l.t) = p.t1 as both
+back0 as (select p.row_id, any_value(p.src) as src, any_value(p.tgt) as tgt, p.s0, p.s1, p.t0, p.t1, min(l.t) = p.t0 and max(l.t) = p.t1 as agrees
           from rproj p join links l on l.row_id = p.row_id and l.s between p.s0 and p.s1 group by p.row_id, p.s0, p.s1, p.t0, p.t1),
 texts as (select row_id, {sql_strip("array_to_string(src[s0 + 1 : s1 + 1], ' ')")} as src_phrase,
-                 {sql_strip("array_to_string(tgt[t0 + 1 : t1 + 1], ' ')")} as tgt_phrase, 0 as direction, s0 as s_start, t0 as t_start, both from ahead0
+                 {sql_strip("array_to_string(tgt[t0 + 1 : t1 + 1], ' ')")} as tgt_phrase, 0 as direction, s0 as s_start, t0 as t_start, agrees from ahead0
           union all
-          select row_id, {sql_strip("array_to_string(src[s0 + 1 : s1 + 1], ' ')")}, {sql_strip("array_to_string(tgt[t0 + 1 : t1 + 1], ' ')")}, -1, s0, t0, both from back0),
+          select row_id, {sql_strip("array_to_string(src[s0 + 1 : s1 + 1], ' ')")}, {sql_strip("array_to_string(tgt[t0 + 1 : t1 + 1], ' ')")}, -1, s0, t0, agrees from back0),
 occ as (select row_id, src_phrase, tgt_phrase, direction, s_start, t_start from texts
-        where both and regexp_matches(src_phrase, '^[^[:punct:]](.*[^[:punct:]])?$') and regexp_matches(tgt_phrase, '^[^[:punct:]](.*[^[:punct:]])?$')),
-directed as (select row_id, src_phrase, tgt_phrase, case when direction = 0 and not both then 1 else direction end as direction, s_start, t_start from texts
-        where (direction = 0 or not both) and regexp_matches(src_phrase, '[^[:punct:]\\s]') and regexp_matches(tgt_phrase, '[^[:punct:]\\s]')),
+        where agrees and regexp_matches(src_phrase, '^[^[:punct:]](.*[^[:punct:]])?$') and regexp_matches(tgt_phrase, '^[^[:punct:]](.*[^[:punct:]])?$')),
+directed as (select row_id, src_phrase, tgt_phrase, case when direction = 0 and not agrees then 1 else direction end as direction, s_start, t_start from texts
+        where (direction = 0 or not agrees) and regexp_matches(src_phrase, '[^[:punct:]\\s]') and regexp_matches(tgt_phrase, '[^[:punct:]\\s]')),
 by_row as (select src_phrase, tgt_phrase, row_id, max(direction) as direction, count(*) as k from occ group by all),
 counts as (select src_phrase, tgt_phrase, max(direction) as direction, count(*) as num_occurrences, sum(k)::bigint as num_emissions from by_row group by 1, 2)"""
 

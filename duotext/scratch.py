@@ -43,3 +43,9 @@ def discard(df: DataFrame) -> None:
     for d in dirs:
         path = spark._jvm.org.apache.hadoop.fs.Path(d)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal rows out before each of them is expanded many times: a small file is one partition, and
+    expanding it there would be one task. The rows dealt are small against what they become."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
