@@ -29,8 +29,10 @@ def cooccurrences(df: DataFrame, chunk_col: str | None = None) -> DataFrame:
     keep = ["row_id"] + ([chunk_col] if chunk_col else [])
     rows = spread(df.where((F.size("src") > 0) & (F.size("tgt") > 0)), "row_id")
     left = F.concat(F.array(F.struct(F.lit(NULL_WORD).alias("w"), F.lit(1).alias("n"))), _counted(F.col("src")))
+    # Counted in a step of their own: next to the explode they would be counted once an exploded row.
+    counted = rows.select(*keep, _counted(F.col("tgt")).alias("ts"), left.alias("ss"))
     return (
-        rows.select(*keep, F.explode(_counted(F.col("tgt"))).alias("t"), left.alias("ss"))
+        counted.select(*keep, F.explode("ts").alias("t"), "ss")
         .select(*keep, "t", F.explode("ss").alias("s"))
         .select(*keep, F.col("s.w").alias("e"), F.col("t.w").alias("f"), (F.col("s.n") * F.col("t.n")).cast("long").alias("n"), F.col("t.n").cast("long").alias("m"))
     )
