@@ -8,8 +8,10 @@ document). ``rows`` bins form a band; documents that share a band's values meet
 A bucket gives star edges only: each of its sets to the bucket's least set. Documents with equal
 sets are one node from the start. Pairs are confirmed on the full sets in two rounds: first one
 pair per set, then the pairs whose ends are not yet connected; a pair inside one component can't
-change a component. Buckets that still hold several components get another hub, and their pairs are
-confirmed too, until a round finds no link.
+change a component. Buckets that still hold several components get further hubs, in the order of
+their sets and twice as many each round, and their pairs are confirmed too, until each bucket is one
+component or all pairs of its components were asked. Pairs whose sizes alone rule out the threshold
+are not confirmed.
 
 Defined results: documents without words are linked with nothing; null text has no words; documents
 with equal sets are linked; a component's id is its smallest id (null only where all its ids are);
@@ -25,7 +27,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import discard, written
@@ -163,17 +165,22 @@ def near_components(
     roots = written(components(links), "near-roots")
     rest = written(_apart(pairs, roots).join(first, ["u", "v"], "left_anti"), "near-rest")
     links = links.unionByName(written(_confirmed(rest, sets, percent), "near-links"))
-    asked = pairs
-    while True:
-        roots = written(components(links), "near-roots")
-        more = written(_other_hubs(shared, roots, asked), "near-more")
-        if more.isEmpty():
-            break
+    asked, sizes = pairs, signed.where("n_shingles > 0").select(F.col("set_key").alias("u"), F.col("n_shingles").alias("n")).distinct()
+    roots = written(components(links), "near-roots")
+    open_buckets = written(_ranked(_divided(shared.select("bucket", F.col("set_key").alias("u")), roots).join(sizes, "u")), "near-open")
+    tried, hubs = 1, 1
+    while not open_buckets.isEmpty():
+        more = written(_around_hubs(open_buckets, roots, tried, tried + hubs, percent).join(asked, ["u", "v"], "left_anti"), "near-more")
         found = written(_confirmed(more, sets, percent), "near-links")
         asked = asked.unionByName(more)
-        if found.isEmpty():
-            break
-        links = links.unionByName(found)
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            roots = written(components(links), "near-roots")
+        tried, hubs = tried + hubs, 2 * hubs
+        left = open_buckets.groupBy("bucket").agg(F.max("rank").alias("most")).where(F.col("most") > tried + 1).select("bucket")
+        then = written(_divided(open_buckets.join(left, "bucket", "left_semi"), roots), "near-open")
+        discard(open_buckets)
+        open_buckets = then
     discard(sets)
     rooted = signed.join(roots.select(F.col("node").alias("set_key"), "root"), "set_key", "left").select(
         "doc_id", "n_shingles", F.coalesce("root", "set_key").alias("root")
@@ -199,15 +206,26 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return _with_roots(pairs, roots).where("ru != rv").select("u", "v")
 
 
-def _other_hubs(shared: DataFrame, roots: DataFrame, asked: DataFrame) -> DataFrame:
-    """For buckets with several components: stars around the least set outside the hub's component."""
-    at = shared.select("bucket", F.col("set_key").alias("u"), F.col("hub").alias("v"))
-    placed = _with_roots(at, roots)
-    outside = placed.where("ru != rv").groupBy("bucket").agg(F.min("u").alias("other"))
-    star = placed.join(outside, "bucket").select("u", F.col("other").alias("v")).where("u != v").distinct()
-    fresh = _apart(star, roots)
-    known = asked.unionByName(asked.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return fresh.join(known, ["u", "v"], "left_anti")
+def _divided(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of the buckets that hold several components."""
+    placed = members.join(roots.select(F.col("node").alias("u"), "root"), "u", "left").withColumn("root", F.coalesce("root", "u"))
+    several = placed.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("bucket")
+    return members.join(several, "bucket", "left_semi")
+
+
+def _ranked(members: DataFrame) -> DataFrame:
+    return members.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("u")))
+
+
+def _around_hubs(members: DataFrame, roots: DataFrame, after: int, upto: int, percent: int) -> DataFrame:
+    """Pairs of the hubs ranked above ``after`` up to ``upto`` with the sets of other components ranked
+    above them: a set ranked below a hub was a hub before. A union is as large as the larger set at
+    least, so sets of too different sizes can't reach ``percent``."""
+    hubs = members.where((F.col("rank") > after) & (F.col("rank") <= upto)).select(
+        "bucket", F.col("u").alias("v"), F.col("n").alias("vn"), F.col("rank").alias("vrank")
+    )
+    pairs = members.join(hubs, "bucket").where((F.col("rank") > F.col("vrank")) & (100 * F.least("n", "vn") >= percent * F.greatest("n", "vn")))
+    return _apart(pairs.select("u", "v").distinct(), roots)
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
