@@ -5,15 +5,16 @@ url's, the longest decides. Urls without a rule are judged by their template:
 
 1. Runs of digits in segments become ``{n}``; per host, urls of the same shape are counted with
    their labels. From here on the work is on shapes, not urls.
-2. Level by level from the host down, segments under one parent are branches. A parent with more
-   than ``max_children`` branches turns those below ``rare`` of its urls into the wildcard ``*``.
+2. Level by level from the host down to the last segment, segments under one parent are branches. A
+   parent with more than ``max_children`` branches turns those below ``rare`` of its urls into the
+   wildcard ``*``.
 3. Branches whose share of bad labels does not differ from their parent's by more than ``z``
    standard errors are similar and are merged into ``*`` as well; an only branch keeps its name.
 4. A template's purity is its share of good labels, smoothed by ``weight`` labels at its host's
    share, which itself is smoothed by the share of all urls. Templates below ``least_purity`` are
    rejected.
 
-Segments from ``max_depth`` on form one last segment. A hot host is spread: counting is combined
+A path that is alone below its template is named at once. A hot host is spread: counting is combined
 before the shuffle, and the joins are on host and shape.
 
 Defined results: urls that are null or have no ``://`` have an empty host and path; a host without
@@ -24,6 +25,8 @@ result; extra columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,11 +61,9 @@ def longest_rule(host: Column, path: Column, rules) -> Column:
     return F.coalesce(*fits) if fits else F.lit(None).cast("struct<rule:string,action:string>")
 
 
-def shape_of(path: Column, max_depth: int) -> Column:
+def shape_of(path: Column) -> Column:
     """Segments with digits generalised; empty ones at either end are left out."""
-    segments = F.split(F.regexp_replace(F.regexp_replace(path, "^/+|/+$", ""), "[0-9]+", "{n}"), "/")
-    deep = F.concat(F.slice(segments, 1, max_depth - 1), F.array(F.array_join(F.slice(segments, max_depth, 1 << 30), "/")))
-    return F.when(F.size(segments) > max_depth, deep).otherwise(segments)
+    return F.split(F.regexp_replace(F.regexp_replace(path, "^/+|/+$", ""), "[0-9]+", "{n}"), "/")
 
 
 def judge_urls(
@@ -71,7 +72,6 @@ def judge_urls(
     url_col: str = "url",
     bad_col: str = "bad",
     rules=RULES,
-    max_depth: int = 3,
     max_children: int = 16,
     rare: float = 0.02,
     z: float = 1.96,
@@ -84,32 +84,38 @@ def judge_urls(
     """
     host, path = host_and_path(F.col(f"`{url_col}`").cast("string"))
     urls = pages.select(F.col(f"`{id_col}`").alias("page_id"), host.alias("host"), path.alias("path"), F.col(f"`{bad_col}`").alias("bad"))
-    urls = written(urls.withColumn("segments", shape_of(F.col("path"), max_depth)), "urls")
+    urls = written(urls.withColumn("segments", shape_of(F.col("path"))), "urls")
     counts = [F.sum("n").alias("n"), F.sum("lab").alias("lab"), F.sum("neg").alias("neg")]
     tree = (
         urls.groupBy("host", "segments")
         .agg(F.count(F.lit(1)).alias("n"), F.count("bad").alias("lab"), F.count_if("bad").alias("neg"))
         .withColumn("template", F.lit(""))
     )
-    tree = written(tree, "url-shapes")
-    for depth in range(1, max_depth + 1):
-        tree = tree.withColumn("child", F.when(F.size("segments") >= depth, F.element_at("segments", F.least(F.lit(depth), F.size("segments")))))
-        kids = tree.where("child is not null").groupBy("host", "template", "child").agg(*counts)
+    going, ended, depth = written(tree, "url-shapes"), [], 0
+    while depth == 0 or not going.isEmpty():
+        depth += 1
+        going = going.withColumn("child", F.element_at("segments", depth))
+        kids = going.groupBy("host", "template", "child").agg(*counts, F.count(F.lit(1)).alias("shapes"))
         parents = kids.groupBy("host", "template").agg(
-            F.count(F.lit(1)).alias("k"), F.sum("n").alias("pn"), F.sum("lab").alias("plab"), F.sum("neg").alias("pneg")
+            F.count(F.lit(1)).alias("k"), F.sum("n").alias("pn"), F.sum("lab").alias("plab"), F.sum("neg").alias("pneg"), (F.sum("shapes") == 1).alias("alone")
         )
         p = (F.col("pneg") + 1) / (F.col("plab") + 2)
         near = F.abs(F.col("neg") / F.col("lab") - F.col("pneg") / F.col("plab")) <= F.lit(z) * F.sqrt(p * (1 - p) / F.col("lab"))
         wild = (F.col("k") > 1) & (
             ((F.col("k") > max_children) & (F.col("n") < F.lit(rare) * F.col("pn"))) | (F.col("lab") == 0) | near
         )
-        named = kids.join(parents, ["host", "template"]).select("host", "template", "child", F.when(wild, F.lit("*")).otherwise(F.col("child")).alias("name"))
-        tree = (
-            tree.join(named, ["host", "template", "child"], "left")
-            .withColumn("template", F.when(F.col("name").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "name")))
-            .drop("child", "name")
+        named = kids.join(parents, ["host", "template"]).select("host", "template", "child", "alone", F.when(wild, F.lit("*")).otherwise(F.col("child")).alias("name"))
+        rest = F.array_join(F.slice("segments", F.lit(depth), F.size("segments")), "/")
+        level = (
+            going.join(named, ["host", "template", "child"])
+            .withColumn("template", F.concat("template", F.lit("/"), F.when(F.col("alone"), rest).otherwise(F.col("name"))))
+            .withColumn("ended", F.col("alone") | (F.size("segments") <= depth))
+            .drop("child", "name", "alone")
         )
-    tree = written(tree, "url-templates")
+        level = written(level, "url-templates")
+        ended.append(level.where("ended").drop("ended"))
+        going = level.where("not ended").drop("ended")
+    tree = reduce(DataFrame.unionByName, ended)
     total = tree.agg(F.coalesce(F.sum("neg"), F.lit(0)), F.coalesce(F.sum("lab"), F.lit(0))).first()
     overall = F.lit(float(total[0]) / max(total[1], 1))
     hosts = tree.groupBy("host").agg(((F.sum("neg") + weight * overall) / (F.sum("lab") + F.lit(weight))).alias("host_bad"))
