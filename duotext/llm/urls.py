@@ -7,7 +7,8 @@ url's, the longest decides. Urls without a rule are judged by their template:
    their labels. From here on the work is on shapes, not urls.
 2. Level by level from the host down to the last segment, segments under one parent are branches. A
    parent with more than ``max_children`` branches turns those below ``rare`` of its urls into the
-   wildcard ``*``.
+   wildcard ``*``, unless their labels differ from the parent's: by Chernoff's bound, which holds for
+   few labels too, at the level of ``z`` divided by the number of branches.
 3. Branches whose share of bad labels does not differ from their parent's by more than ``z``
    standard errors are similar and are merged into ``*`` as well; an only branch keeps its name.
 4. A template's purity is its share of good labels, smoothed by ``weight`` labels at its host's
@@ -66,6 +67,12 @@ def shape_of(path: Column) -> Column:
     return F.split(F.regexp_replace(F.regexp_replace(path, "^/+|/+$", ""), "[0-9]+", "{n}"), "/")
 
 
+def divergence(q: Column, p: Column) -> Column:
+    """Kullback and Leibler's, of two shares."""
+    part = lambda x, y: F.when(x > 0, x * F.log(x / y)).otherwise(F.lit(0.0))
+    return part(q, p) + part(1 - q, 1 - p)
+
+
 def judge_urls(
     pages: DataFrame,
     id_col: str = "page_id",
@@ -101,8 +108,9 @@ def judge_urls(
         )
         p = (F.col("pneg") + 1) / (F.col("plab") + 2)
         near = F.abs(F.col("neg") / F.col("lab") - F.col("pneg") / F.col("plab")) <= F.lit(z) * F.sqrt(p * (1 - p) / F.col("lab"))
+        unlike = F.col("lab") * divergence(F.col("neg") / F.nullif("lab", F.lit(0)), p) > F.log("k") + F.lit(z * z / 2)
         wild = (F.col("k") > 1) & (
-            ((F.col("k") > max_children) & (F.col("n") < F.lit(rare) * F.col("pn"))) | (F.col("lab") == 0) | near
+            ((F.col("k") > max_children) & (F.col("n") < F.lit(rare) * F.col("pn")) & ~F.coalesce(unlike, F.lit(False))) | (F.col("lab") == 0) | near
         )
         named = kids.join(parents, ["host", "template"]).select("host", "template", "child", "alone", F.when(wild, F.lit("*")).otherwise(F.col("child")).alias("name"))
         rest = F.array_join(F.slice("segments", F.lit(depth), F.size("segments")), "/")

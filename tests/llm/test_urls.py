@@ -15,3 +15,12 @@ def verdicts(spark, rows):
 def test_segments_are_generalised_at_any_depth(spark):
     assert all(verdicts(spark, [(f"a/b/{s}/{end}", end == "bad") for s in SLUGS for end in ("bad", "good")]))
     assert all(verdicts(spark, [(f"a/b/c/{s}/d/e/{end}", end == "bad") for s in SLUGS for end in ("bad", "good")]))
+
+
+def test_a_small_bad_branch_of_a_wide_parent_is_kept(spark):
+    rows = [(f"{d}/{i}", False) for d in SLUGS[:99] for i in range(20)] + [(f"spam/{i}", True) for i in range(20)]
+    assert all(verdicts(spark, rows))
+
+
+def test_single_labels_do_not_keep_a_branch(spark):
+    assert all(verdicts(spark, [(f"{s}/{'good' if i % 10 else 'bad'}", i % 10 == 0) for i, s in enumerate(SLUGS)]))
