@@ -5,13 +5,16 @@ each shingle into one of ``bins`` bins; the least of a bin is its value, and an
 value of a bin that a fixed sequence of random picks finds first (the same sequence for every
 document). ``rows`` bins form a band; documents that share a band's values meet in a bucket.
 
-A bucket gives star edges only: each of its sets to the bucket's least set. Documents with equal
-sets are one node from the start. Pairs are confirmed on the full sets in two rounds: first one
-pair per set, then the pairs whose ends are not yet connected; a pair inside one component can't
-change a component. Buckets that still hold several components get further hubs, in the order of
-their sets and twice as many each round, and their pairs are confirmed too, until each bucket is one
-component or all pairs of its components were asked. Pairs whose sizes alone rule out the threshold
-are not confirmed.
+Documents with equal sets are one node from the start, numbered by its first row. A bucket gives star
+edges only: each of its sets to the bucket's least. Pairs are confirmed on the full sets. First
+one pair per set, to its least hub, which gives trees; then the pairs whose ends are not yet
+connected, as a pair inside one component can't change a component. Buckets that still hold several
+components get further hubs, in the order of their nodes and ``growth`` times as many each round, and
+each hub is paired with all later sets of other components, until each bucket is one component or
+all pairs of its components were asked: no pair that shares a bucket is lost.
+
+Keys that a third of all rows may hold (a set, a bucket, a hub, a component) are dealt over tasks by
+salts or by ``attach``; what is broadcast is fewer than a thousand rows of numbers.
 
 Defined results: documents without words are linked with nothing; null text has no words; documents
 with equal sets are linked; a component's id is its smallest id (null only where all its ids are);
@@ -21,6 +24,7 @@ kept by :func:`near_dedup`.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 from functools import cache
 
@@ -31,8 +35,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import discard, written
-from .common import only_once
-from .graph import components
+from .common import attach, only_once
+from .graph import components, follow, renamed, rooted
 from .words import mixed, shingle_hashes, word_hashes, words_of
 
 
@@ -73,22 +77,27 @@ def band_keys(signature: np.ndarray, rows: int) -> np.ndarray:
     return acc.view(np.int64)
 
 
-def set_key(sorted_set: np.ndarray) -> bytes:
-    return xxhash.xxh3_128_digest(sorted_set.tobytes())
+def set_key(sorted_set: np.ndarray) -> tuple[int, int]:
+    """128 bits of hash as two signed numbers."""
+    return struct.unpack("<qq", xxhash.xxh3_128_digest(sorted_set.tobytes()))
+
+
+def _halves(keys: list[tuple]) -> list[pa.Array]:
+    return [pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1)]
 
 
 def _signatures(width: int, bins: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, keys, bands = [], [], []
-            for text in batch.column(1).to_pylist():
-                own = shingle_set(text, width)
+            for text in batch.column(1):
+                own = shingle_set(text.as_py(), width)
                 sizes.append(len(own))
-                keys.append(set_key(own) if len(own) else None)
+                keys.append(set_key(own) if len(own) else (None, None))
                 bands.append(band_keys(one_permutation(own, bins), rows) if len(own) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "set_key", "bands"],
+                [batch.column(0), pa.array(sizes, pa.int64()), *_halves(keys), pa.array(bands, pa.list_(pa.int64()))],
+                ["doc_id", "n_shingles", "k1", "k2", "bands"],
             )
 
     return run
@@ -97,12 +106,10 @@ def _signatures(width: int, bins: int, rows: int):
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sets = [], []
-            for text in batch.column(0).to_pylist():
-                own = shingle_set(text, width)
-                keys.append(set_key(own))
-                sets.append(own.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], ["key", "set"])
+            sets = [shingle_set(text.as_py(), width) for text in batch.column(0)]
+            yield pa.RecordBatch.from_arrays(
+                [*_halves([set_key(own) for own in sets]), pa.array([own.tobytes() for own in sets], pa.binary())], ["k1", "k2", "set"]
+            )
 
     return run
 
@@ -111,8 +118,12 @@ def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
-            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+            for a, b in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)
+                # A union is as large as the larger set at least.
+                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+                    ok.append(False)
+                    continue
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(100 * common >= percent * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
@@ -120,11 +131,52 @@ def _confirm(percent: int):
     return run
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    sized = pairs.join(sets.select(F.col("key").alias("u"), F.col("set").alias("a")), "u").join(
-        sets.select(F.col("key").alias("v"), F.col("set").alias("b")), "v"
-    )
-    return sized.select("u", "v", "a", "b").mapInArrow(_confirm(percent), "u binary, v binary")
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, salts: int) -> DataFrame:
+    """Links ``u, v`` between the roots ``ru, rv`` of the pairs ``u, v`` whose full sets are similar. ``v``
+    may be the hub of very many pairs: its set is sent once for each salt that its pairs have."""
+    dealt = pairs.withColumn("salt", F.pmod(F.xxhash64("u"), F.lit(salts)))
+    hubs = dealt.select("v", "salt").distinct().join(sets.select(F.col("node").alias("v"), F.col("set").alias("b")), "v")
+    mine = dealt.join(sets.select(F.col("node").alias("u"), F.col("set").alias("a")), "u")
+    return mine.join(hubs, ["v", "salt"]).select("ru", "rv", "a", "b").mapInArrow(_confirm(percent), "u long, v long")
+
+
+def _linked(apart: DataFrame, roots: DataFrame, sets: DataFrame, percent: int, salts: int) -> DataFrame:
+    """``roots`` after the pairs ``u, v, ru, rv`` were asked."""
+    links = written(_confirmed(apart, sets, percent, salts), "near-links")
+    out = roots if links.isEmpty() else written(renamed(roots, components(links)), "near-roots")
+    discard(links)
+    return out
+
+
+def _divided(members: DataFrame, roots: DataFrame, tried: int) -> DataFrame:
+    """The rows ``bucket, size, u, root, members`` of the buckets that hold several components and sets
+    that were no hubs, apart from one."""
+    placed = members.join(roots.select(F.col("node").alias("u"), "root"), "u")
+    groups = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), (F.min("root") != F.max("root")).alias("several"))
+    groups = groups.select("bucket", "n", F.when(F.col("several") & (F.col("n") > tried + 1), F.col("n")).alias("members"))
+    return written(attach(placed, groups, ["bucket"], "n").where("members is not null"), "near-divided")
+
+
+def _around_hubs(groups: DataFrame, tried: int, upto: int, percent: int, salts: int) -> DataFrame:
+    """Pairs ``u, v, ru, rv`` of each bucket's sets ``tried + 1`` to ``upto`` with the later sets of other
+    components: an earlier set was a hub before. A large bucket is dealt by salts."""
+    rank = F.row_number().over(Window.partitionBy("bucket").orderBy("u"))
+    shares = F.least(F.lit(salts), 1 + F.floor(F.col("members") / 256)).cast("int")
+    hubs = groups.withColumn("rank", rank).where((F.col("rank") <= upto) & (F.col("rank") > tried))
+    hubs = hubs.select("bucket", F.col("u").alias("v"), F.col("root").alias("rv"), F.col("size").alias("vsize"), F.explode(F.sequence(F.lit(0), shares - 1)).alias("salt"))
+    rows = groups.select("bucket", "u", F.col("root").alias("ru"), "size", F.pmod(F.xxhash64("u"), shares).cast("int").alias("salt"))
+    fits = 100 * F.least("size", "vsize") >= percent * F.greatest("size", "vsize")
+    return rows.join(hubs, ["bucket", "salt"]).where((F.col("u") > F.col("v")) & (F.col("ru") != F.col("rv")) & fits).select("u", "v", "ru", "rv").distinct()
+
+
+def _full_sets(texts: DataFrame, firsts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """``node, set`` of the wanted nodes, from the texts of their first rows."""
+    owners = firsts.join(wanted, "node", "left_semi").select("node", "doc_id", "k1", "k2")
+    holders = owners.select(F.col("doc_id").alias("holder")).distinct()
+    held = texts.join(holders, texts["doc_id"].eqNullSafe(holders["holder"]), "left_semi").select("text")
+    # An id may stand for several texts: only wanted sets stay, once each.
+    sets = held.mapInArrow(_sets(width), "k1 long, k2 long, set binary").join(owners.select("node", "k1", "k2"), ["k1", "k2"])
+    return sets.groupBy("k1", "k2").agg(F.min("node").alias("node"), F.any_value("set").alias("set")).select("node", "set")
 
 
 def near_components(
@@ -135,97 +187,57 @@ def near_components(
     percent: int = 75,
     bins: int = 128,
     rows: int = 4,
+    salts: int = 64,
+    growth: int = 8,
 ) -> DataFrame:
-    """One row per document: ``doc_id, n_shingles, component_id, kept``."""
+    """One row per document: ``doc_id, n_shingles, component_id, kept``.
+
+    ``salts`` bounds the tasks over which a hub's pairs are dealt; ``growth`` is the factor by which the
+    hubs asked in a round grow, and decides on the number of rounds only."""
     texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").cast("binary").alias("text"))
     id_type = dict(texts.dtypes)["doc_id"]
-    signed = written(
-        texts.mapInArrow(_signatures(width, bins, rows), f"doc_id {id_type}, n_shingles long, set_key binary, bands array<long>"),
-        "near-signatures",
-    )
-    nodes = signed.where("n_shingles > 0").groupBy("set_key").agg(F.any_value("bands").alias("bands"))
-    members = written(nodes.select("set_key", F.explode("bands").alias("bucket")), "near-buckets")
-    crowded = members.groupBy("bucket").agg(F.min("set_key").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = written(members.join(crowded, "bucket").select("bucket", "set_key", "hub"), "near-shared")
-    discard(members)
-    pairs = written(
-        shared.where("set_key != hub").select(F.col("set_key").alias("u"), F.col("hub").alias("v")).distinct(), "near-pairs"
-    )
-    # The full sets of all sets that share a bucket.
-    wanted = shared.select("set_key").distinct()
-    owners = signed.join(wanted, "set_key", "left_semi").groupBy("set_key").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id")).alias("o"))
-    holders = owners.select(F.col("o.doc_id").alias("holder")).distinct()
-    held = texts.join(holders, texts["doc_id"].eqNullSafe(holders["holder"]), "left_semi")
-    sets = held.select("text").mapInArrow(_sets(width), "key binary, set binary")
-    # An id may stand for several texts: keep the wanted sets, once each.
-    sets = written(sets.join(wanted, sets["key"] == wanted["set_key"], "left_semi").groupBy("key").agg(F.any_value("set").alias("set")), "near-sets")
-
-    first = pairs.groupBy("u").agg(F.min("v").alias("v"))
-    links = written(_confirmed(first, sets, percent), "near-links")
-    roots = written(components(links), "near-roots")
-    rest = written(_apart(pairs, roots).join(first, ["u", "v"], "left_anti"), "near-rest")
-    links = links.unionByName(written(_confirmed(rest, sets, percent), "near-links"))
-    asked, sizes = pairs, signed.where("n_shingles > 0").select(F.col("set_key").alias("u"), F.col("n_shingles").alias("n")).distinct()
-    roots = written(components(links), "near-roots")
-    open_buckets = written(_ranked(_divided(shared.select("bucket", F.col("set_key").alias("u")), roots).join(sizes, "u")), "near-open")
-    tried, hubs = 1, 1
-    while not open_buckets.isEmpty():
-        more = written(_around_hubs(open_buckets, roots, tried, tried + hubs, percent).join(asked, ["u", "v"], "left_anti"), "near-more")
-        found = written(_confirmed(more, sets, percent), "near-links")
-        asked = asked.unionByName(more)
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            roots = written(components(links), "near-roots")
-        tried, hubs = tried + hubs, 2 * hubs
-        left = open_buckets.groupBy("bucket").agg(F.max("rank").alias("most")).where(F.col("most") > tried + 1).select("bucket")
-        then = written(_divided(open_buckets.join(left, "bucket", "left_semi"), roots), "near-open")
-        discard(open_buckets)
-        open_buckets = then
-    discard(sets)
-    rooted = signed.join(roots.select(F.col("node").alias("set_key"), "root"), "set_key", "left").select(
-        "doc_id", "n_shingles", F.coalesce("root", "set_key").alias("root")
-    )
-    # Only sets that are linked or held by several documents have another document to look at.
-    least = rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return rooted.join(least, "root", "left").select(
-        "doc_id",
-        "n_shingles",
-        F.when(F.col("root").isNull() | F.col("least").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"),
-        F.coalesce(F.col("doc_id").eqNullSafe(F.col("least")) | F.col("least").isNull(), F.lit(True)).alias("kept"),
-    )
-
-
-def _with_roots(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    left = roots.select(F.col("node").alias("u"), F.col("root").alias("ru"))
-    right = roots.select(F.col("node").alias("v"), F.col("root").alias("rv"))
-    return pairs.join(left, "u", "left").join(right, "v", "left").withColumn("ru", F.coalesce("ru", "u")).withColumn("rv", F.coalesce("rv", "v"))
-
-
-def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs whose ends are in different components."""
-    return _with_roots(pairs, roots).where("ru != rv").select("u", "v")
-
-
-def _divided(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """The rows of the buckets that hold several components."""
-    placed = members.join(roots.select(F.col("node").alias("u"), "root"), "u", "left").withColumn("root", F.coalesce("root", "u"))
-    several = placed.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("bucket")
-    return members.join(several, "bucket", "left_semi")
-
-
-def _ranked(members: DataFrame) -> DataFrame:
-    return members.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("u")))
-
-
-def _around_hubs(members: DataFrame, roots: DataFrame, after: int, upto: int, percent: int) -> DataFrame:
-    """Pairs of the hubs ranked above ``after`` up to ``upto`` with the sets of other components ranked
-    above them: a set ranked below a hub was a hub before. A union is as large as the larger set at
-    least, so sets of too different sizes can't reach ``percent``."""
-    hubs = members.where((F.col("rank") > after) & (F.col("rank") <= upto)).select(
-        "bucket", F.col("u").alias("v"), F.col("n").alias("vn"), F.col("rank").alias("vrank")
+    signed = texts.mapInArrow(_signatures(width, bins, rows), f"doc_id {id_type}, n_shingles long, k1 long, k2 long, bands array<long>")
+    signed = written(signed.withColumn("row", F.monotonically_increasing_id()), "near-signatures")
+    # A node is a distinct set, numbered by its first row.
+    nodes = written(
+        signed.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least")),
+        "near-nodes",
     )
-    pairs = members.join(hubs, "bucket").where((F.col("rank") > F.col("vrank")) & (100 * F.least("n", "vn") >= percent * F.greatest("n", "vn")))
-    return _apart(pairs.select("u", "v").distinct(), roots)
+    firsts = written(signed.withColumnRenamed("row", "node").join(nodes.select("node"), "node", "left_semi"), "near-firsts")
+    members = firsts.select("node", F.col("n_shingles").alias("size"), F.explode("bands").alias("bucket"))
+    crowded = written(members.groupBy("bucket").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1"), "near-crowded")
+    shared = written(attach(members, crowded, ["bucket"], "n").where("hub is not null"), "near-shared")
+    wanted = written(shared.select("node").distinct(), "near-wanted")
+    sets = written(_full_sets(texts, firsts, wanted, width), "near-sets")
+    discard(crowded, firsts)
+
+    pairs = written(shared.where("node != hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct(), "near-pairs")
+    # One pair a set, to its least hub: the links are trees already.
+    first = written(pairs.groupBy("u").agg(F.min("v").alias("v")), "near-first")
+    trees = _confirmed(first.select("u", "v", F.col("u").alias("ru"), F.col("v").alias("rv")), sets, percent, salts)
+    trees = follow(trees.select(F.col("u").alias("node"), F.col("v").alias("parent")))
+    roots = written(wanted.join(trees, "node", "left").withColumn("root", F.coalesce("root", "node")), "near-roots")
+    rest = rooted(pairs.join(first, ["u", "v"], "left_anti"), roots).where("ru != rv")
+    roots = _linked(rest, roots, sets, percent, salts)
+    asked, tried, hubs = pairs, 1, growth
+    groups = _divided(shared.select("bucket", "size", F.col("node").alias("u")), roots, tried)
+    while not groups.isEmpty():
+        more = written(_around_hubs(groups, tried, tried + hubs, percent, salts).join(asked, ["u", "v"], "left_anti"), "near-more")
+        roots = _linked(more, roots, sets, percent, salts)
+        asked, tried, hubs = asked.unionByName(more.select("u", "v")), tried + hubs, growth * hubs
+        then = _divided(groups.select("bucket", "size", "u"), roots, tried)
+        discard(groups)
+        groups = then
+    discard(sets, shared)
+
+    linked = written(nodes.join(roots, "node"), "near-linked")
+    best = linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    named = attach(linked, best, ["root"], "n").select("k1", "k2", "copies", "component_id")
+    copies = nodes.where("copies > 1").join(wanted, "node", "left_anti").select("k1", "k2", "copies", F.col("least").alias("component_id"))
+    out = attach(signed.select("doc_id", "n_shingles", "k1", "k2"), written(named.unionByName(copies), "near-named"), ["k1", "k2"], "copies")
+    # A document that is alone with its set, or whose component has no id at all, keeps its own.
+    component = F.coalesce("component_id", "doc_id")
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
