@@ -35,14 +35,15 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a table made by :func:`written` that nothing reads any more."""
-    spark = df.sparkSession
-    root = scratch_root(spark).removeprefix("file://")
-    dirs = {f[: f.index("/", f.index("duotext-"))] for f in df.inputFiles() if "/duotext-" in f and root in f}
-    for d in dirs:
-        path = spark._jvm.org.apache.hadoop.fs.Path(d)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables made by :func:`written` that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        root = scratch_root(spark).removeprefix("file://")
+        dirs = {f[: f.index("/", f.index("duotext-"))] for f in df.inputFiles() if "/duotext-" in f and root in f}
+        for d in dirs:
+            path = spark._jvm.org.apache.hadoop.fs.Path(d)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
