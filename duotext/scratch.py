@@ -35,8 +35,20 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """Like :func:`written`, bucketed and sorted by ``keys`` with as many buckets as shuffles have
+    partitions: joins and groupings by the keys need no exchange of this table."""
+    spark = df.sparkSession
+    table = f"duotext_{name}_{uuid.uuid4().hex[:12]}".replace("-", "_")
+    writer = df.write.format("parquet").option("path", scratch_path(spark, name)).option("compression", "zstd")
+    writer.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortBy(*keys).saveAsTable(table)
+    out = spark.table(table)
+    out.table_name = table
+    return out
+
+
 def discard(*tables: DataFrame) -> None:
-    """Delete the files of tables made by :func:`written` that nothing reads any more."""
+    """Delete the files of tables made by :func:`written` or :func:`bucketed` that nothing reads any more."""
     for df in tables:
         spark = df.sparkSession
         root = scratch_root(spark).removeprefix("file://")
@@ -44,6 +56,8 @@ def discard(*tables: DataFrame) -> None:
         for d in dirs:
             path = spark._jvm.org.apache.hadoop.fs.Path(d)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        if hasattr(df, "table_name"):
+            spark.sql(f"drop table if exists {df.table_name}")
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
