@@ -9,6 +9,8 @@ texts never meet:
    number modulo ``salts``; a group of a third of all rows is spread over that many tasks,
 3. global: at most ``salts`` rows per text meet by (digest, text).
 
+The result reaches the documents by ``attach``, which deals a large group over all tasks.
+
 Defined results: null text counts as empty; null ids order after all others; of equal texts the
 row with the most code points in the original text stays, then the smallest id; rows that repeat
 id and text are the same document and get the same result; an empty table gives an empty result;
@@ -23,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import written
-from .common import only_once, text_of, without_blanks
+from .common import attach, text_of, without_blanks
 
 
 def sha256_bytes(col: Column) -> Column:
@@ -47,6 +49,8 @@ def exact_groups(
         norm.alias("norm"),
         F.char_length(text_of(text_col)).cast("long").alias("chars"),
     ).withColumn("digest", digest(F.col("norm")))
+    # Read, normalised and hashed once; what follows prunes the columns that it needs.
+    rows = written(rows, "exact-rows")
     best = F.struct((-F.col("chars")).alias("chars"), F.col("doc_id").isNull().alias("no_id"), "doc_id")
     salted = (
         rows.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
@@ -63,32 +67,29 @@ def exact_groups(
             F.sum("n").alias("n"),
         )
         .where("n > 1")
-        .select("digest", "texts", F.col("best.doc_id").alias("keep_id"), "n"),
+        .select("digest", "texts", F.col("best.doc_id").alias("keep_id"), "n", F.col("n").alias("group_size")),
         "exact-groups",
     )
     keys = rows.select("doc_id", "digest")
     single = groups.where("texts = 1").drop("texts")
-    out = keys.join(single, "digest", "left")
+    out = attach(keys, single, ["digest"], "n")
     if not groups.where("texts > 1").isEmpty():
         # Different texts share a digest: those documents are told apart by their texts.
-        mixed = groups.where("texts > 1").select("digest")
+        mixed = groups.where("texts > 1").select("digest", "n", F.lit(True).alias("mixed"))
+        marked = attach(keys, mixed, ["digest"], "n").where("mixed is null").drop("mixed")
         texts = merged.join(mixed, "digest", "left_semi").select(
-            "digest", "norm", F.col("best.doc_id").alias("keep_id"), "n"
+            "digest", "norm", F.col("best.doc_id").alias("keep_id"), F.col("n").alias("group_size")
         )
-        out = (
-            keys.join(mixed, "digest", "left_anti")
-            .join(single, "digest", "left")
-            .unionByName(
-                rows.join(mixed, "digest", "left_semi")
-                .join(texts, ["digest", "norm"])
-                .select("digest", "doc_id", "keep_id", "n")
-            )
+        out = attach(marked, single, ["digest"], "n").unionByName(
+            rows.join(mixed, "digest", "left_semi")
+            .join(texts, ["digest", "norm"])
+            .select("doc_id", "digest", "keep_id", "group_size")
         )
-    alone = F.col("n").isNull()
+    alone = F.col("group_size").isNull()
     return out.select(
         "doc_id",
         F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
-        F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
+        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         (alone | F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
         "digest",
     )
@@ -97,14 +98,14 @@ def exact_groups(
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 32) -> DataFrame:
     """The documents that stay, with all their columns; one row where rows repeat."""
     dropped = exact_groups(docs, id_col, text_col, salts).where("not kept").select("doc_id", "digest")
-    mine = sha256_bytes(without_blanks(text_of(text_col)))
     lost = dropped.select(F.col("doc_id").alias("_lost_id"), F.col("digest").alias("_lost_digest")).distinct()
-    stay = docs.join(
-        lost,
-        docs[f"`{id_col}`"].eqNullSafe(lost["_lost_id"]) & (mine == lost["_lost_digest"]),
-        "left_anti",
-    )
-    return only_once(stay, id_col)
+    same = docs[f"`{id_col}`"].eqNullSafe(lost["_lost_id"])
+    n, ids = docs.agg(F.count(F.lit(1)), F.count_distinct(F.struct(F.col(f"`{id_col}`")))).first()
+    if n == ids:
+        return docs.join(lost, same, "left_anti")
+    # An id may stand for several texts, some of them dropped.
+    mine = sha256_bytes(without_blanks(text_of(text_col)))
+    return docs.join(lost, same & (mine == lost["_lost_digest"]), "left_anti").dropDuplicates()
 
 
 def query_exact_dedup(spark, sf_dir: str) -> DataFrame:
