@@ -2,30 +2,37 @@
 
 Texts are read once into an index of (document, line hash). The index is dealt into batches by
 descending ids. A batch's hashes are merge-anti-joined with the runs: hashes that no run holds are
-new, and their holder is the batch's largest id, which is the largest of all as later batches have
-smaller ids; hashes already held only add to the count. What the batch brings becomes a run of
-level 0, sorted by hash. ``fanout`` runs of a level are merged into one run of the next level, so
-each hash is rewritten once a level. In the end the runs give each line's number of documents and
-its holder; lines of enough documents go, except in the holder.
-
-Defined results: null and empty texts have one empty line; rows are documents, and rows that repeat
-an id count one by one, all of them holding the line if the id is the largest; null ids order
-before all others and count as one id; an empty table gives an empty result; extra columns are
-ignored; a line is compared by 128 bits of hash of its stripped and lower-cased form.
+new and become a run of level 0 with the batch's largest id as their holder, which is the largest of
+all, as later batches have smaller ids; hashes that a run holds give a count only, kept beside the
+runs. So runs hold a hash once. ``fanout`` runs of a level are merged into one run of the next level,
+so each hash is rewritten once a level. In the end runs and counts give each line's number of
+documents and its holder; lines of enough documents go, except in the holder.
+
+Runs are tables bucketed and sorted by hash, with as many buckets as shuffles have partitions: a batch,
+which its grouping has dealt in the same way, meets them without an exchange.
+
+Defined results: null and empty texts have one empty line; rows that share an id are one document, and
+hold the line all if the id is the largest; null ids order before all others and count as one id; ids
+are whole numbers, or text of such (others fail); an empty table gives an empty result; extra
+columns are ignored; a line is compared by 128 bits of hash of its stripped and lower-cased form.
 """
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import discard, written
+from ..scratch import bucketed, discard, written
+from .common import attach
 
 NO_ID = -(2**63)
+HASH = ["h1", "h2"]
 
 
 def line_key(line: bytes, least_chars: int) -> bytes | None:
@@ -44,7 +51,8 @@ def _index(least_chars: int):
                 own = {line_key(x, least_chars) for x in (text.as_py() or b"").split(b"\n")} - {None}
                 ids += [doc] * len(own)
                 keys += own
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary())], ["doc", "hash"])
+            halves = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1])], ["doc", *HASH])
 
     return run
 
@@ -54,7 +62,8 @@ def _rebuild(least_chars: int):
         for batch in batches:
             n_lines, n_dropped, kept = [], [], []
             for text, drops in zip(batch.column(1), batch.column(2), strict=True):
-                lines, drops = (text.as_py() or b"").split(b"\n"), set(drops.as_py() or ())
+                lines = (text.as_py() or b"").split(b"\n")
+                drops = {struct.pack("<qq", d["h1"], d["h2"]) for d in drops.as_py() or ()}
                 stay = [x for x in lines if line_key(x, least_chars) not in drops] if drops else lines
                 n_lines.append(len(lines))
                 n_dropped.append(len(lines) - len(stay))
@@ -68,44 +77,53 @@ def _rebuild(least_chars: int):
 
 
 class LineRuns:
-    """Sorted runs of ``hash, n, holder`` by level."""
+    """Sorted runs of ``h1, h2, n, holder`` by level; ``counts`` are of later batches' documents."""
 
-    def __init__(self, fanout: int = 2):
-        self.fanout, self.levels = fanout, []
+    def __init__(self, spark, fanout: int = 2):
+        self.spark, self.fanout, self.levels, self.counts = spark, fanout, [], []
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def everything(self) -> DataFrame | None:
-        out = None
-        for run in (r for level in self.levels for r in level):
-            out = run if out is None else out.unionByName(run)
-        return out
+    def runs(self) -> list[DataFrame]:
+        return [run for level in self.levels for run in level]
 
     def add(self, index: DataFrame) -> None:
-        """A batch of ``doc, hash``, a hash once a document; ids below those of all batches before."""
-        batch = index.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.max("doc").alias("holder"))
-        held = self.everything()
-        if held is not None:
-            batch = written(batch, "line-batch")
-            new = batch.join(held.select("hash"), "hash", "left_anti")
-            more = batch.join(held.select("hash"), "hash", "left_semi").withColumn("holder", F.lit(None).cast("long"))
-            batch = new.unionByName(more)
-        self._place(batch, 0)
+        """A batch of ``doc, h1, h2``, a hash once a document; ids below those of all batches before."""
+        batch = bucketed(index.groupBy(*HASH).agg(F.count(F.lit(1)).alias("n"), F.max("doc").alias("holder")), "line-batch", HASH)
+        new = batch
+        for run in self.runs():
+            new = new.join(run.select(*HASH).hint("merge"), HASH, "left_anti")
+            # A hash is in one run at most, so no count is taken twice.
+            self.counts.append(written(batch.join(run.select(*HASH).hint("merge"), HASH, "left_semi").select(*HASH, "n"), "line-counts"))
+        if self.levels:
+            self._place(bucketed(new, "line-run", HASH), 0)
+            discard(batch)
+        else:
+            self._place(batch, 0)
 
     def _place(self, run: DataFrame, level: int) -> None:
         if level == len(self.levels):
             self.levels.append([])
-        self.levels[level].append(written(run.sortWithinPartitions("hash"), f"line-run-{level}"))
+        self.levels[level].append(run)
         if len(self.levels[level]) == self.fanout:
             old, self.levels[level] = self.levels[level], []
-            union = old[0]
-            for r in old[1:]:
-                union = union.unionByName(r)
-            self._place(_merged(union), level + 1)
-            for r in old:
-                discard(r)
+            merged = bucketed(_union(old).repartition(self.buckets, *HASH), "line-run", HASH)
+            discard(*old)
+            self._place(merged, level + 1)
 
+    def lines(self) -> DataFrame:
+        """``h1, h2, n, holder`` with the counts of all batches."""
+        counts = [c.withColumn("holder", F.lit(None).cast("long")) for c in self.counts]
+        return _union(self.runs() + counts).groupBy(*HASH).agg(F.sum("n").alias("n"), F.max("holder").alias("holder"))
 
-def _merged(runs: DataFrame) -> DataFrame:
-    return runs.groupBy("hash").agg(F.sum("n").alias("n"), F.max("holder").alias("holder"))
+    def clear(self) -> None:
+        discard(*self.runs(), *self.counts)
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
 
 
 def dedup_lines(
@@ -121,18 +139,23 @@ def dedup_lines(
     texts = docs.select(
         F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("doc"), F.col(f"`{text_col}`").cast("string").cast("binary").alias("text")
     )
-    cuts = texts.agg(F.percentile_approx("doc", [i / n_batches for i in range(n_batches - 1, 0, -1)]).alias("c")).first()["c"] or []
+    shares = [i / n_batches for i in range(n_batches - 1, 0, -1)]
+    seen = texts.agg(F.percentile_approx("doc", shares or [0.5]).alias("cuts"), F.count(F.lit(1)).alias("n"), F.count_distinct("doc").alias("ids")).first()
+    cuts = (seen["cuts"] or []) if shares else []
     batch = sum(((F.col("doc") <= c).cast("int") for c in cuts), F.lit(0))
-    index = written(
-        texts.mapInArrow(_index(least_chars), "doc long, hash binary").withColumn("batch", batch),
-        "line-index",
-        partition_by="batch",
-    )
-    runs = LineRuns(fanout)
+    index = texts.mapInArrow(_index(least_chars), "doc long, h1 long, h2 long")
+    if seen["n"] != seen["ids"]:  # rows that share an id are one document
+        index = index.distinct()
+    index = written(index.withColumn("batch", batch), "line-index", partition_by="batch")
+    runs = LineRuns(docs.sparkSession, fanout)
     for i in range(len(cuts) + 1):
         runs.add(index.where(F.col("batch") == i).drop("batch"))
-    doomed = _merged(runs.everything()).where(F.col("n") >= least_docs).select("hash", "holder")
-    drops = index.join(doomed, "hash").where("doc != holder").groupBy("doc").agg(F.collect_set("hash").alias("drops"))
+    doomed = written(runs.lines().where(F.col("n") >= least_docs), "line-doomed")
+    runs.clear()
+    # A line of very many documents is a hot key of the index.
+    drops = attach(index.drop("batch"), doomed, HASH, "n").where("doc != holder").groupBy("doc").agg(F.collect_set(F.struct(*HASH)).alias("drops"))
+    drops = written(drops, "line-drops")
+    discard(index, doomed)
     out = texts.join(drops, "doc", "left").select("doc", "text", "drops").mapInArrow(_rebuild(least_chars), "doc_id long, n_lines long, n_dropped long, kept_text string")
     return out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
 

@@ -96,6 +96,26 @@ def test_lines_of_odd_rows(spark):
     assert [r.n_dropped for r in dedup_lines(twice).collect()] == [0] * 5
 
 
+def test_lines_of_repeated_ids_beside_others(spark):
+    line = "a line that is long enough to be a key of its own"
+    two = frame(spark, [(1, line, "s")] * 4 + [(2, line, "s")])
+    assert [r.n_dropped for r in dedup_lines(two).collect()] == [0] * 5
+    many = frame(spark, [(1, line, "s")] * 4 + [(i, line, "s") for i in range(2, 6)] * 2)
+    assert sorted((r.doc_id, r.n_dropped) for r in dedup_lines(many).collect()) == sorted([(1, 1)] * 4 + [(i, int(i < 5)) for i in range(2, 6)] * 2)
+
+
+@pytest.mark.parametrize("fanout", [2, 3])
+def test_runs_hold_a_line_once_whatever_the_batches(spark, fanout):
+    rng = np.random.default_rng(fanout)
+    lines = [f"line number {i} of those that many documents share" for i in range(30)]
+    rows = [(i, "\n".join(lines[j] for j in rng.integers(0, 30, 6)), "s") for i in range(60)]
+    out = {r.doc_id: (r.n_dropped, r.kept_text) for r in dedup_lines(frame(spark, rows), n_batches=7, fanout=fanout).collect()}
+    holders = {x: [d for d, t, _ in rows if x in t.split("\n")] for x in lines}
+    for d, t, _ in rows:
+        stay = [x for x in t.split("\n") if len(holders[x]) < 5 or max(holders[x]) == d]
+        assert out[d] == (6 - len(stay), "\n".join(stay))
+
+
 def test_near_components_of_odd_rows(spark):
     base = [f"word{i}" for i in range(200)]
     rows = [*ODD, (20, " ".join(base), "s"), (21, " ".join(base).upper(), "s"), (22, " ".join(base[:195]), "s"), (23, " ".join(["z", *base[::-1]]), "s"), (24, "a  B", "s")]
