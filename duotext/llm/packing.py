@@ -2,7 +2,7 @@
 
 The cost of a sequence is ``linear * tokens + quadratic * sum(piece length ** 2)``, as attention
 within pieces costs. Each task cuts its documents' tokens into whole sequences where a document
-fills them alone, gathers the rest up to ``pool_tokens``, and deals that pool out: pieces by
+fills them alone (its length leaves no choice of sequence, so costs decide on the remainder only), gathers the rest up to ``pool_tokens``, and deals that pool out: pieces by
 descending length, each to the sequence of lowest cost that still has room for it; what fits
 nowhere whole is cut over the sequences with most room. A pool's sequences are as many of
 ``max_tokens`` as its tokens fill, and the tokens left over at the end of a partition make sequences
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -31,6 +32,8 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the public pattern that cuts texts before merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+LONG_BLANKS = 50_000
+_BLANK_RUNS = re.compile(r"\s+")
 PIECES = "doc_id {id}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -39,7 +42,8 @@ class Encoder:
 
     Texts of Latin, Greek and Cyrillic letters and common punctuation go through the same merges in
     ``tiktoken``, which is four times as fast; its pattern classes are the same for all of these code
-    points (tested one by one). Other texts go through ``tokenizers``.
+    points (tested one by one). Other texts go through ``tokenizers``, and so do texts with a run of
+    ``LONG_BLANKS`` blanks, where the pattern's look-ahead would need a very deep stack.
     """
 
     def __init__(self, path: str):
@@ -57,6 +61,8 @@ class Encoder:
         self.fast = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> np.ndarray:
+        if len(text) >= LONG_BLANKS and max(map(len, _BLANK_RUNS.findall(text)), default=0) >= LONG_BLANKS:
+            return np.asarray(self.exact.encode(text, add_special_tokens=False).ids, np.uint32)
         if text.isascii() or max(text) < "԰" or all(c < "԰" or "‐" <= c <= "‧" for c in set(text)):
             return np.asarray(self.fast.encode_to_numpy(text, disallowed_special=()), np.uint32)
         return np.asarray(self.exact.encode(text, add_special_tokens=False).ids, np.uint32)

@@ -42,6 +42,42 @@ def test_deal_fills_every_sequence(seed):
         assert at == n
 
 
+@pytest.mark.parametrize("seed", range(20))
+def test_deal_follows_the_cost_rule(seed):
+    rng = np.random.default_rng(seed)
+    lengths = rng.integers(1, 60, int(rng.integers(1, 40)))
+    full, left = divmod(int(lengths.sum()), 64)
+    room = [64] * full + binary_parts(left)
+    linear, quadratic = float(rng.integers(0, 3)), float(rng.integers(0, 3)) / 8
+    got = deal(lengths, room, linear, quadratic)
+    # Rule by rule, without arrays: descending documents, lowest cost with room, leftovers to most room.
+    held = [[] for _ in room]
+    free = lambda s: room[s] - sum(n for _, _, n in held[s])
+    cost = lambda s: sum(linear * n + quadratic * n * n for _, _, n in held[s])
+    late = []
+    for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
+        fit = [s for s in range(len(room)) if free(s) >= lengths[i]]
+        if fit:
+            held[min(fit, key=lambda s: (cost(s), s))].append((i, 0, int(lengths[i])))
+        else:
+            late.append(i)
+    for i in late:
+        at = 0
+        while at < lengths[i]:
+            s = max(range(len(room)), key=lambda s: (free(s), -s))
+            take = min(int(lengths[i]) - at, free(s))
+            held[s].append((i, at, take))
+            at += take
+    assert got == held
+
+
+@pytest.mark.parametrize("text", [" " * 1_000_000 + "a", "\n" * 1_000_000 + "a", "a" * 1_000_000, "!" * 1_000_000 + " a", "a " * 60_000 + "\t \u00a0" * 20_000 + "b"])
+def test_very_long_runs(text):
+    t = Tokenizer.from_file(bpe_path())
+    t.encode_special_tokens = True
+    assert encoder(bpe_path()).ids(text).tolist() == t.encode(text, add_special_tokens=False).ids
+
+
 def check(rows, texts):
     """Pieces tile the documents, sequences are gapless and full, ids are the library's."""
     t = Tokenizer.from_file(bpe_path())
