@@ -2,7 +2,8 @@
 
 Each node takes its least neighbour below it as its parent; parents are followed to the root by
 jumping, which halves the way each time; links between different roots are the next round's links, so
-a round works on what is left. Hubs of very many nodes are hot keys and go by ``attach``.
+a round works on what is left. All tables hold numbers only. A hub of very many nodes makes one
+partition of a join large, which AQE splits: nothing after these joins needs their partitioning.
 """
 
 from __future__ import annotations
@@ -11,52 +12,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import discard, written
-from .common import attach
 
 
 def follow(parents: DataFrame) -> DataFrame:
     """``node, root`` from ``node, parent``, where parents are less than their nodes."""
     now = written(parents, "parents")
     while True:
-        kids = now.groupBy("parent").agg(F.count(F.lit(1)).alias("n"))
         above = now.select(F.col("node").alias("parent"), F.col("parent").alias("above"))
-        steps = written(kids.join(above, "parent", "left"), "parents-above")
-        if steps.where("above is not null").isEmpty():
-            discard(steps)
-            return now.select("node", F.col("parent").alias("root"))
-        then = written(attach(now, steps, ["parent"], "n").select("node", F.coalesce("above", "parent").alias("parent")), "parents")
-        discard(now, steps)
-        now = then
+        step = now.join(above, "parent", "left").select("node", F.coalesce("above", "parent").alias("parent"), F.col("above").isNotNull().alias("moved"))
+        then = written(step, "parents")
+        discard(now)
+        if then.where("moved").isEmpty():
+            return then.select("node", F.col("parent").alias("root"))
+        now = then.drop("moved")
 
 
 def renamed(roots: DataFrame, more: DataFrame) -> DataFrame:
     """``node, root`` where ``more`` gives some roots a root of their own."""
-    sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
-    new = sizes.join(more.select(F.col("node").alias("root"), F.col("root").alias("new")), "root", "left")
-    return attach(roots, new, ["root"], "n").select("node", F.coalesce("new", "root").alias("root"))
-
-
-def rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """``pairs (u, v, …)`` with the roots ``ru, rv`` of their ends. Any end may be in very many pairs."""
-    for end in ("u", "v"):
-        sizes = pairs.groupBy(end).agg(F.count(F.lit(1)).alias("n"))
-        known = sizes.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"r{end}")), end, "left")
-        pairs = attach(pairs, known, [end], "n").withColumn(f"r{end}", F.coalesce(f"r{end}", end))
-    return pairs
+    new = more.select(F.col("node").alias("root"), F.col("root").alias("new"))
+    return roots.join(new, "root", "left").select("node", F.coalesce("new", "root").alias("root"))
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``node, root`` for the nodes of ``edges (u, v)`` but the roots themselves; the root is the least
-    node of its component."""
+    """``node, root`` for the nodes of ``edges (u, v)``; the root is the component's least node."""
     now = written(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     roots = None
     while True:
         step = follow(now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("parent")))
         # Nodes that were roots before get a root now; their own nodes follow them.
         roots = step if roots is None else written(renamed(roots, step).unionByName(step), "roots")
-        left = written(rooted(now, step).where("ru != rv").select(F.greatest("ru", "rv").alias("u"), F.least("ru", "rv").alias("v")).distinct(), "edges")
+        left = now
+        for end in ("u", "v"):
+            left = left.join(step.select(F.col("node").alias(end), F.col("root").alias(f"r{end}")), end, "left").withColumn(f"r{end}", F.coalesce(f"r{end}", end))
+        left = written(left.where("ru != rv").select(F.greatest("ru", "rv").alias("u"), F.least("ru", "rv").alias("v")).distinct(), "edges")
         discard(now)
         now = left
         if now.isEmpty():
             discard(now)
-            return roots
+            return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())

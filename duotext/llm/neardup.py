@@ -7,11 +7,12 @@ document). ``rows`` bins form a band; documents that share a band's values meet
 
 Documents with equal sets are one node from the start, numbered by its first row. A bucket gives star
 edges only: each of its sets to the bucket's least. Pairs are confirmed on the full sets. First
-one pair per set, to its least hub, which gives trees; then the pairs whose ends are not yet
-connected, as a pair inside one component can't change a component. Buckets that still hold several
-components get further hubs, in the order of their nodes and ``growth`` times as many each round, and
-each hub is paired with all later sets of other components, until each bucket is one component or
-all pairs of its components were asked: no pair that shares a bucket is lost.
+one pair per set, to the least hub of its buckets, which gives trees; a pair inside one component can't
+change a component. Buckets that hold several components then get hubs, ``growth`` times as many each
+round, and each hub is paired with all later sets of other components, until each bucket is one
+component or all pairs of its components were asked: no pair that shares a bucket is lost. Sets
+are hubs in the order of how many others share their buckets, and pairs whose sizes or odd sketches
+prove them too different are not made, so that crowded buckets of unlike sets make few pairs.
 
 Keys that a third of all rows may hold (a set, a bucket, a hub, a component) are dealt over tasks by
 salts or by ``attach``; what is broadcast is fewer than a thousand rows of numbers.
@@ -34,9 +35,9 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scratch import discard, written
+from ..scratch import bucketed, discard, written
 from .common import attach, only_once
-from .graph import components, follow, renamed, rooted
+from .graph import components, follow, renamed
 from .words import mixed, shingle_hashes, word_hashes, words_of
 
 
@@ -82,6 +83,14 @@ def set_key(sorted_set: np.ndarray) -> tuple[int, int]:
     return struct.unpack("<qq", xxhash.xxh3_128_digest(sorted_set.tobytes()))
 
 
+def odd_sketch(sorted_set: np.ndarray) -> np.ndarray:
+    """512 bits, each telling whether an odd number of shingles falls on it. Where the sketches of two sets
+    differ, an odd number of the shingles that only one of them has falls: they differ in at
+    least as many shingles as their sketches do in bits."""
+    bit = np.bincount((sorted_set & np.uint64(511)).astype(np.int64), minlength=512) & 1
+    return np.packbits(bit.astype(np.uint8)).view(np.int64)
+
+
 def _halves(keys: list[tuple]) -> list[pa.Array]:
     return [pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1)]
 
@@ -89,15 +98,17 @@ def _halves(keys: list[tuple]) -> list[pa.Array]:
 def _signatures(width: int, bins: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, keys, bands = [], [], []
+            sizes, keys, bands, odd = [], [], [], []
             for text in batch.column(1):
                 own = shingle_set(text.as_py(), width)
                 sizes.append(len(own))
                 keys.append(set_key(own) if len(own) else (None, None))
                 bands.append(band_keys(one_permutation(own, bins), rows) if len(own) else None)
+                odd.append(odd_sketch(own))
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (bands, odd)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), *_halves(keys), pa.array(bands, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "k1", "k2", "bands"],
+                [batch.column(0), pa.array(sizes, pa.int64()), *_halves(keys), *lists],
+                ["doc_id", "n_shingles", "k1", "k2", "bands", "odd"],
             )
 
     return run
@@ -149,33 +160,39 @@ def _linked(apart: DataFrame, roots: DataFrame, sets: DataFrame, percent: int, s
 
 
 def _divided(members: DataFrame, roots: DataFrame, tried: int) -> DataFrame:
-    """The rows ``bucket, size, u, root, members`` of the buckets that hold several components and sets
-    that were no hubs, apart from one."""
+    """The rows ``bucket, u, root, members`` of the buckets that hold several components and sets that
+    were no hubs, apart from one."""
     placed = members.join(roots.select(F.col("node").alias("u"), "root"), "u")
     groups = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), (F.min("root") != F.max("root")).alias("several"))
     groups = groups.select("bucket", "n", F.when(F.col("several") & (F.col("n") > tried + 1), F.col("n")).alias("members"))
     return written(attach(placed, groups, ["bucket"], "n").where("members is not null"), "near-divided")
 
 
-def _around_hubs(groups: DataFrame, tried: int, upto: int, percent: int, salts: int) -> DataFrame:
+def _around_hubs(groups: DataFrame, sketches: DataFrame, tried: int, upto: int, percent: int, salts: int) -> DataFrame:
     """Pairs ``u, v, ru, rv`` of each bucket's sets ``tried + 1`` to ``upto`` with the later sets of other
-    components: an earlier set was a hub before. A large bucket is dealt by salts."""
+    components: an earlier set was a hub before. A large bucket is dealt by salts. Pairs that sizes
+    or sketches rule out are not made: similar sets differ in few shingles, so in few bits."""
     rank = F.row_number().over(Window.partitionBy("bucket").orderBy("u"))
     shares = F.least(F.lit(salts), 1 + F.floor(F.col("members") / 256)).cast("int")
-    hubs = groups.withColumn("rank", rank).where((F.col("rank") <= upto) & (F.col("rank") > tried))
-    hubs = hubs.select("bucket", F.col("u").alias("v"), F.col("root").alias("rv"), F.col("size").alias("vsize"), F.explode(F.sequence(F.lit(0), shares - 1)).alias("salt"))
-    rows = groups.select("bucket", "u", F.col("root").alias("ru"), "size", F.pmod(F.xxhash64("u"), shares).cast("int").alias("salt"))
-    fits = 100 * F.least("size", "vsize") >= percent * F.greatest("size", "vsize")
-    return rows.join(hubs, ["bucket", "salt"]).where((F.col("u") > F.col("v")) & (F.col("ru") != F.col("rv")) & fits).select("u", "v", "ru", "rv").distinct()
+    rows = groups.join(sketches.withColumnRenamed("node", "u"), "u")
+    hubs = groups.withColumn("rank", rank).where((F.col("rank") <= upto) & (F.col("rank") > tried)).drop("rank")
+    hubs = hubs.join(sketches.withColumnRenamed("node", "u"), "u").select(
+        "bucket", F.col("u").alias("v"), F.col("root").alias("rv"), F.col("size").alias("vsize"), F.col("odd").alias("vodd"), F.explode(F.sequence(F.lit(0), shares - 1)).alias("salt")
+    )
+    rows = rows.select("bucket", "u", F.col("root").alias("ru"), "size", "odd", F.pmod(F.xxhash64("u"), shares).cast("int").alias("salt"))
+    apart = (F.col("u") > F.col("v")) & (F.col("ru") != F.col("rv")) & (100 * F.least("size", "vsize") >= percent * F.greatest("size", "vsize"))
+    bits = sum((F.bit_count(F.col("odd")[i].bitwiseXOR(F.col("vodd")[i])) for i in range(8)), F.lit(0))
+    near = (100 + percent) * bits <= (100 - percent) * (F.col("size") + F.col("vsize"))
+    return rows.join(hubs, ["bucket", "salt"]).where(apart & near).select("u", "v", "ru", "rv").distinct()
 
 
-def _full_sets(texts: DataFrame, firsts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """``node, set`` of the wanted nodes, from the texts of their first rows."""
-    owners = firsts.join(wanted, "node", "left_semi").select("node", "doc_id", "k1", "k2")
-    holders = owners.select(F.col("doc_id").alias("holder")).distinct()
+def _full_sets(texts: DataFrame, firsts: DataFrame, width: int) -> DataFrame:
+    """``node, set`` by the new ids, from the texts of the nodes' first rows."""
+    owners = firsts.select(F.col("id").alias("node"), "k1", "k2")
+    holders = firsts.select(F.col("doc_id").alias("holder")).distinct()
     held = texts.join(holders, texts["doc_id"].eqNullSafe(holders["holder"]), "left_semi").select("text")
     # An id may stand for several texts: only wanted sets stay, once each.
-    sets = held.mapInArrow(_sets(width), "k1 long, k2 long, set binary").join(owners.select("node", "k1", "k2"), ["k1", "k2"])
+    sets = held.mapInArrow(_sets(width), "k1 long, k2 long, set binary").join(owners, ["k1", "k2"])
     return sets.groupBy("k1", "k2").agg(F.min("node").alias("node"), F.any_value("set").alias("set")).select("node", "set")
 
 
@@ -188,7 +205,7 @@ def near_components(
     bins: int = 128,
     rows: int = 4,
     salts: int = 64,
-    growth: int = 8,
+    growth: int = 32,
 ) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id, kept``.
 
@@ -196,7 +213,7 @@ def near_components(
     hubs asked in a round grow, and decides on the number of rounds only."""
     texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").cast("binary").alias("text"))
     id_type = dict(texts.dtypes)["doc_id"]
-    signed = texts.mapInArrow(_signatures(width, bins, rows), f"doc_id {id_type}, n_shingles long, k1 long, k2 long, bands array<long>")
+    signed = texts.mapInArrow(_signatures(width, bins, rows), f"doc_id {id_type}, n_shingles long, k1 long, k2 long, bands array<long>, odd array<long>")
     signed = written(signed.withColumn("row", F.monotonically_increasing_id()), "near-signatures")
     # A node is a distinct set, numbered by its first row.
     nodes = written(
@@ -204,32 +221,36 @@ def near_components(
         "near-nodes",
     )
     firsts = written(signed.withColumnRenamed("row", "node").join(nodes.select("node"), "node", "left_semi"), "near-firsts")
-    members = firsts.select("node", F.col("n_shingles").alias("size"), F.explode("bands").alias("bucket"))
-    crowded = written(members.groupBy("bucket").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1"), "near-crowded")
-    shared = written(attach(members, crowded, ["bucket"], "n").where("hub is not null"), "near-shared")
-    wanted = written(shared.select("node").distinct(), "near-wanted")
-    sets = written(_full_sets(texts, firsts, wanted, width), "near-sets")
-    discard(crowded, firsts)
-
-    pairs = written(shared.where("node != hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct(), "near-pairs")
-    # One pair a set, to its least hub: the links are trees already.
-    first = written(pairs.groupBy("u").agg(F.min("v").alias("v")), "near-first")
+    members = firsts.select("node", F.explode("bands").alias("bucket"))
+    crowded = written(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("members", F.col("n")), "near-crowded")
+    shared = written(attach(members, crowded, ["bucket"], "n").where("members is not null"), "near-shared")
+    # Sets are hubs in the order of how many others share their buckets: the original of many copies
+    # comes first, and its copies meet it before they meet each other. Ids follow that order.
+    crowds = shared.groupBy("node").agg(F.sum("members").alias("crowd")).orderBy(F.desc("crowd"), "node")
+    wanted = written(crowds.select("node", F.monotonically_increasing_id().alias("id")), "near-wanted")
+    firsts = written(firsts.join(wanted, "node").select("node", "id", "doc_id", "n_shingles", "k1", "k2", "odd"), "near-firsts")
+    sets = bucketed(_full_sets(texts, firsts, width), "near-sets", ["node"])
+    sketches = bucketed(firsts.select(F.col("id").alias("node"), F.col("n_shingles").alias("size"), "odd"), "near-sketches", ["node"])
+    shared = written(shared.join(wanted, "node").select("bucket", F.col("id").alias("u"), "members"), "near-shared")
+
+    # One pair a set, to the first hub of its buckets: the links are trees.
+    least = shared.groupBy("bucket").agg(F.min("u").alias("hub"), F.count(F.lit(1)).alias("n"))
+    first = attach(shared, least, ["bucket"], "n").where("u != hub").groupBy("u").agg(F.min("hub").alias("v"))
+    first = written(first, "near-first")
     trees = _confirmed(first.select("u", "v", F.col("u").alias("ru"), F.col("v").alias("rv")), sets, percent, salts)
     trees = follow(trees.select(F.col("u").alias("node"), F.col("v").alias("parent")))
-    roots = written(wanted.join(trees, "node", "left").withColumn("root", F.coalesce("root", "node")), "near-roots")
-    rest = rooted(pairs.join(first, ["u", "v"], "left_anti"), roots).where("ru != rv")
-    roots = _linked(rest, roots, sets, percent, salts)
-    asked, tried, hubs = pairs, 1, growth
-    groups = _divided(shared.select("bucket", "size", F.col("node").alias("u")), roots, tried)
+    roots = written(wanted.select(F.col("id").alias("node")).join(trees, "node", "left").withColumn("root", F.coalesce("root", "node")), "near-roots")
+    asked, tried, hubs = first, 0, 2
+    groups = _divided(shared.select("bucket", "u"), roots, tried)
     while not groups.isEmpty():
-        more = written(_around_hubs(groups, tried, tried + hubs, percent, salts).join(asked, ["u", "v"], "left_anti"), "near-more")
-        roots = _linked(more, roots, sets, percent, salts)
+        more = written(_around_hubs(groups, sketches, tried, tried + hubs, percent, salts).join(asked, ["u", "v"], "left_anti"), "near-more")
+        new = _linked(more, roots, sets, percent, salts)
         asked, tried, hubs = asked.unionByName(more.select("u", "v")), tried + hubs, growth * hubs
-        then = _divided(groups.select("bucket", "size", "u"), roots, tried)
-        discard(groups)
-        groups = then
-    discard(sets, shared)
+        then = groups.where(F.col("members") > tried + 1) if new is roots else _divided(groups.select("bucket", "u"), new, tried)
+        roots, groups = new, then
+    discard(sets, sketches, shared)
 
+    roots = roots.withColumnRenamed("node", "id").join(wanted, "id").select("node", "root")
     linked = written(nodes.join(roots, "node"), "near-linked")
     best = linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
     named = attach(linked, best, ["root"], "n").select("k1", "k2", "copies", "component_id")

@@ -2,13 +2,14 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
 from duotext.llm import neardup
 from duotext.llm.common import attach
 from duotext.llm.graph import components
-from duotext.llm.neardup import near_components, set_key, shingle_set
+from duotext.llm.neardup import near_components, odd_sketch, set_key, shingle_set
 
 
 @pytest.mark.parametrize("growth", [1, 8])
@@ -40,13 +41,26 @@ def _one_bucket(width, bins, rows):
         for batch in batches:
             sets = [shingle_set(t, width) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(map(len, sets), pa.int64()), *neardup._halves(list(map(set_key, sets))), pa.array([[1]] * len(sets), pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "k1", "k2", "bands"],
+                [batch.column(0), pa.array(map(len, sets), pa.int64()), *neardup._halves(list(map(set_key, sets))), pa.array([[1]] * len(sets), pa.list_(pa.int64())), pa.array([odd_sketch(own) for own in sets], pa.list_(pa.int64()))],
+                ["doc_id", "n_shingles", "k1", "k2", "bands", "odd"],
             )
 
     return run
 
 
+def test_sketches_never_rule_out_similar_sets():
+    rng = np.random.default_rng(1)
+    for n in (3, 40, 300, 3000):
+        for share in (0.5, 0.86, 0.99):
+            both = rng.integers(0, 1 << 63, 2 * n).astype(np.uint64)
+            common = int(share * n)
+            a, b = both[:n], both[n - common : 2 * n - common]
+            bits = sum(int(x).bit_count() for x in (odd_sketch(a) ^ odd_sketch(b)).view(np.uint64))
+            assert bits <= len(np.setxor1d(a, b))
+            if n == 300 and share == 0.5:
+                assert 175 * bits > 25 * 2 * n
+
+
 def test_components_of_random_graphs(spark):
     rng = random.Random(5)
     for n, m in ((60, 30), (200, 180), (40, 300)):
@@ -58,7 +72,7 @@ def test_components_of_random_graphs(spark):
             for u, v in edges:
                 root[u] = root[v] = min(root[u], root[v])
         got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
-        assert got == {x: r for x, r in root.items() if x != r}
+        assert got == {x: root[x] for e in edges for x in e if e[0] != e[1]}
 
 
 def test_hot_and_null_keys_are_attached(spark):
