@@ -35,13 +35,16 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
+def bucketed(df: DataFrame, name: str, keys: list[str], dealt: bool = False) -> DataFrame:
     """Like :func:`written`, bucketed and sorted by ``keys`` with as many buckets as shuffles have
-    partitions: joins and groupings by the keys need no exchange of this table."""
+    partitions: joins and groupings by the keys need no exchange of this table. Rows are dealt by the
+    keys first, for one file a bucket; ``dealt`` says that they are, by a grouping or a join."""
     spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df = df if dealt else df.repartition(buckets, *keys)
     table = f"duotext_{name}_{uuid.uuid4().hex[:12]}".replace("-", "_")
     writer = df.write.format("parquet").option("path", scratch_path(spark, name)).option("compression", "zstd")
-    writer.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortBy(*keys).saveAsTable(table)
+    writer.bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table)
     out = spark.table(table)
     out.table_name = table
     return out
