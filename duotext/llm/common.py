@@ -38,7 +38,7 @@ def attach(rows: DataFrame, table: DataFrame, on: list[str], size: str) -> DataF
 
     ``table`` has one row a key; its column ``size`` says how many of ``rows`` the key has. A hot key goes
     to all tasks: fewer than ``HOT`` rows are broadcast, whatever the data. Its rows, and those
-    with a null key, are dealt over all tasks; the other keys meet in a shuffle. A key whose other
+    with a null key, are dealt over all tasks; the other keys meet in a shuffle, at every size. A key whose other
     columns are all null is there to be known as hot only.
     """
     total = table.agg(F.sum(size)).first()[0] or 0
@@ -51,7 +51,7 @@ def attach(rows: DataFrame, table: DataFrame, on: list[str], size: str) -> DataF
     for c in on:
         plain = plain & F.col(c).isNotNull()
     salt = F.when(plain, 0).otherwise(F.pmod(F.xxhash64(*rows.columns), F.lit(4096)) + 1).cast("int")
-    joined = rows.join(F.broadcast(many), on, "left").withColumn("_salt", salt).join(few, [*on, "_salt"], "left")
+    joined = rows.join(F.broadcast(many), on, "left").withColumn("_salt", salt).join(few.hint("merge"), [*on, "_salt"], "left")
     found = F.coalesce("_hot", "_few")
     return joined.select(*rows.columns, *[found[c].alias(c) for c in table.columns if c not in on and c != size])
 

@@ -79,23 +79,22 @@ def _rebuild(least_chars: int):
 class LineRuns:
     """Sorted runs of ``h1, h2, n, holder`` by level; ``counts`` are of later batches' documents."""
 
-    def __init__(self, spark, fanout: int = 2):
-        self.spark, self.fanout, self.levels, self.counts = spark, fanout, [], []
-        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    def __init__(self, fanout: int = 2):
+        self.fanout, self.levels, self.counts = fanout, [], []
 
     def runs(self) -> list[DataFrame]:
         return [run for level in self.levels for run in level]
 
     def add(self, index: DataFrame) -> None:
         """A batch of ``doc, h1, h2``, a hash once a document; ids below those of all batches before."""
-        batch = bucketed(index.groupBy(*HASH).agg(F.count(F.lit(1)).alias("n"), F.max("doc").alias("holder")), "line-batch", HASH)
+        batch = bucketed(index.groupBy(*HASH).agg(F.count(F.lit(1)).alias("n"), F.max("doc").alias("holder")), "line-batch", HASH, dealt=True)
         new = batch
         for run in self.runs():
             new = new.join(run.select(*HASH).hint("merge"), HASH, "left_anti")
             # A hash is in one run at most, so no count is taken twice.
             self.counts.append(written(batch.join(run.select(*HASH).hint("merge"), HASH, "left_semi").select(*HASH, "n"), "line-counts"))
         if self.levels:
-            self._place(bucketed(new, "line-run", HASH), 0)
+            self._place(bucketed(new, "line-run", HASH, dealt=True), 0)
             discard(batch)
         else:
             self._place(batch, 0)
@@ -106,7 +105,7 @@ class LineRuns:
         self.levels[level].append(run)
         if len(self.levels[level]) == self.fanout:
             old, self.levels[level] = self.levels[level], []
-            merged = bucketed(_union(old).repartition(self.buckets, *HASH), "line-run", HASH)
+            merged = bucketed(_union(old), "line-run", HASH)
             discard(*old)
             self._place(merged, level + 1)
 
@@ -147,7 +146,7 @@ def dedup_lines(
     if seen["n"] != seen["ids"]:  # rows that share an id are one document
         index = index.distinct()
     index = written(index.withColumn("batch", batch), "line-index", partition_by="batch")
-    runs = LineRuns(docs.sparkSession, fanout)
+    runs = LineRuns(fanout)
     for i in range(len(cuts) + 1):
         runs.add(index.where(F.col("batch") == i).drop("batch"))
     doomed = written(runs.lines().where(F.col("n") >= least_docs), "line-doomed")

@@ -190,9 +190,10 @@ def _full_sets(texts: DataFrame, firsts: DataFrame, width: int) -> DataFrame:
     """``node, set`` by the new ids, from the texts of the nodes' first rows."""
     owners = firsts.select(F.col("id").alias("node"), "k1", "k2")
     holders = firsts.select(F.col("doc_id").alias("holder")).distinct()
-    held = texts.join(holders, texts["doc_id"].eqNullSafe(holders["holder"]), "left_semi").select("text")
+    # Merge joins: the plan is the same at every size.
+    held = texts.join(holders.hint("merge"), texts["doc_id"].eqNullSafe(holders["holder"]), "left_semi").select("text")
     # An id may stand for several texts: only wanted sets stay, once each.
-    sets = held.mapInArrow(_sets(width), "k1 long, k2 long, set binary").join(owners, ["k1", "k2"])
+    sets = held.mapInArrow(_sets(width), "k1 long, k2 long, set binary").join(owners.hint("merge"), ["k1", "k2"])
     return sets.groupBy("k1", "k2").agg(F.min("node").alias("node"), F.any_value("set").alias("set")).select("node", "set")
 
 
@@ -220,7 +221,7 @@ def near_components(
         signed.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least")),
         "near-nodes",
     )
-    firsts = written(signed.withColumnRenamed("row", "node").join(nodes.select("node"), "node", "left_semi"), "near-firsts")
+    firsts = written(signed.withColumnRenamed("row", "node").join(nodes.select("node").hint("merge"), "node", "left_semi"), "near-firsts")
     members = firsts.select("node", F.explode("bands").alias("bucket"))
     crowded = written(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("members", F.col("n")), "near-crowded")
     shared = written(attach(members, crowded, ["bucket"], "n").where("members is not null"), "near-shared")
@@ -228,10 +229,10 @@ def near_components(
     # comes first, and its copies meet it before they meet each other. Ids follow that order.
     crowds = shared.groupBy("node").agg(F.sum("members").alias("crowd")).orderBy(F.desc("crowd"), "node")
     wanted = written(crowds.select("node", F.monotonically_increasing_id().alias("id")), "near-wanted")
-    firsts = written(firsts.join(wanted, "node").select("node", "id", "doc_id", "n_shingles", "k1", "k2", "odd"), "near-firsts")
+    firsts = written(firsts.join(wanted.hint("merge"), "node").select("node", "id", "doc_id", "n_shingles", "k1", "k2", "odd"), "near-firsts")
     sets = bucketed(_full_sets(texts, firsts, width), "near-sets", ["node"])
     sketches = bucketed(firsts.select(F.col("id").alias("node"), F.col("n_shingles").alias("size"), "odd"), "near-sketches", ["node"])
-    shared = written(shared.join(wanted, "node").select("bucket", F.col("id").alias("u"), "members"), "near-shared")
+    shared = written(shared.join(wanted.hint("merge"), "node").select("bucket", F.col("id").alias("u"), "members"), "near-shared")
 
     # One pair a set, to the first hub of its buckets: the links are trees.
     least = shared.groupBy("bucket").agg(F.min("u").alias("hub"), F.count(F.lit(1)).alias("n"))
