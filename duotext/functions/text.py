@@ -1,4 +1,4 @@
-"""Token and marker columns: native expressions, plus NFKC, which Spark SQL does not have.
+"""Token and marker columns: native expressions, plus Unicode normal forms, which Spark SQL does not have.
 
 Corpus lines are space-joined tokens. ``#NB`` between tokens says that no blank stood there,
 ``#BLANK`` is an explicit blank.
@@ -36,8 +36,19 @@ def tokenise(col: Column, symbols: list[str] = SYMBOLS) -> Column:
 
 
 def tokenise_query(col: Column) -> Column:
-    """The search and fix path: NFKC is left to the caller, more symbols, a leading ``#NB`` goes too."""
-    return F.regexp_replace(tokenise(col, WIDE_SYMBOLS), f"^{NO_BLANK} ", "")
+    """The search and fix path: Unicode compatibility form, more symbols, and blanks that count. A blank
+    more than one is ``#BLANK``; next to each other, ``#NB`` and ``#BLANK`` cancel, as a stack does it, so
+    of a run of both only the surplus of one kind stays. Blank text is empty."""
+    text = F.regexp_replace(nfkc(col), f"({symbol_class(WIDE_SYMBOLS)})", f" {NO_BLANK} $1 {NO_BLANK} ")
+    parts = F.transform(F.split(text, " "), lambda x: F.when(F.trim(x) == "", F.lit(BLANK)).otherwise(x))
+
+    def step(acc, x):
+        last = F.element_at(acc, F.when(F.size(acc) > 0, -1))
+        cancels = ((last == NO_BLANK) & (x == BLANK)) | ((last == BLANK) & (x == NO_BLANK))
+        return F.when(cancels, F.slice(acc, F.lit(1), F.size(acc) - 1)).otherwise(F.concat(acc, F.array(x)))
+
+    kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+    return F.when(F.trim(col) == "", F.lit("")).otherwise(F.trim(F.regexp_replace(F.array_join(kept, " "), rf"{_SPACE}+", " ")))
 
 
 def tokens(line: Column) -> Column:
@@ -85,7 +96,8 @@ def replace_tokens(arr: Column, sub: Column, fix: Column) -> Column:
 
 
 def norm_token(col: Column) -> Column:
-    return F.lower(F.trim(col))
+    """Lower case in the composed form, so that accents typed either way are the same."""
+    return nfc(F.lower(F.trim(col)))
 
 
 def is_single(col: Column) -> Column:
@@ -94,5 +106,15 @@ def is_single(col: Column) -> Column:
 
 @F.pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
-    """The one Python function of the corpus operators: Unicode normalisation."""
+    """Unicode normalisation, which Spark SQL does not have; Python's in batches."""
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+
+
+@F.pandas_udf(StringType())
+def _nfc(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
+
+
+def nfc(col: Column) -> Column:
+    """The composed form."""
+    return _nfc(col)

@@ -1,10 +1,13 @@
 """Word alignment by EM, written as joins and aggregates.
 
-The pair table holds one row per (row, source word, target word) with its number of position pairs;
-it is made inside each row, without a shuffle. A step joins it with the lexical table (broadcast by
-Spark only where the table's size on disk allows), sums per (row, target word), and sums the
-shares per word pair. Lineage is cut after each step by a written table. The NULL word meets every
-target word; sums over it are combined before the shuffle, so it is no hot group.
+The pair table holds one row per (row, source word, target word) with its number of position pairs; words
+are counted per row first, and joined by row. Training knows words by 64 bits of hash, so that
+its shuffles carry numbers; the words come back with the finished table, and two words of one
+hash stop it. A step joins the pair table, which is bucketed by its words, with the lexical table, sums
+per (row, target word), and sums the shares per word pair; the first step, where all words are
+equally likely, needs neither join nor sum per row. Lineage is cut after each step by a written
+table. The NULL word meets every target word; sums over it are combined before the shuffle, so it
+is no hot group.
 """
 
 from __future__ import annotations
@@ -14,38 +17,51 @@ from pyspark.sql import functions as F
 
 from ..functions.mathx import diagonal_prior, digamma, log_factorial
 from ..functions.points import SYMMETRISE, invert, none, point
-from ..scratch import discard, spread, written
+from ..scratch import bucketed, discard, spread, written
 
 NULL_WORD = "<eps>"
 UNSEEN = 1e-9
 
 
-def _counted(words: Column) -> Column:
-    return F.transform(F.array_distinct(words), lambda w: F.struct(w.alias("w"), F.size(F.filter(words, lambda x: x == w)).alias("n")))
+def _aligned_rows(df: DataFrame) -> DataFrame:
+    return spread(df.where((F.size("src") > 0) & (F.size("tgt") > 0)), "row_id")
 
 
-def cooccurrences(df: DataFrame, chunk_col: str | None = None) -> DataFrame:
-    """``row_id, e, f, n, m``: n position pairs of the words, m positions of f. ``e`` includes NULL."""
+def cooccurrences(df: DataFrame, chunk_col: str | None = None, code=lambda word: word) -> DataFrame:
+    """``row_id, e, f, n, m, k``: n position pairs of the words, m positions of f, k positions of sources
+    with NULL. ``e`` includes NULL. ``code`` maps words to what stands for them."""
     keep = ["row_id"] + ([chunk_col] if chunk_col else [])
-    rows = spread(df.where((F.size("src") > 0) & (F.size("tgt") > 0)), "row_id")
-    left = F.concat(F.array(F.struct(F.lit(NULL_WORD).alias("w"), F.lit(1).alias("n"))), _counted(F.col("src")))
-    # Counted in a step of their own: next to the explode they would be counted once an exploded row.
-    counted = rows.select(*keep, _counted(F.col("tgt")).alias("ts"), left.alias("ss"))
-    return (
-        counted.select(*keep, F.explode("ts").alias("t"), "ss")
-        .select(*keep, "t", F.explode("ss").alias("s"))
-        .select(*keep, F.col("s.w").alias("e"), F.col("t.w").alias("f"), (F.col("s.n") * F.col("t.n")).cast("long").alias("n"), F.col("t.n").cast("long").alias("m"))
-    )
+    rows = _aligned_rows(df)
+    sources = F.concat(F.array(F.lit(NULL_WORD)), F.col("src"))
+    # Both sides are dealt by row already: neither the counts nor their join shuffle again.
+    e = rows.select("row_id", F.explode(sources).alias("w"), F.size(sources).alias("k")).groupBy("row_id", "w", "k").agg(F.count(F.lit(1)).alias("ns"))
+    f = rows.select(*keep, F.explode("tgt").alias("w")).groupBy(*keep, "w").agg(F.count(F.lit(1)).alias("m"))
+    left, right = e.select("row_id", "k", "ns", code(F.col("w")).alias("e")), f.select(*keep, "m", code(F.col("w")).alias("f"))
+    return right.join(left, "row_id").select(*keep, "e", "f", (F.col("ns") * F.col("m")).alias("n"), "m", F.col("k").cast("long").alias("k"))
 
 
 def e_step(pairs: DataFrame, ttable: DataFrame | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Expected counts ``e, f, c``. Without a table all words are equally likely."""
+    """Expected counts ``e, f, c``. Without a table all words are equally likely: a row's sum for a target
+    word is then its number of sources."""
     if ttable is None:
-        joined = pairs.withColumn("p", F.lit(1.0))
-    else:
-        joined = pairs.join(ttable, [*keys, "e", "f"])
+        return pairs.groupBy(*keys, "e", "f").agg(F.sum(F.col("n") / F.col("k")).alias("c"))
     z = F.sum(F.col("n") / F.col("m") * F.col("p")).over(Window.partitionBy("row_id", "f"))
-    return joined.withColumn("share", F.col("n") * F.col("p") / z).groupBy(*keys, "e", "f").agg(F.sum("share").alias("c"))
+    shares = pairs.join(ttable, [*keys, "e", "f"]).withColumn("share", F.col("n") * F.col("p") / z)
+    return shares.groupBy(*keys, "e", "f").agg(F.sum("share").alias("c"))
+
+
+def _hash(word: Column) -> Column:
+    return F.xxhash64(word)
+
+
+def _with_words(table: DataFrame, df: DataFrame) -> DataFrame:
+    """The words of hashed ``e, f``."""
+    words = df.select(F.explode(F.concat("src", "tgt", F.array(F.lit(NULL_WORD)))).alias("word")).distinct()
+    found = words.groupBy(_hash(F.col("word")).alias("h")).agg(F.min("word").alias("word"), (F.min("word") != F.max("word")).alias("clash"))
+    found = found.select("h", F.when(F.col("clash"), F.raise_error(F.lit("two words have one hash"))).otherwise(F.col("word")).alias("word"))
+    for c in ("e", "f"):
+        table = table.join(found.select(F.col("h").alias(c), F.col("word").alias(f"{c}_word")), c).drop(c).withColumnRenamed(f"{c}_word", c)
+    return table
 
 
 def m_step(counts: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -64,7 +80,7 @@ def train_ttable(df: DataFrame, iterations: int = 5, variational: bool = False,
     """The lexical table after ``iterations - 1`` steps (the last pass aligns). ``chunk_col`` trains a
     model of its own for each of its values."""
     keys = (chunk_col,) if chunk_col else ()
-    pairs = written(cooccurrences(df, chunk_col), "em-pairs")
+    pairs = bucketed(cooccurrences(df, chunk_col, _hash), "em-pairs", [*keys, "e", "f"])
     table = None
     for _ in range(iterations - 1):
         counts = e_step(pairs, table, keys)
@@ -72,12 +88,13 @@ def train_ttable(df: DataFrame, iterations: int = 5, variational: bool = False,
         if table is not None:
             discard(table)
         table = new
-    discard(pairs)
-    return table
+    out = written(_with_words(table, df).select(*keys, "e", "f", "p"), "em-table")
+    discard(pairs, table)
+    return out
 
 
 def _positions(df: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    rows = spread(df.where((F.size("src") > 0) & (F.size("tgt") > 0)), "row_id")
+    rows = _aligned_rows(df)
     sources = F.concat(F.array(F.lit(NULL_WORD)), F.col("src"))
     return rows.select("row_id", *keys, F.size("src").alias("ls"), F.size("tgt").alias("lt"), sources.alias("ss"), F.posexplode("tgt").alias("j", "f")).select(
         "row_id", *keys, "ls", "lt", "j", "f", F.posexplode("ss").alias("i", "e")

@@ -6,19 +6,33 @@ edit; a row's fixes are gathered, longest first, and folded over its tokens and
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.points import repair_points
-from ..functions.text import replace_tokens, span_starts
+from ..functions.text import detokenise, span_starts, tokenise_query
+from ..scratch import written
 from .phrases import PAIR, extract_phrases, phrase_counts
 
 ROW = ["project_id", "row_id"]
 
 
+TEXTS = ("src_phrase", "src_fix", "tgt_phrase", "tgt_fix")
+
+
+def tokenised(fixes: DataFrame) -> DataFrame:
+    """Fixes with their texts as tokens, as the corpus has them; texts that are tokens stay the same. A
+    fix that equals its phrase as typed is none."""
+    same = {fix: F.when(F.col(fix) == F.col(phrase), F.lit("")).otherwise(F.coalesce(fix, F.lit(""))) for phrase, fix in (("src_phrase", "src_fix"), ("tgt_phrase", "tgt_fix"))}
+    return fixes.withColumns(same).withColumns({c: tokenise_query(F.coalesce(c, F.lit(""))) for c in TEXTS})
+
+
 def match_fix(bitext: DataFrame, occ: DataFrame, fixes: DataFrame) -> DataFrame:
     """``fix_id, project_id, row_id``: rows of a fix's phrase pair; for fixes without occurrences, rows
     that hold both phrases as whole tokens. The search joins on the phrase's first token."""
+    fixes = tokenised(fixes)
     known = fixes.join(occ.select("project_id", "row_id", *PAIR).distinct(), ["project_id", *PAIR]).select(F.col("id").alias("fix_id"), *ROW)
     rest = fixes.join(known.select(F.col("fix_id").alias("id")).distinct(), "id", "left_anti")
     keyed = rest.withColumn("first", F.get(F.split("src_phrase", " "), F.lit(0)))
@@ -60,6 +74,7 @@ def apply_fixes(bitext: DataFrame, matches: DataFrame, fixes: DataFrame, side: s
     """One pass. ``side`` tgt takes fixes of direction 0 and 1, src those of direction 0 and -1; fixes
     that change nothing or are empty on that side are skipped. Rows not touched stay as they are."""
     arr, key, phrase, fix = ("tgt", "t", "tgt_phrase", "tgt_fix") if side == "tgt" else ("src", "s", "src_phrase", "src_fix")
+    fixes = tokenised(fixes)
     usable = fixes.where(F.col("direction").isin(0, 1 if side == "tgt" else -1) & (F.col(fix) != "") & (F.col(phrase) != "") & (F.col(fix) != F.col(phrase)))
     step = F.struct((-F.size(F.split(phrase, " "))).alias("order"), F.col("id"), F.split(phrase, " ").alias("sub"), F.split(fix, " ").alias("fix"))
     per_row = (
@@ -75,7 +90,8 @@ def apply_fixes(bitext: DataFrame, matches: DataFrame, fixes: DataFrame, side: s
 def augment(bitext: DataFrame, matches: DataFrame, fixes: DataFrame) -> DataFrame:
     """Copies of matched rows with the last match replaced on each side that has a fix; score 0; new
     row ids follow the project's largest, in order of fix and row."""
-    usable = fixes.select(F.col("id").alias("fix_id"), *[F.col(c) for c in ("src_phrase", "src_fix", "tgt_phrase", "tgt_fix")])
+    usable = tokenised(fixes).where("src_fix != '' or tgt_fix != ''").select(F.col("id").alias("fix_id"), *TEXTS)
+    matches = matches.join(usable.select("fix_id"), "fix_id", "left_semi")
     rows = matches.join(usable, "fix_id").join(bitext, ROW)
     for arr, key, phrase, fix in (("src", "s", "src_phrase", "src_fix"), ("tgt", "t", "tgt_phrase", "tgt_fix")):
         state = F.struct(F.col(arr).alias("w"), F.col("points").alias("p"))
@@ -116,11 +132,46 @@ def merge_pending(fixes: DataFrame) -> DataFrame:
     return fixes.groupBy(key).agg(latest.alias("f")).select(*key, "f.*").select(fixes.columns)
 
 
+def list_fixes(history: DataFrame, project_id: int) -> DataFrame:
+    """A project's fixes as they are read: texts without markers."""
+    rows = history.where(F.col("project_id") == project_id)
+    return rows.withColumns({c: detokenise(F.col(c)) for c in TEXTS})
+
+
+def count_fixes(history: DataFrame) -> DataFrame:
+    return history.groupBy("project_id").agg(F.count(F.lit(1)).alias("fixes"))
+
+
+class Applied(NamedTuple):
+    """A project after its fixes."""
+
+    bitext: DataFrame
+    occ: DataFrame
+    phrases: DataFrame
+    history: DataFrame
+
+
 def apply_changes(bitext: DataFrame, occ: DataFrame, fixes: DataFrame) -> DataFrame:
     """Augment, then the forward and the reverse pass over the same matches."""
     matches = sample_rows(match_fix(bitext, occ, fixes), fixes)
     aug = fixes.where("type = 'augment'")
-    fix = fixes.where("type = 'fix'")
+    fix = fixes.where("coalesce(type, 'fix') = 'fix'")
     of = lambda f: matches.join(f.select(F.col("id").alias("fix_id")), "fix_id", "left_semi")
     grown = bitext.unionByName(augment(bitext, of(aug), aug))
     return apply_fixes(apply_fixes(grown, of(fix), fix, "tgt"), of(fix), fix, "src")
+
+
+def apply_project(bitext: DataFrame, occ: DataFrame, phrases: DataFrame, fixes: DataFrame, history: DataFrame, **extraction) -> Applied:
+    """All of it: rows edited, occurrences of changed and new rows extracted anew, phrases counted anew
+    (hidden ones stay hidden, phrases without occurrences go), fixes saved."""
+    edited = written(apply_changes(bitext, occ, fixes), "fixed-rows")
+    old = bitext.select(*ROW, "src", "tgt", "points")
+    changed = edited.join(old, [*ROW, "src", "tgt", "points"], "left_anti")
+    rows = edited.select("row_id", "project_id")
+    # Fresh occurrences get their project from their row.
+    fresh = refresh_phrases(occ.select("row_id", *[c for c in occ.columns if c not in ("row_id", "project_id")]), changed, **extraction).join(rows, "row_id")
+    fresh = written(fresh.select(occ.columns), "fixed-occurrences")
+    counts = fresh.groupBy("project_id", *PAIR, "row_id").agg(F.max("direction").alias("direction")).groupBy("project_id", *PAIR).agg(F.max("direction").alias("direction"), F.count(F.lit(1)).alias("num_occurrences"))
+    ignored = phrases.where("ignore").select("project_id", *PAIR).distinct().withColumn("_ignored", F.lit(True))
+    counted = counts.join(ignored, ["project_id", *PAIR], "left").withColumn("ignore", F.coalesce("_ignored", F.lit(False))).drop("_ignored")
+    return Applied(edited, fresh, counted, save_fixes(history, fixes))

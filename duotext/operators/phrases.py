@@ -1,7 +1,7 @@
 """Phrase extraction: narrow per row, then one aggregate over pairs.
 
-Spans are made, projected and checked inside each row, so extraction has no shuffle; the only large
-shuffle is the grouping of pairs, combined before it.
+Spans are made, projected and checked inside each row. Rows are dealt out once before, as a small file
+would be one task; the only large shuffle is the grouping of pairs, combined before it.
 """
 
 from __future__ import annotations
@@ -16,38 +16,51 @@ from .em import swapped
 PAIR = ["src_phrase", "tgt_phrase"]
 
 
-def _reach(side: str, of: str, to: str, pick) -> Column:
-    """Per position of ``side`` the outermost position it is linked to, null without a link."""
+def _reach(side: str, of: str, to: str) -> tuple[Column, Column]:
+    """Per position of ``side`` the least and the greatest position it is linked to, null without a link:
+    where its links begin in the sorted ones, and in those sorted the other way."""
     n = F.size(side)
-    linked = lambda i: F.transform(F.filter("points", lambda p: p[of] == i), lambda p: p[to])
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: pick(linked(i))))
+
+    def first(links: Column) -> Column:
+        at, tos = F.transform(links, lambda p: p[of]), F.transform(links, lambda p: p[to])
+        # The columns are made once a row; a look-up is one scan of numbers.
+        pick = lambda i: F.element_at(tos, F.nullif(F.array_position(at, i), F.lit(0)).cast("int"))
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), pick))
+
+    ordered = F.array_sort(F.transform("points", lambda p: F.struct(p[of].alias(of), p[to].alias(to))))
+    return first(ordered), first(F.reverse(ordered))
+
+
+def indexed(df: DataFrame) -> DataFrame:
+    """``df (src, tgt, points)`` with the reach of each position: ``t_low, t_high, s_low, s_high``."""
+    (t_low, t_high), (s_low, s_high) = _reach("src", "s", "t"), _reach("tgt", "t", "s")
+    return df.withColumns({"t_low": t_low, "t_high": t_high, "s_low": s_low, "s_high": s_high})
+
+
+def spans_of(side: str, min_len: int, max_len: int) -> Column:
+    """``array<struct<a0, a1>>`` of all spans (inclusive) of a side."""
+    n = F.size(side)
+    starts = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(0), n - k), lambda a: F.struct(a.alias("a0"), (a + k - 1).alias("a1"))))
+    return F.flatten(F.filter(F.transform(F.sequence(F.lit(min_len), F.lit(max_len)), starts), lambda x: x.isNotNull()))
+
+
+def within(reach: str, lo: Column, hi: Column) -> Column:
+    return F.slice(F.col(reach), lo + 1, hi - lo + 1)
 
 
 def project_spans(df: DataFrame, min_len: int = 1, max_len: int = 3) -> DataFrame:
     """Source spans ``s0..s1`` (inclusive) with the outermost target links ``t0..t1``. Each row's links
     are indexed by position once, before its spans are made."""
-    n = F.size("src")
-    starts = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(0), n - k), lambda a: F.struct(a.alias("s0"), (a + k - 1).alias("s1"))))
-    spans = F.flatten(F.filter(F.transform(F.sequence(F.lit(min_len), F.lit(max_len)), starts), lambda x: x.isNotNull()))
-    indexed = df.withColumns(
-        {
-            "t_low": _reach("src", "s", "t", F.array_min), "t_high": _reach("src", "s", "t", F.array_max),
-            "s_low": _reach("tgt", "t", "s", F.array_min), "s_high": _reach("tgt", "t", "s", F.array_max),
-        }
-    )
-    inside = lambda c: F.slice(c, F.col("span.s0") + 1, F.col("span.s1") - F.col("span.s0") + 1)
-    return (
-        indexed.withColumn("span", F.explode(spans))
-        .withColumns({"s0": F.col("span.s0"), "s1": F.col("span.s1"), "t0": F.array_min(inside("t_low")), "t1": F.array_max(inside("t_high"))})
-        .drop("span", "t_low", "t_high")
-        .where("t0 is not null")
-    )
+    spans = indexed(df).withColumn("span", F.explode(spans_of("src", min_len, max_len)))
+    spans = spans.withColumns({"s0": F.col("span.a0"), "s1": F.col("span.a1")})
+    reach = {"t0": F.array_min(within("t_low", F.col("s0"), F.col("s1"))), "t1": F.array_max(within("t_high", F.col("s0"), F.col("s1")))}
+    return spans.withColumns(reach).drop("span", "t_low", "t_high").where("t0 is not null")
 
 
 def consistent() -> Column:
     """The target span's links lead back to exactly the source span."""
-    back = lambda c: F.slice(c, F.col("t0") + 1, F.col("t1") - F.col("t0") + 1)
-    return (F.array_min(back("s_low")) == F.col("s0")) & (F.array_max(back("s_high")) == F.col("s1"))
+    t0, t1 = F.col("t0"), F.col("t1")
+    return (F.array_min(within("s_low", t0, t1)) == F.col("s0")) & (F.array_max(within("s_high", t0, t1)) == F.col("s1"))
 
 
 def phrase_text(arr: str, start: str, end: str) -> Column:
@@ -174,8 +187,9 @@ def occurrences_of(occ: DataFrame, bitext: DataFrame, src: str, tgt: str, limit:
     return page.join(bitext, "row_id").crossJoin(F.broadcast(total))
 
 
-def phrases_of_row(occ: DataFrame, counts: DataFrame, row_id: int) -> DataFrame:
-    return occ.where(F.col("row_id") == row_id).select(*PAIR).distinct().join(counts, PAIR)
+def phrases_of_rows(occ: DataFrame, counts: DataFrame) -> DataFrame:
+    """The phrases of each row with their counts; for one row, filter ``occ`` by its id first."""
+    return occ.select("row_id", *PAIR).distinct().join(counts, PAIR)
 
 
 def list_phrases(counts: DataFrame, symmetric: bool = False) -> DataFrame:

@@ -87,6 +87,19 @@ def sql_tokenise(x: str, symbols: str = _CLASS) -> str:
     return f"trim(regexp_replace({out}, '(^| )#NB ?$', ''))"
 
 
+def sql_tokenise_query(x: str, symbols: str) -> str:
+    """One character a token of each marker; neighbours of unlike kind cancel until none is left."""
+    cls = symbols.replace("'", "''")
+    parts = f"string_split(regexp_replace(nfc_normalize({x}), '({cls})', ' ' || chr(1) || ' \\1 ' || chr(1) || ' ', 'g'), ' ')"
+    marked = f"list_transform({parts}, lambda y: case when trim(y) = '' then chr(2) else y end)"
+    out = f"array_to_string({marked}, chr(3))"
+    for _ in range(24):
+        out = f"replace(replace(chr(3) || {out} || chr(3), chr(3) || chr(1) || chr(3) || chr(2) || chr(3), chr(3)), chr(3) || chr(2) || chr(3) || chr(1) || chr(3), chr(3))"
+        out = f"trim({out}, chr(3))"
+    out = f"replace(replace(replace({out}, chr(3), ' '), chr(1), '#NB'), chr(2), '#BLANK')"
+    return f"case when trim({x}) = '' then '' else trim(regexp_replace({out}, '[\\x20\\x09-\\x0D]+', ' ', 'g')) end"
+
+
 def sql_detokenise(x: str) -> str:
     b = "[\\x20\\x09-\\x0D]*"
     return f"regexp_replace(regexp_replace({x}, '{b}#NB{b}', '', 'g'), '{b}#BLANK{b}', ' ', 'g')"

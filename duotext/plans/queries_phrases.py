@@ -134,7 +134,7 @@ def _(spark, d):
 @query("phr17_phrases_of_rows", _W + "select distinct row_id, src_phrase, tgt_phrase, num_occurrences from occ join counts using (src_phrase, tgt_phrase)")
 def _(spark, d):
     occ = occ_of(spark, d)
-    return occ.select("row_id", *ph.PAIR).distinct().join(ph.phrase_counts(occ), ph.PAIR).select("row_id", *ph.PAIR, "num_occurrences")
+    return ph.phrases_of_rows(occ, ph.phrase_counts(occ)).select("row_id", *ph.PAIR, "num_occurrences")
 
 
 @query("phr18_list_phrases", _W + f"select {fx.sql_detokenise('src_phrase')} as src_phrase, {fx.sql_detokenise('tgt_phrase')} as tgt_phrase, direction, num_occurrences from counts where direction = 0")
@@ -154,7 +154,7 @@ def _(spark, d):
 
 @query("str1_row_pairs", _W + "select src_phrase, tgt_phrase, num_occurrences from counts")
 def _(spark, d):
-    pairs = fx.bitext(spark, d).select(F.explode(row_pairs()).alias("p")).select("p.*")
+    pairs = ph.indexed(fx.bitext(spark, d)).select(F.explode(row_pairs()).alias("p")).select("p.*")
     return pairs.groupBy(*ph.PAIR).agg(F.count(F.lit(1)).alias("num_occurrences"))
 
 
@@ -244,12 +244,31 @@ def _(spark, d):
     return out.select("project_id", "row_id", F.array_join("src", " ").alias("src"), F.array_join("tgt", " ").alias("tgt"), P.format_points("points").alias("points"))
 
 
+def _changed(spark, d):
+    occ, fixes = _fixes(spark, d)
+    fixes = fixes.withColumn("type", F.when(F.col("id") % 5 == 0, "augment").otherwise("fix"))
+    phrases = ph.phrase_counts(occ).select(F.lit(0).cast("long").alias("project_id"), *ph.PAIR, "direction", "num_occurrences", F.lit(False).alias("ignore"))
+    return fix.apply_project(fx.bitext(spark, d), occ, phrases, fixes, fixes.limit(0))
+
+
 @query("fix8_apply_changes")
 def _(spark, d):
-    occ, fixes = _fixes(spark, d)
-    df = fx.bitext(spark, d)
-    out = fix.apply_changes(df, occ, fixes.withColumn("type", F.when(F.col("id") % 5 == 0, "augment").otherwise("fix")))
-    return out.select("project_id", "row_id", F.array_join("src", " ").alias("src"), F.array_join("tgt", " ").alias("tgt"))
+    return _changed(spark, d).bitext.select("project_id", "row_id", F.array_join("src", " ").alias("src"), F.array_join("tgt", " ").alias("tgt"))
+
+
+@query("fix8_phrases_after")
+def _(spark, d):
+    return _changed(spark, d).phrases.select("project_id", *ph.PAIR, "direction", "num_occurrences", "ignore")
+
+
+@query("fix11_list_fixes", f"with {_FIXES} select id, {fx.sql_detokenise('src_phrase')} as src_phrase, {fx.sql_detokenise('src_fix')} as src_fix, {fx.sql_detokenise('tgt_phrase')} as tgt_phrase, {fx.sql_detokenise('tgt_fix')} as tgt_fix from fixes where project_id = 1")
+def _(spark, d):
+    return fix.list_fixes(_fixes(spark, d)[1], 1).select("id", *fix.TEXTS)
+
+
+@query("fix11_count_fixes", f"with {_FIXES} select project_id, count(*) as fixes from fixes group by 1")
+def _(spark, d):
+    return fix.count_fixes(_fixes(spark, d)[1])
 
 
 @query("fix9_refresh_phrases", _W + "select src_phrase, tgt_phrase, row_id, direction from occ")

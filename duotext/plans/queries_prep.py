@@ -46,7 +46,7 @@ def _(spark, d):
 _WIDE = fx._CLASS[:-1] + "€§»«]"
 
 
-@query("pre4_tokenise_query", f"with {fx.SQL_RAW} select row_id, regexp_replace({fx.sql_tokenise('src_raw', _WIDE)}, '^#NB ', '') as src from raw_pairs")
+@query("pre4_tokenise_query", f"with {fx.SQL_RAW} select row_id, {fx.sql_tokenise_query('src_raw', _WIDE)} as src from raw_pairs")
 def _(spark, d):
     return fx.raw_pairs(spark, d).select("row_id", T.tokenise_query(F.col("src_raw")).alias("src"))
 

@@ -191,9 +191,10 @@ def _(spark, d):
     return fx.read_table(spark, d, "part").select("p_partkey", M.head_token(phrase).alias("head"))
 
 
-@query("mor5_morph_pairs", _LEX + "select src_phrase, tgt_phrase, sl as src_line, tl as tgt_line from ok")
+@query("mor5_morph_pairs", _LEX + "select src_phrase, tgt_phrase, base as src_tag, feat as tgt_feat, min(sl) as src_line, min(tl) as tgt_line, count(*) as entries from ok group by 1, 2, 3, 4")
 def _(spark, d):
-    return morphology.morph_pairs(fx.words_catalogue(spark, d), *_lexicons(spark, d)).select("src_phrase", "tgt_phrase", "src_line", "tgt_line")
+    pairs = morphology.morph_pairs(fx.words_catalogue(spark, d), *_lexicons(spark, d))
+    return pairs.select("src_phrase", "tgt_phrase", F.col("a.base").alias("src_tag"), F.col("b.feat").alias("tgt_feat"), "src_line", "tgt_line", "entries")
 
 
 @query("mor6_morph_witness", _LEX + "select * from wit")
@@ -201,7 +202,7 @@ def _(spark, d):
     return morphology.morph_witness(morphology.morph_pairs(fx.words_catalogue(spark, d), *_lexicons(spark, d)))
 
 
-@query("mor7_form_aligned", _LEX + "select * from wit order by src_phrase, tgt_phrase limit 200000")
+@query("mor7_form_aligned", _LEX + "select * from wit")
 def _(spark, d):
     return morphology.form_aligned(fx.words_catalogue(spark, d), *_lexicons(spark, d))
 

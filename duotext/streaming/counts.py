@@ -7,33 +7,29 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip_markers
 from ..operators.em import force_align
-from ..operators.phrases import PAIR, valid_phrase
+from ..operators.phrases import PAIR, indexed, spans_of, valid_phrase, within
 
 
 def row_pairs(min_len: int = 1, max_len: int = 3, rule: str = "edge") -> Column:
-    """The distinct consistent pairs of a row of ``src, tgt, points``, of both passes, as an array."""
+    """The distinct consistent pairs of a row of :func:`indexed`, of both passes, as an array."""
 
-    def one_side(a: str, b: str, x: str, y: str) -> Column:
-        n = F.size(a)
-        starts = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(0), n - k), lambda i: F.struct(i.alias("a0"), (i + k - 1).alias("a1"))))
-        spans = F.flatten(F.filter(F.transform(F.sequence(F.lit(min_len), F.lit(max_len)), starts), lambda s: s.isNotNull()))
-        reach = lambda lo, hi, of, to: F.transform(F.filter("points", lambda p: p[of].between(lo, hi)), lambda p: p[to])
-        cut = lambda arr, lo, hi: strip_markers(F.array_join(F.slice(F.col(arr), lo + 1, hi - lo + 1), " "))
+    def one_side(side: str, low: str, high: str, back_low: str, back_high: str) -> Column:
+        cut = lambda arr, lo, hi: strip_markers(F.array_join(within(arr, lo, hi), " "))
 
         def project(s):
-            ts = reach(s["a0"], s["a1"], x, y)
-            return F.struct(s["a0"].alias("a0"), s["a1"].alias("a1"), F.array_min(ts).alias("b0"), F.array_max(ts).alias("b1"))
+            b0, b1 = F.array_min(within(low, s["a0"], s["a1"])), F.array_max(within(high, s["a0"], s["a1"]))
+            return F.struct(s["a0"].alias("a0"), s["a1"].alias("a1"), b0.alias("b0"), b1.alias("b1"))
 
-        def back(s):
-            ss = reach(s["b0"], s["b1"], y, x)
-            return (F.array_min(ss) == s["a0"]) & (F.array_max(ss) == s["a1"])
+        def leads_back(s):
+            ends = F.array_min(within(back_low, s["b0"], s["b1"])), F.array_max(within(back_high, s["b0"], s["b1"]))
+            return s["b0"].isNotNull() & (ends[0] == s["a0"]) & (ends[1] == s["a1"])
 
-        good = F.filter(F.filter(F.transform(spans, project), lambda s: s["b0"].isNotNull()), back)
-        first, second = ("a", "b") if a == "src" else ("b", "a")
+        good = F.filter(F.transform(spans_of(side, min_len, max_len), project), leads_back)
+        first, second = ("a", "b") if side == "src" else ("b", "a")
         texts = F.transform(good, lambda s: F.struct(cut("src", s[first + "0"], s[first + "1"]).alias("src_phrase"), cut("tgt", s[second + "0"], s[second + "1"]).alias("tgt_phrase")))
         return F.filter(texts, lambda t: valid_phrase(t["src_phrase"], rule) & valid_phrase(t["tgt_phrase"], rule))
 
-    both = F.concat(one_side("src", "tgt", "s", "t"), one_side("tgt", "src", "t", "s"))
+    both = F.concat(one_side("src", "t_low", "t_high", "s_low", "s_high"), one_side("tgt", "s_low", "s_high", "t_low", "t_high"))
     return F.array_distinct(both)
 
 
@@ -41,7 +37,7 @@ def stream_phrase_counts(rows: DataFrame, **extraction) -> DataFrame:
     """Running number of rows per pair, for update or complete mode. Pairs are distinct inside their row
     before they are counted, so the state is one counter a pair (use the RocksDB state store);
     there is no event time, hence no watermark."""
-    pairs = rows.select(F.explode(row_pairs(**extraction)).alias("p")).select("p.*")
+    pairs = indexed(rows).select(F.explode(row_pairs(**extraction)).alias("p")).select("p.*")
     return pairs.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("num_occurrences"))
 
 

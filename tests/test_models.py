@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import unicodedata
 from collections import defaultdict
 
 import pytest
@@ -181,6 +182,53 @@ def test_fixes_change_matched_rows_only(spark):
     assert out[3].src == ["the", "red", "van"] and out[4].src == ["a", "car", "van"] and out[3].score == 0.0
 
 
+def test_fixes_are_typed_as_text_and_the_project_follows(spark):
+    # A fix typed with an apostrophe meets the tokens of the corpus, and what it writes is tokens again.
+    src, tgt = ["l", "#NB", "'", "#NB", "amico", "va"], ["the", "friend", "goes"]
+    pts = [(0, 0), (2, 0), (4, 1), (5, 2)]
+    bt = spark.createDataFrame([(0, 1, src, tgt, pts, 0.5, False), (0, 2, ["va"], ["goes"], [(0, 0)], 0.5, False)], f"project_id long, row_id long, src array<string>, tgt array<string>, points {PTS}, score double, deleted boolean")
+    occ = ph.extract_phrases(bt, max_len=5).withColumn("project_id", F.lit(0).cast("long"))
+    phrases = ph.phrase_counts(occ).select(F.lit(0).cast("long").alias("project_id"), *ph.PAIR, "direction", "num_occurrences", (F.col("src_phrase") == "va").alias("ignore"))
+    fixes = spark.createDataFrame(
+        [(1, 0, "l'amico", "l'amica, poi", "the friend", "the friend", 0, 100, "fix")],
+        "id long, project_id long, src_phrase string, src_fix string, tgt_phrase string, tgt_fix string, direction int, percentage int, type string",
+    )
+    assert [r.row_id for r in fx.match_fix(bt, occ, fixes).collect()] == [1]
+    after = fx.apply_project(bt, occ, phrases, fixes, fixes.limit(0), max_len=5)
+    rows = {r.row_id: r for r in after.bitext.collect()}
+    assert rows[1].src == ["l", "#NB", "'", "#NB", "amica", "#NB", ",", "poi", "va"] and rows[2].src == ["va"]
+    got = {(r.src_phrase, r.tgt_phrase): (r.num_occurrences, r.ignore) for r in after.phrases.collect()}
+    assert got["va", "goes"] == (2, True) and not any("amico" in s for s, _ in got)
+    want = {(r.src_phrase, r.tgt_phrase) for r in ph.extract_phrases(after.bitext, max_len=5).collect()}
+    assert set(got) == want
+    assert [r.src_fix for r in fx.list_fixes(after.history, 0).collect()] == ["l'amica, poi"]
+    assert [tuple(r) for r in fx.count_fixes(after.history).collect()] == [(0, 1)]
+
+
+def test_query_tokens_against_a_stack(spark):
+    texts = ["a  b", "a, b", "l'amico", " x", "x ", "..", ". .", "a .  b", "  ", "", "ﬁn", "e\u0301", "l #NB ' #NB amico", "€5", "a,  ,b"]
+    wide = ["'", "!", ",", ".", "€", "?"]
+
+    def model(t):
+        if not t.strip():
+            return ""
+        t = unicodedata.normalize("NFKC", t)
+        for s in wide:
+            t = t.replace(s, f" #NB {s} #NB ")
+        out = []
+        for x in t.split(" "):
+            x = x if x.strip() else "#BLANK"
+            if out and {out[-1], x} == {"#NB", "#BLANK"}:
+                out.pop()
+            else:
+                out.append(x)
+        return " ".join(out)
+
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", T.tokenise_query(F.col("t")).alias("q")).collect()
+    assert {r.i: r.q for r in got} == {i: model(t) for i, t in enumerate(texts)}
+    assert spark.createDataFrame([("Perche\u0301 ",)], "t string").select(T.norm_token(F.col("t"))).first()[0] == "perch\u00e9"
+
+
 def test_merge_pending_and_history(spark):
     rows = [(1, "a", "x", "t", "y", 0), (2, "a", "z", "t", "y", 0), (3, "", "", "", "", 0)]
     f = spark.createDataFrame(rows, "id long, src_phrase string, src_fix string, tgt_phrase string, tgt_fix string, direction int")
