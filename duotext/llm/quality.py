@@ -1,19 +1,25 @@
 """Quality rules: word statistics and the perplexity of a modified Kneser-Ney model per language.
 
-Model: trigrams of symbols. A language's alphabet holds its 56 most frequent code points and 7 classes
-for all others, so that 64 ** 3 entries bound a model whatever the corpus' size; every document of
-the corpus is counted. Spark counts code points, then trigrams; one group a language (at most
-262,144 rows) turns counts into discounted probabilities and keeps them in arrays sorted by the
-n-gram's packed code, a hash without collisions. The ``max_languages`` most frequent languages have
-a model of their own, all others share one, and one model holds all languages: this bounds what is
-broadcast (34 models of at most 3.1 MB).
-
-Verdict: each stretch of 64 symbols gets the better log-likelihood of its language's model and of the
-model of all languages, so that clean text that changes the language stays likely. A document's
-score is the log of its negative log-likelihood per word, the log of its log-perplexity. Per language, scores are counted in bins over all documents that pass the base
-rules; the band is the median plus or minus ``width`` robust deviations (1.4826 times the median
-absolute deviation, at least ``least_deviation``), wider by ``sqrt(1 + least_words / n_words)`` as
-scores of short texts scatter more. Documents outside the band are rejected.
+Model: trigrams of code points, all of them, in every language of the corpus; there is no alphabet and no
+cap, so what is counted grows with the corpus. Three code points of 21 bits fill a 63-bit code, a hash
+without collisions from which shorter n-grams follow by bits. Tasks count the codes of their batches
+by sorting; Spark sums them, and joins and aggregates of the n-gram tables give the discounts (orders
+one to three have their own, by counts of counts), continuation counts and interpolated
+probabilities. As every document is counted, each trigram to be scored is in the model, which so is one
+sorted array of codes with their log-probabilities per language.
+
+Scoring: models of at most ``most_shipped`` bytes together go to all tasks, which search the arrays; larger
+ones stay a table, and the trigrams of the documents' stretches are joined with it by language
+and code. Both ways give the same scores.
+
+Verdict: a text is cut into stretches of about 64 code points. Its score is the median of the stretches'
+mean negative log-probabilities, the log of its perplexity a character; the median leaves passages of
+another kind (an address, a licence line, a quotation) in clean text without weight. A second score
+is the log of what that makes a word. Per language, scores of all documents that pass the base
+rules are counted in bins; the bands are the medians plus or minus ``width`` robust deviations (1.4826
+times the median absolute deviation, at least ``least_deviation``), wider by
+``sqrt(1 + least_words / n_words)`` as scores of short texts scatter more. Documents outside of
+either band are rejected.
 
 Defined results: null text has no words; documents failing the base rules are rejected whatever the
 model says; null languages are one language; an empty table gives an empty result; extra columns
@@ -23,85 +29,37 @@ judged one by one.
 
 from __future__ import annotations
 
-import math
-import unicodedata
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scratch import discard, written
+from ..scratch import bucketed, discard, written
+from .common import attach
 
-BITS = 6
-SYMBOLS = 1 << BITS
-CLASSES = 8  # symbol 0 is the start of a text, 1 to 7 are classes
-ALL = "=all"  # the model of all languages together
+BITS = 21
 STRETCH = 64
+FLUSH = 1 << 22  # codes sorted together
 BLANKS = b" \t\n\x0b\f\r"
 MARKS = "#*$%&|<>"
+STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def class_of(code_point: int) -> int:
-    """1 blank, 2 digit, 3 upper case, 4 lower case, 5 other letter, 6 punctuation or symbol, 7 other."""
-    kind = unicodedata.category(chr(code_point)) if code_point < 0x110000 else "Cn"
-    if kind[0] == "Z" or code_point in range(9, 14):
-        return 1
-    return {"N": 2, "P": 6, "S": 6}.get(kind[0]) or {"Lu": 3, "Lt": 3, "Ll": 4}.get(kind) or (5 if kind[0] in "LM" else 7)
-
-
-@cache
-def _classes() -> np.ndarray:
-    return np.fromiter(map(class_of, range(0x110000)), np.uint8, 0x110000)
-
-
-def alphabet_table(frequent: list[int]) -> np.ndarray:
-    """The symbol of each code point."""
-    table = _classes().copy()
-    table[frequent] = np.arange(CLASSES, CLASSES + len(frequent), dtype=np.uint8)
-    return table
+def trigram_codes(text: str) -> np.ndarray:
+    """The code of each code point with the two before it; 0 stands before the text."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    padded = np.zeros(len(points) + 2, np.int64)
+    padded[2:] = points
+    padded[2:] += 1
+    return (padded[:-2] << 2 * BITS) | (padded[1:-1] << BITS) | padded[2:]
 
 
-def trigram_codes(text: str, table: np.ndarray) -> np.ndarray:
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    symbols = np.zeros(len(points) + 2, np.int32)
-    symbols[2:] = table[points]
-    return (symbols[:-2] << 2 * BITS) | (symbols[1:-1] << BITS) | symbols[2:]
-
-
-def discounts(counts: np.ndarray) -> np.ndarray:
-    """Discounts of counts 0, 1, 2 and 3 or more; where the counts of counts give none, half."""
-    n = [0, *(int((counts == k).sum()) for k in (1, 2, 3, 4))]
-    y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.0
-    out = [0.0]
-    for k in (1, 2, 3):
-        d = k - (k + 1) * y * n[k + 1] / n[k] if n[k] and n[k + 1] else 0.5
-        out.append(min(max(d, 0.0), float(k)))
-    return np.array(out)
-
-
-def _level(counts: np.ndarray, lower: np.ndarray) -> np.ndarray:
-    """Interpolated probabilities of ``counts[..., symbol]`` over those of the next lower order."""
-    d = discounts(counts)[np.minimum(counts, 3)]
-    total = counts.sum(-1, keepdims=True)
-    safe = np.maximum(total, 1)
-    return np.where(total > 0, (counts - d) / safe + d.sum(-1, keepdims=True) / safe * lower, lower)
-
-
-def kneser_ney(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Log-probabilities of all trigram codes: counts at order 3, numbers of distinct left
-    neighbours below, the uniform distribution at the bottom."""
-    c3 = np.zeros(SYMBOLS**3, np.int64)
-    c3[codes] = counts
-    c3 = c3.reshape(SYMBOLS, SYMBOLS, SYMBOLS)
-    c2 = (c3 > 0).sum(0)
-    c1 = (c2 > 0).sum(0)
-    p1 = _level(c1, np.full(SYMBOLS, 1 / SYMBOLS))
-    p2 = _level(c2, p1)
-    return np.log(_level(c3, p2)).reshape(-1)
+def stretches(n: int) -> np.ndarray:
+    """Where the stretches of ``n`` code points begin: about 64 each, all alike."""
+    k = max(1, round(n / STRETCH))
+    return np.arange(k) * n // k
 
 
 def word_stats(text: str) -> tuple[int, int, int, int, int]:
@@ -133,103 +91,118 @@ def word_stats(text: str) -> tuple[int, int, int, int, int]:
     return n, chars, symbols, dup, repeat
 
 
-def _code_points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        by: dict[str | None, np.ndarray] = {}
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            points = np.frombuffer((text.as_py() or "").encode("utf-32-le", "surrogatepass"), np.uint32)
-            counts = np.bincount(points) if len(points) else np.zeros(0, np.int64)
-            old = by.get(lang, counts[:0])
-            if len(old) < len(counts):
-                old, counts = counts, old
-            old[: len(counts)] += counts
-            by[lang] = old
-        for lang, counts in by.items():
-            at = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())], ["lang", "point", "n"])
-
-
-def _trigrams(alphabets):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = {k: alphabet_table(v) for k, v in alphabets.value.items()}
-        by: dict[str, np.ndarray] = {}
-        waiting: dict[str, list[np.ndarray]] = {}
-
-        def count(model: str):
-            codes = np.concatenate(waiting.pop(model))
-            by[model] = by.get(model, 0) + np.bincount(codes, minlength=SYMBOLS**3)
-
-        for batch in batches:
-            for own, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                text = text.as_py()
-                for model in (own, ALL) if text else ():
-                    waiting.setdefault(model, []).append(trigram_codes(text, tables[model]))
-                    if sum(map(len, waiting[model])) > 1 << 20:
-                        count(model)
-        for model in list(waiting):
-            count(model)
-        for model, counts in by.items():
-            at = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array([model] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())], ["model", "code", "n"])
-
-    return run
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    waiting: dict[str, list[np.ndarray]] = {}
 
+    def counted(model: str) -> pa.RecordBatch:
+        codes, n = np.unique(np.concatenate(waiting.pop(model)), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array([model] * len(codes), pa.string()), pa.array(codes, pa.int64()), pa.array(n, pa.int64())], ["model", "code", "n"])
 
-def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One language's sorted arrays."""
-    pdf = pdf.sort_values("code")
-    codes, counts = pdf["code"].to_numpy(np.int32), pdf["n"].to_numpy(np.int64)
-    return pd.DataFrame({"model": [pdf["model"].iloc[0]], "codes": [codes.tobytes()], "counts": [counts.tobytes()]})
-
+    for batch in batches:
+        for model, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            waiting.setdefault(model, []).append(trigram_codes(text.as_py()))
+            if sum(map(len, waiting[model])) > FLUSH:
+                yield counted(model)
+        if sum(len(c) for codes in waiting.values() for c in codes) > FLUSH:
+            yield from map(counted, list(waiting))
+    yield from map(counted, list(waiting))
+
+
+def _discounts(grams: DataFrame) -> DataFrame:
+    """``model, d1, d2, d3, types`` from the counts of counts; where they give none, half."""
+    n = {k: F.count_if(F.col("n") == k) for k in (1, 2, 3, 4)}
+    y = F.coalesce(n[1] / F.nullif(n[1] + 2 * n[2], F.lit(0)), F.lit(0.0))
+    cut = lambda k: F.when((n[k] > 0) & (n[k + 1] > 0), F.greatest(F.lit(0.0), F.least(F.lit(float(k)), k - (k + 1) * y * n[k + 1] / n[k]))).otherwise(0.5)
+    return grams.groupBy("model").agg(*[cut(k).alias(f"d{k}") for k in (1, 2, 3)], F.count(F.lit(1)).alias("types"))
+
+
+def _interpolated(grams: DataFrame, below: DataFrame | None, order: int) -> DataFrame:
+    """``model, code, p`` of the n-grams with counts ``n``, over those of the next lower order."""
+    cuts = _discounts(grams)
+    rows = attach(grams, cuts, ["model"], "types")
+    rows = rows.withColumn("d", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")))
+    rows = rows.select("model", "code", "n", "d", F.shiftright("code", BITS).alias("context"), F.col("code").bitwiseAND(F.lit((1 << BITS * (order - 1)) - 1)).alias("suffix"))
+    if below is None:
+        # The lowest order has one context for all, and the uniform distribution below it.
+        sums = rows.groupBy("model").agg(F.sum("n").alias("total"), F.sum("d").alias("left"), F.count(F.lit(1)).alias("types"))
+        sums = sums.withColumn("q", 1 / F.col("types"))
+        joined = attach(rows, sums, ["model"], "types")
+    else:
+        sums = rows.groupBy("model", "context").agg(F.sum("n").alias("total"), F.sum("d").alias("left"))
+        lower = below.select("model", F.col("code").alias("suffix"), F.col("p").alias("q"))
+        joined = rows.join(sums, ["model", "context"]).join(lower, ["model", "suffix"])
+    return joined.select("model", "code", ((F.col("n") - F.col("d") + F.col("left") * F.col("q")) / F.col("total")).alias("p"))
+
+
+def kneser_ney(grams: DataFrame) -> DataFrame:
+    """``model, code, p`` of all trigrams ``model, code, n``: counts at order 3, numbers of distinct left
+    neighbours below, the uniform distribution over the language's code points at the bottom."""
+    shorter = lambda rows, order: rows.groupBy("model", F.col("code").bitwiseAND(F.lit((1 << BITS * order) - 1)).alias("code")).agg(F.count(F.lit(1)).alias("n"))
+    pairs = written(shorter(grams, 2), "quality-pairs")
+    ones = written(_interpolated(shorter(pairs, 1), None, 1), "quality-ones")
+    twos = written(_interpolated(pairs, ones, 2), "quality-twos")
+    return _interpolated(grams, twos, 3)
+
+
+def model_of(lang: Column) -> Column:
+    return F.when(lang.isNull(), "=none").otherwise(F.concat(F.lit("+"), lang))
+
+
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """``model, code, n, nlp``: every trigram of every language with its count and negative log-probability."""
+    texts = docs.select(model_of(F.col(f"`{lang_col}`").cast("string")).alias("model"), F.col(f"`{text_col}`").cast("string").alias("text")).where("length(text) > 0")
+    grams = texts.mapInArrow(_count, "model string, code long, n long").groupBy("model", "code").agg(F.sum("n").alias("n"))
+    grams = bucketed(grams, "quality-grams", ["model", "code"], dealt=True)
+    return bucketed(grams.join(kneser_ney(grams), ["model", "code"]).select("model", "code", "n", (-F.log("p")).cast("float").alias("nlp")), "quality-model", ["model", "code"])
+
+
+def _arrays(model: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Per language its codes in order and their values."""
+    rows = model.select("model", "code", "nlp").toPandas().sort_values(["model", "code"])
+    return {m: (g["code"].to_numpy(np.int64), g["nlp"].to_numpy(np.float32)) for m, g in rows.groupby("model")}
+
+
+def _rows(arrays):
+    """Statistics, and the score where the arrays are at hand."""
 
-def _scores(alphabets, models):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = {k: alphabet_table(v) for k, v in alphabets.value.items()}
-        logs = {k: kneser_ney(np.frombuffer(c, np.int32), np.frombuffer(n, np.int64)) for k, (c, n) in models.value.items()}
         for batch in batches:
-            stats, nll = [], []
+            stats, scores = [], []
             for model, text in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
                 text = text.as_py() or ""
                 stats.append(word_stats(text))
-                if text:
-                    at = np.arange(0, len(text), STRETCH)
-                    own, every = (np.add.reduceat(logs[m][trigram_codes(text, tables[m])], at) for m in (model, ALL))
-                    nll.append(-float(np.maximum(own, every).sum()))
-                else:
-                    nll.append(0.0)
+                if arrays is None or not text:
+                    scores.append(None)
+                    continue
+                codes, values = arrays.value[model]
+                cuts = stretches(len(text))
+                sums = np.add.reduceat(values[np.searchsorted(codes, trigram_codes(text))].astype(np.float64), cuts)
+                scores.append(float(np.median(sums / np.diff(np.append(cuts, len(text))))))
             cols = [pa.array(c, pa.int64()) for c in (zip(*stats, strict=True) if stats else [()] * 5)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols, pa.array(nll, pa.float64())], ["doc_id", "model", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "nll"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), *cols, pa.array(scores, pa.float64())], ["doc_id", "model", "text_key", *STATS, "score"])
 
     return run
 
 
-def train(docs: DataFrame, text_col="text", lang_col="lang", max_languages: int = 32):
-    """``(rows, alphabets, models)``: documents with the name of their model, and the broadcasts."""
-    spark = docs.sparkSession
-    texts = docs.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    points = written(texts.mapInArrow(_code_points, "lang string, point long, n long").groupBy("lang", "point").agg(F.sum("n").alias("n")), "code-points")
-    own = points.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), F.asc_nulls_last("lang")).limit(max_languages)
-    named = {r.lang for r in own.collect()}
-    model = lambda lang: F.when(lang.isNull(), F.lit("=none" if None in named else "=rest")).when(
-        lang.isin(*[x for x in named if x is not None]), F.concat(F.lit("+"), lang)
-    ).otherwise(F.lit("=rest"))
-    every = points.groupBy("point").agg(F.sum("n").alias("n")).select(F.lit(ALL).alias("model"), "point", "n")
-    rank = Window.partitionBy("model").orderBy(F.desc("n"), "point")
-    letters = (
-        points.withColumn("model", model(F.col("lang"))).groupBy("model", "point").agg(F.sum("n").alias("n"))
-        .unionByName(every)
-        .withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= SYMBOLS - CLASSES)
-    )
-    alphabets: dict[str, list[int]] = {}
-    for r in letters.orderBy("model", "rank").collect():  # at most 34 times 56 rows
-        alphabets.setdefault(r.model, []).append(r.point)
-    discard(points)
-    shared = spark.sparkContext.broadcast(alphabets)
-    named_texts = texts.where("length(text) > 0").select(model(F.col("lang")).alias("model"), "text")
-    counts = named_texts.mapInArrow(_trigrams(shared), "model string, code long, n long").groupBy("model", "code").agg(F.sum("n").alias("n"))
-    fitted = counts.groupBy("model").applyInPandas(_fit, "model string, codes binary, counts binary").collect()
-    models = spark.sparkContext.broadcast({r.model: (bytes(r.codes), bytes(r.counts)) for r in fitted})
-    return model, shared, models
+def _stretch_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each distinct trigram of each stretch, per text."""
+    for batch in batches:
+        for key, model, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            codes = trigram_codes(text.as_py())
+            of = np.zeros(len(codes), np.int64)
+            of[stretches(len(codes))[1:]] = 1
+            pairs, n = np.unique(np.stack([np.cumsum(of), codes], axis=1), axis=0, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array([key] * len(n), pa.string()), pa.array([model] * len(n), pa.string()), *(pa.array(x, pa.int64()) for x in (pairs[:, 0], pairs[:, 1], n))], ["text_key", "model", "stretch", "code", "times"])
+
+
+def _joined_scores(rows: DataFrame, model: DataFrame) -> DataFrame:
+    """``text_key, score`` by a join with the model. Rows that repeat a text are one text here."""
+    texts = rows.where("length(text) > 0").groupBy("text_key", "model").agg(F.any_value("text").alias("text"))
+    grams = texts.select("text_key", "model", "text").mapInArrow(_stretch_codes, "text_key string, model string, stretch long, code long, times long")
+    # A frequent trigram is in nearly all stretches; it is hot by its count.
+    scored = attach(grams, model, ["model", "code"], "n")
+    means = scored.groupBy("text_key", "stretch").agg((F.sum(F.col("times") * F.col("nlp").cast("double")) / F.sum("times")).alias("mean"))
+    return means.groupBy("text_key").agg(F.median("mean").alias("score"))
 
 
 def quality_scores(
@@ -239,37 +212,47 @@ def quality_scores(
     lang_col: str = "lang",
     least_words: int = 50,
     most_repeat: int = 50,
-    width: float = 8.0,
+    width: float = 4.0,
     least_deviation: float = 0.005,
-    max_languages: int = 32,
+    most_shipped: int = 128 << 20,
 ) -> DataFrame:
     """One row per document: ``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    base_failed, score, lower, upper, kept``."""
-    model, alphabets, models = train(docs, text_col, lang_col, max_languages)
-    rows = docs.select(
-        F.col(f"`{id_col}`").alias("doc_id"),
-        model(F.col(f"`{lang_col}`").cast("string")).alias("model"),
-        F.col(f"`{text_col}`").cast("string").alias("text"),
-    )
-    schema = f"doc_id {dict(rows.dtypes)['doc_id']}, model string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, nll double"
-    scored = (
-        rows.mapInArrow(_scores(alphabets, models), schema)
-        .withColumn("base_failed", (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeat * F.col("n_words")))
-        .withColumn("score", F.log(F.greatest(F.col("nll"), F.lit(1e-6)) / F.greatest(F.col("n_words"), F.lit(1))))
+    base_failed, score, lower, upper, word_score, word_lower, word_upper, kept``."""
+    model = train(docs, text_col, lang_col)
+    lang, text = F.col(f"`{lang_col}`").cast("string"), F.col(f"`{text_col}`").cast("string")
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), model_of(lang).alias("model"), text.alias("text"))
+    # Twelve bytes a trigram are shipped.
+    shipped = 12 * model.count() <= most_shipped
+    arrays = docs.sparkSession.sparkContext.broadcast(_arrays(model)) if shipped else None
+    keyed = rows.withColumn("text_key", F.lit(None).cast("string") if shipped else F.md5(F.concat("model", F.lit("/"), F.coalesce("text", F.lit("")))))
+    schema = f"doc_id {dict(rows.dtypes)['doc_id']}, model string, text_key string, {', '.join(f'{c} long' for c in STATS)}, score double"
+    scored = keyed.select("doc_id", "model", "text", "text_key").mapInArrow(_rows(arrays), schema)
+    if not shipped:
+        sizes = keyed.groupBy("text_key").agg(F.count(F.lit(1)).alias("n"))
+        scored = attach(scored.drop("score"), written(_joined_scores(keyed, model).join(sizes, "text_key"), "quality-joined"), ["text_key"], "n")
+    chars = F.col("word_chars") + F.greatest(F.col("n_words"), F.lit(1))
+    scored = scored.select(
+        "doc_id", "model", *STATS, "score",
+        ((F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeat * F.col("n_words"))).alias("base_failed"),
+        F.log(F.greatest("score", F.lit(1e-6)) * chars / F.greatest(F.col("n_words"), F.lit(1))).alias("word_score"),
     )
     scored = written(scored, "quality-scores")
-    bins = scored.where("not base_failed").groupBy("model", F.round("score", 3).alias("x")).agg(F.count(F.lit(1)).alias("n"))
-    middle = _median(bins).withColumnRenamed("median", "m")
-    away = bins.join(middle, "model").groupBy("model", F.round(F.abs(F.col("x") - F.col("m")), 3).alias("x")).agg(F.sum("n").alias("n"))
-    spread = _median(away).withColumnRenamed("median", "mad")
-    deviation = F.greatest(1.4826 * F.col("mad"), F.lit(least_deviation)) * width
-    bands = middle.join(spread, "model").select("model", "m", deviation.alias("half"))
+    discard(model)
+    bands = scored.groupBy("model").agg(F.count(F.lit(1)).alias("n"))
+    for score, low, high in (("score", "m", "half"), ("word_score", "word_m", "word_half")):
+        bins = scored.where("not base_failed").groupBy("model", F.round(score, 3).alias("x")).agg(F.count(F.lit(1)).alias("n"))
+        middle = _median(bins).withColumnRenamed("median", low)
+        away = bins.join(middle, "model").groupBy("model", F.round(F.abs(F.col("x") - F.col(low)), 3).alias("x")).agg(F.sum("n").alias("n"))
+        deviation = F.greatest(1.4826 * F.col("median"), F.lit(least_deviation)) * width
+        bands = bands.join(middle.join(_median(away), "model").select("model", low, deviation.alias(high)), "model", "left")
     short = F.sqrt(1 + least_words / F.greatest(F.col("n_words"), F.lit(1)))
-    # One row a model, max_languages + 2 at most: a language of a third of all rows is no hot key.
-    banded = scored.join(F.broadcast(bands), "model", "left").withColumn("lower", F.col("m") - F.col("half") * short).withColumn("upper", F.col("m") + F.col("half") * short)
+    banded = attach(scored, written(bands, "quality-bands"), ["model"], "n")
+    limits = [(F.col(m) + sign * F.col(half) * short).alias(name) for m, half, names in (("m", "half", ("lower", "upper")), ("word_m", "word_half", ("word_lower", "word_upper"))) for sign, name in zip((-1, 1), names, strict=True)]
+    banded = banded.select("doc_id", *STATS, "base_failed", "score", "word_score", *limits)
+    inside = F.col("score").between(F.col("lower"), F.col("upper")) & F.col("word_score").between(F.col("word_lower"), F.col("word_upper"))
     return banded.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "lower", "upper",
-        (~F.col("base_failed") & F.coalesce(F.col("score").between(F.col("lower"), F.col("upper")), F.lit(True))).alias("kept"),
+        "doc_id", *STATS, "base_failed", "score", "lower", "upper", "word_score", "word_lower", "word_upper",
+        (~F.col("base_failed") & F.coalesce(inside, F.lit(True))).alias("kept"),
     )
 
 
@@ -291,5 +274,5 @@ def quality_filter(docs: DataFrame, id_col: str = "doc_id", **settings) -> DataF
 
 def query_quality(spark, sf_dir: str) -> DataFrame:
     return quality_scores(spark.read.parquet(f"{sf_dir}/documents.parquet")).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score", "lower", "upper"
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score", "lower", "upper", "word_score", "word_lower", "word_upper"
     )
