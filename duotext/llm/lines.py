@@ -139,11 +139,11 @@ def dedup_lines(
         F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("doc"), F.col(f"`{text_col}`").cast("string").cast("binary").alias("text")
     )
     shares = [i / n_batches for i in range(n_batches - 1, 0, -1)]
-    seen = texts.agg(F.percentile_approx("doc", shares or [0.5]).alias("cuts"), F.count(F.lit(1)).alias("n"), F.count_distinct("doc").alias("ids")).first()
-    cuts = (seen["cuts"] or []) if shares else []
+    cuts = (texts.agg(F.percentile_approx("doc", shares)).first()[0] or []) if shares else []
     batch = sum(((F.col("doc") <= c).cast("int") for c in cuts), F.lit(0))
     index = texts.mapInArrow(_index(least_chars), "doc long, h1 long, h2 long")
-    if seen["n"] != seen["ids"]:  # rows that share an id are one document
+    n, ids = texts.agg(F.count(F.lit(1)), F.count_distinct("doc")).first()
+    if n != ids:  # rows that share an id are one document
         index = index.distinct()
     index = written(index.withColumn("batch", batch), "line-index", partition_by="batch")
     runs = LineRuns(fanout)
@@ -155,7 +155,8 @@ def dedup_lines(
     drops = attach(index.drop("batch"), doomed, HASH, "n").where("doc != holder").groupBy("doc").agg(F.collect_set(F.struct(*HASH)).alias("drops"))
     drops = written(drops, "line-drops")
     discard(index, doomed)
-    out = texts.join(drops, "doc", "left").select("doc", "text", "drops").mapInArrow(_rebuild(least_chars), "doc_id long, n_lines long, n_dropped long, kept_text string")
+    # A merge join: the plan is the same at every size.
+    out = texts.join(drops.hint("merge"), "doc", "left").select("doc", "text", "drops").mapInArrow(_rebuild(least_chars), "doc_id long, n_lines long, n_dropped long, kept_text string")
     return out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
 
 
