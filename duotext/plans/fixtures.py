@@ -65,8 +65,9 @@ def words_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hidden_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hidden entries from part names: pairs, and sources for any target; some differ in case, some repeat."""
-    part = read_table(spark, sf_dir, "part").where("p_partkey % 17 = 0").select("p_partkey", "p_name", "p_type")
+    """Hidden entries from all part names: pairs, and sources for any target; most have a word more than
+    any phrase, some differ in case, some repeat."""
+    part = read_table(spark, sf_dir, "part").select("p_partkey", F.concat("p_name", F.when(F.col("p_partkey") % 17 == 0, "").otherwise(F.concat(F.lit(" "), F.col("p_partkey") % 17))).alias("p_name"), "p_type")
     tgt = F.when(F.col("p_partkey") % 2 == 0, F.col("p_type")).otherwise("")
     src = F.when(F.col("p_partkey") % 3 == 0, F.upper("p_name")).otherwise(F.col("p_name"))
     return part.select(F.col("p_partkey").alias("id"), F.lit(0).cast("long").alias("project_id"), src.alias("src_phrase"), tgt.alias("tgt_phrase"))
@@ -150,7 +151,7 @@ words_catalogue as (select project_id, split_part(src_phrase, ' ', 1) as src_phr
 hidden as (
   select p_partkey as id, 0::bigint as project_id, case when p_partkey % 3 = 0 then upper(p_name) else p_name end as src_phrase,
          case when p_partkey % 2 = 0 then p_type else '' end as tgt_phrase
-  from part where p_partkey % 17 = 0)"""
+  from (select p_partkey, p_name || case when p_partkey % 17 = 0 then '' else ' ' || (p_partkey % 17)::varchar end as p_name, p_type from part))"""
 
 #: Phrase pairs of the bitext: spans, projection, back-projection, texts; as extract_phrases gives them.
 SQL_OCC = SQL_BITEXT + f""",

@@ -6,11 +6,11 @@ Every query reads the given tables; its rows grow with them. Arrays are returned
 
 from __future__ import annotations
 
-from . import queries_align, queries_phrases, queries_prep, queries_tables
+from . import queries_align, queries_files, queries_phrases, queries_prep, queries_tables
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _part in (queries_prep, queries_align, queries_phrases, queries_tables):
+for _part in (queries_prep, queries_align, queries_phrases, queries_tables, queries_files):
     QUERIES |= _part.QUERIES
     ORACLES |= _part.ORACLES
 

@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder; a local one only where the session names none (tests, local mode)."""
+    """The shared folder; a local one only where a local session names none (tests). On a cluster it must
+    be named: driver and executors share no local folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.conf.get("duotext.scratch.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a shared folder")
         root = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("duotext.scratch.dir", root)
     return root.rstrip("/")

@@ -2,24 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.points import parse_points, valid_alignment
+from ..scratch import written
 
 
 def numbered_lines(spark: SparkSession, path: str, name: str = "line") -> DataFrame:
-    """Lines with dense numbers in file order. Only an index over partitions gives these."""
-    rows = spark.read.text(path).rdd.map(lambda r: r[0]).zipWithIndex()
-    return spark.createDataFrame(rows, f"{name} string, row_id long").select("row_id", name)
+    """``row_id, <name>``: lines with dense numbers in the order of files and positions.
+
+    The lines are written once with an increasing id, so that numbers don't change when a task runs
+    again. Within a split of a file the ids are consecutive; splits are set off by the lines before
+    them, a running sum over one row per split."""
+    at = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")]
+    lines = written(spark.read.text(path).select(F.col("value").alias(name), *at, F.monotonically_increasing_id().alias("id")), "lines")
+    splits = lines.groupBy("file", "start").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = splits.select("file", "start", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    return lines.join(offsets, ["file", "start"]).select((F.col("offset") + F.col("id") - F.col("first")).alias("row_id"), name)
 
 
 def read_bitext(spark: SparkSession, src_path: str, tgt_path: str) -> DataFrame:
     """``row_id, src_raw, tgt_raw`` of two line-aligned files; an error when they differ in length."""
-    a, b = spark.read.text(src_path).count(), spark.read.text(tgt_path).count()
+    src, tgt = numbered_lines(spark, src_path, "src_raw"), numbered_lines(spark, tgt_path, "tgt_raw")
+    a, b = ((df.agg(F.max("row_id")).first()[0] if not df.isEmpty() else -1) + 1 for df in (src, tgt))
     if a != b:
         raise ValueError(f"the sides have {a} and {b} lines")
-    return numbered_lines(spark, src_path, "src_raw").join(numbered_lines(spark, tgt_path, "tgt_raw"), "row_id")
+    return src.join(tgt, "row_id")
 
 
 def read_alignments(spark: SparkSession, path: str) -> DataFrame:

@@ -118,3 +118,10 @@ def save_bitext(bitext: DataFrame, path: str) -> None:
 def replace_phrases(occ: DataFrame, path: str) -> None:
     """A project's occurrences, each once, in place of its old ones."""
     occ.dropDuplicates().write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project_id").parquet(path)
+
+
+def recount_phrases(occ: DataFrame) -> DataFrame:
+    """``project_id, src_phrase, tgt_phrase, num_occurrences``: the rows of each phrase in its project, as
+    saved occurrences have them."""
+    pair = ["project_id", "src_phrase", "tgt_phrase"]
+    return occ.select(*pair, "row_id").distinct().groupBy(*pair).agg(F.count(F.lit(1)).alias("num_occurrences"))
