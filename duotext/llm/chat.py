@@ -8,8 +8,8 @@ blocks.
 A conversation is one output row, so its turns meet in one task; conversations are spread by id.
 
 Defined results: turns are ordered by turn, then role, then text, nulls first; null texts and roles
-are empty; rows that repeat are turns of their own; rows without a conversation id are one
-conversation; an empty table gives an empty result; extra columns are ignored.
+are empty; rows that repeat are turns of their own; a row without a conversation id is a conversation
+of its own; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -82,7 +82,9 @@ def format_conversations(turns: DataFrame, template: str = TEMPLATE, id_col="con
             F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"),
         ).alias("t"),
     )
-    grouped = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    # Rows without an id belong to nobody's conversation: each is one of its own, so none is unbounded.
+    rows = rows.withColumn("alone", F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()))
+    grouped = rows.groupBy("conv_id", "alone").agg(F.sort_array(F.collect_list("t")).alias("turns")).drop("alone")
     return grouped.mapInArrow(_render(template), f"conv_id {dict(rows.dtypes)['conv_id']}, formatted string, loss_spans array<struct<start:long,end:long>>")
 
 

@@ -5,7 +5,8 @@
 
 Expressions know strings, whole numbers, names, fields of rows (``x.role``), ``== != + and or not``,
 parentheses and the filters given to :func:`compile_template`. There are no calls, no attributes of
-Python objects and no loops but over rows, so a template ends after as many steps as there are rows.
+Python objects and no loops but over rows, so every template ends: a loop inside ``k`` others takes at
+most the number of rows to the power of ``k + 1`` steps.
 """
 
 from __future__ import annotations
@@ -146,7 +147,10 @@ def parse(source: str, filters: dict) -> list:
 
 
 def _apply(op: str, a, b):
-    return {"==": lambda: a == b, "!=": lambda: a != b, "and": lambda: a and b, "or": lambda: a or b, "+": lambda: a + b}[op]()
+    try:
+        return {"==": lambda: a == b, "!=": lambda: a != b, "and": lambda: a and b, "or": lambda: a or b, "+": lambda: a + b}[op]()
+    except TypeError as e:
+        raise TemplateError(f"{op} does not take {a!r} and {b!r}") from e
 
 
 def fold(tree: list, filters: dict) -> list:

@@ -24,7 +24,7 @@ def test_templates():
     assert (text, spans) == ("xéy", [(1, 2)])
 
 
-@pytest.mark.parametrize("bad", ["{{ x.__class__() }}", "{{ __import__ }}", "{% for a %}{% endfor %}", "{% if x %}", "{{ x | nosuch }}", "{{ 'a }}", "{% macro %}", "{{ }}"])
+@pytest.mark.parametrize("bad", ["{{ x.__class__() }}", "{{ __import__ }}", "{% for a %}{% endfor %}", "{% if x %}", "{{ x | nosuch }}", "{{ 'a }}", "{% macro %}", "{{ }}", "{{ 1 + 'a' }}"])
 def test_sandbox_refuses(bad):
     with pytest.raises(TemplateError):
         compile_template(bad, FILTERS)
@@ -36,4 +36,5 @@ def test_nulls_ties_long_texts_and_clashing_columns(spark):
     out = {r.conv_id: read_back(r.formatted) for r in format_conversations(df).collect()}
     assert out == {None: [("", "")], 2: [("assistant", ""), ("user", "a"), ("user", "a"), ("user", "b" * 200000)]}
     assert format_conversations(df.where("turn > 5")).count() == 0
+    assert format_conversations(df.where("conv_id is null").union(df.where("conv_id is null"))).count() == 2
     assert TEMPLATE.count("generation") == 2
