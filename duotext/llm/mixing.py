@@ -8,8 +8,8 @@ words taken come near the target. Sums are exact integers of ``UNIT`` parts of a
 partitioning nor lost executors change a result.
 
 A hot source is no hot task: each source is cut into blocks of one size class and hash slot, the
-blocks' sums are summed up per source (some thousands of rows at most), and documents only within
-their block.
+blocks' sums are summed up per source (some hundred thousand rows at most), and documents only within
+their block. Targets are found over one row per source.
 
 Defined results: null text has size 0; null sources are one source, ordered last; null ids order
 first; a document of size 0 may be taken but adds no words; sources without words have target 0;
@@ -72,10 +72,15 @@ def sample_copies(
     sized: DataFrame,
     rates: DataFrame,
     seed: int = 0,
+    slot_digits: int = 3,
 ) -> DataFrame:
     """``sized`` (source, doc_id, size, and what else a row carries) with ``copies``, by the rates
-    (source, source_size, target)."""
-    slot = F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f"/{seed}"))), 1, 2)
+    (source, source_size, target).
+
+    A source has up to ``16 ** slot_digits`` blocks a size class, of which there are about a hundred that
+    matter: with 3, a source of 1e11 documents has blocks of some hundred thousand rows, and the
+    running sum over its blocks, one task a source, some hundred thousand rows too."""
+    slot = F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f"/{seed}"))), 1, slot_digits)
     by_source = F.col("l.source").eqNullSafe(F.col("r.source"))
     each = (
         sized.alias("l")
@@ -178,7 +183,7 @@ t as (select source, source_size, least(most, coalesce(weight * lvl, most)) as t
       from v cross join l),
 d as (select sized.doc_id, sized.source, size, source_size, target, part,
              length(size::varchar) * 100 + substr(size::varchar, 1, 2)::int as class,
-             substr(md5(coalesce(sized.doc_id::varchar, '') || '/0'), 1, 2) as slot
+             substr(md5(coalesce(sized.doc_id::varchar, '') || '/0'), 1, 3) as slot
       from sized join t on sized.source is not distinct from t.source),
 c as (select *, sum(part) over (partition by source order by class, slot, doc_id nulls first, size rows between unbounded preceding and current row)
              + ('0x' || substr(md5('0/' || coalesce(source, '')), 1, 7))::bigint % 10000000 as upto from d)
