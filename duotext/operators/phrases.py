@@ -22,10 +22,11 @@ def _reach(side: str, of: str, to: str) -> tuple[Column, Column]:
     n = F.size(side)
 
     def first(links: Column) -> Column:
-        at, tos = F.transform(links, lambda p: p[of]), F.transform(links, lambda p: p[to])
-        # The columns are made once a row; a look-up is one scan of numbers.
-        pick = lambda i: F.element_at(tos, F.nullif(F.array_position(at, i), F.lit(0)).cast("int"))
-        return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), pick))
+        # The outer transform binds the links: inside the inner one they would be sorted for each position.
+        ends = F.struct(F.transform(links, lambda p: p[of]).alias("at"), F.transform(links, lambda p: p[to]).alias("to"))
+        pick = lambda x: lambda i: F.element_at(x["to"], F.nullif(F.array_position(x["at"], i), F.lit(0)).cast("int"))
+        reach = F.transform(F.array(ends), lambda x: F.transform(F.sequence(F.lit(0), n - 1), pick(x)))
+        return F.when(n > 0, reach[0])
 
     ordered = F.array_sort(F.transform("points", lambda p: F.struct(p[of].alias(of), p[to].alias(to))))
     return first(ordered), first(F.reverse(ordered))
@@ -51,7 +52,7 @@ def within(reach: str, lo: Column, hi: Column) -> Column:
 def project_spans(df: DataFrame, min_len: int = 1, max_len: int = 3) -> DataFrame:
     """Source spans ``s0..s1`` (inclusive) with the outermost target links ``t0..t1``. Each row's links
     are indexed by position once, before its spans are made."""
-    spans = indexed(df).withColumn("span", F.explode(spans_of("src", min_len, max_len)))
+    spans = indexed(df).drop("points").withColumn("span", F.explode(spans_of("src", min_len, max_len)))
     spans = spans.withColumns({"s0": F.col("span.a0"), "s1": F.col("span.a1")})
     reach = {"t0": F.array_min(within("t_low", F.col("s0"), F.col("s1"))), "t1": F.array_max(within("t_high", F.col("s0"), F.col("s1")))}
     return spans.withColumns(reach).drop("span", "t_low", "t_high").where("t0 is not null")
