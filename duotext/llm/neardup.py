@@ -5,17 +5,8 @@ each shingle into one of ``bins`` bins; the least of a bin is its value, and an
 value of a bin that a fixed sequence of random picks finds first (the same sequence for every
 document). ``rows`` bins form a band; documents that share a band's values meet in a bucket.
 
-Documents with equal sets are one node from the start, numbered by its first row. A bucket gives star
-edges only: each of its sets to the bucket's least. Pairs are confirmed on the full sets. First
-one pair per set, to the least hub of its buckets, which gives trees; a pair inside one component can't
-change a component. Buckets that hold several components then get hubs, ``growth`` times as many each
-round, and each hub is paired with all later sets of other components, until each bucket is one
-component or all pairs of its components were asked: no pair that shares a bucket is lost. Sets
-are hubs in the order of how many others share their buckets, and pairs whose sizes or odd sketches
-prove them too different are not made, so that crowded buckets of unlike sets make few pairs.
-
-Keys that a third of all rows may hold (a set, a bucket, a hub, a component) are dealt over tasks by
-salts or by ``attach``; what is broadcast is fewer than a thousand rows of numbers.
+Documents with equal sets are one node from the start, numbered by its first row. A bucket gives star edges, which
+are confirmed on full sets and grown until each bucket is settled (``setjoin``).
 
 Defined results: documents without words are linked with nothing; null text has no words; documents
 with equal sets are linked; a component's id is its smallest id (null only where all its ids are);
@@ -25,25 +16,18 @@ kept by :func:`near_dedup`.
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import bucketed, discard, written
+from ..scratch import written
 from .common import attach, only_once
-from .graph import components, follow, renamed
-from .words import mixed, shingle_hashes, word_hashes, words_of
-
-
-def shingle_set(text: bytes | None, width: int) -> np.ndarray:
-    """Sorted distinct shingle hashes."""
-    return np.unique(shingle_hashes(word_hashes(words_of(text)), width))
+from .setjoin import halves, odd_sketch, set_components, set_key, shingle_set
+from .words import mixed
 
 
 @cache
@@ -78,23 +62,6 @@ def band_keys(signature: np.ndarray, rows: int) -> np.ndarray:
     return acc.view(np.int64)
 
 
-def set_key(sorted_set: np.ndarray) -> tuple[int, int]:
-    """128 bits of hash as two signed numbers."""
-    return struct.unpack("<qq", xxhash.xxh3_128_digest(sorted_set.tobytes()))
-
-
-def odd_sketch(sorted_set: np.ndarray) -> np.ndarray:
-    """512 bits, each telling whether an odd number of shingles falls on it. Where the sketches of two sets
-    differ, an odd number of the shingles that only one of them has falls: they differ in at
-    least as many shingles as their sketches do in bits."""
-    bit = np.bincount((sorted_set & np.uint64(511)).astype(np.int64), minlength=512) & 1
-    return np.packbits(bit.astype(np.uint8)).view(np.int64)
-
-
-def _halves(keys: list[tuple]) -> list[pa.Array]:
-    return [pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1)]
-
-
 def _signatures(width: int, bins: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,96 +74,13 @@ def _signatures(width: int, bins: int, rows: int):
                 odd.append(odd_sketch(own))
             lists = [pa.array(x, pa.list_(pa.int64())) for x in (bands, odd)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), *_halves(keys), *lists],
+                [batch.column(0), pa.array(sizes, pa.int64()), *halves(keys), *lists],
                 ["doc_id", "n_shingles", "k1", "k2", "bands", "odd"],
             )
 
     return run
 
 
-def _sets(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(text.as_py(), width) for text in batch.column(0)]
-            yield pa.RecordBatch.from_arrays(
-                [*_halves([set_key(own) for own in sets]), pa.array([own.tobytes() for own in sets], pa.binary())], ["k1", "k2", "set"]
-            )
-
-    return run
-
-
-def _confirm(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = []
-            for a, b in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)
-                # A union is as large as the larger set at least.
-                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                    ok.append(False)
-                    continue
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
-
-    return run
-
-
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, salts: int) -> DataFrame:
-    """Links ``u, v`` between the roots ``ru, rv`` of the pairs ``u, v`` whose full sets are similar. ``v``
-    may be the hub of very many pairs: its set is sent once for each salt that its pairs have."""
-    dealt = pairs.withColumn("salt", F.pmod(F.xxhash64("u"), F.lit(salts)))
-    hubs = dealt.select("v", "salt").distinct().join(sets.select(F.col("node").alias("v"), F.col("set").alias("b")), "v")
-    mine = dealt.join(sets.select(F.col("node").alias("u"), F.col("set").alias("a")), "u")
-    return mine.join(hubs, ["v", "salt"]).select("ru", "rv", "a", "b").mapInArrow(_confirm(percent), "u long, v long")
-
-
-def _linked(apart: DataFrame, roots: DataFrame, sets: DataFrame, percent: int, salts: int) -> DataFrame:
-    """``roots`` after the pairs ``u, v, ru, rv`` were asked."""
-    links = written(_confirmed(apart, sets, percent, salts), "near-links")
-    out = roots if links.isEmpty() else written(renamed(roots, components(links)), "near-roots")
-    discard(links)
-    return out
-
-
-def _divided(members: DataFrame, roots: DataFrame, tried: int) -> DataFrame:
-    """The rows ``bucket, u, root, members`` of the buckets that hold several components and sets that
-    were no hubs, apart from one."""
-    placed = members.join(roots.select(F.col("node").alias("u"), "root"), "u")
-    groups = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), (F.min("root") != F.max("root")).alias("several"))
-    groups = groups.select("bucket", "n", F.when(F.col("several") & (F.col("n") > tried + 1), F.col("n")).alias("members"))
-    return written(attach(placed, groups, ["bucket"], "n").where("members is not null"), "near-divided")
-
-
-def _around_hubs(groups: DataFrame, sketches: DataFrame, tried: int, upto: int, percent: int, salts: int) -> DataFrame:
-    """Pairs ``u, v, ru, rv`` of each bucket's sets ``tried + 1`` to ``upto`` with the later sets of other
-    components: an earlier set was a hub before. A large bucket is dealt by salts. Pairs that sizes
-    or sketches rule out are not made: similar sets differ in few shingles, so in few bits."""
-    rank = F.row_number().over(Window.partitionBy("bucket").orderBy("u"))
-    shares = F.least(F.lit(salts), 1 + F.floor(F.col("members") / 256)).cast("int")
-    rows = groups.join(sketches.withColumnRenamed("node", "u"), "u")
-    hubs = groups.withColumn("rank", rank).where((F.col("rank") <= upto) & (F.col("rank") > tried)).drop("rank")
-    hubs = hubs.join(sketches.withColumnRenamed("node", "u"), "u").select(
-        "bucket", F.col("u").alias("v"), F.col("root").alias("rv"), F.col("size").alias("vsize"), F.col("odd").alias("vodd"), F.explode(F.sequence(F.lit(0), shares - 1)).alias("salt")
-    )
-    rows = rows.select("bucket", "u", F.col("root").alias("ru"), "size", "odd", F.pmod(F.xxhash64("u"), shares).cast("int").alias("salt"))
-    apart = (F.col("u") > F.col("v")) & (F.col("ru") != F.col("rv")) & (100 * F.least("size", "vsize") >= percent * F.greatest("size", "vsize"))
-    bits = sum((F.bit_count(F.col("odd")[i].bitwiseXOR(F.col("vodd")[i])) for i in range(8)), F.lit(0))
-    near = (100 + percent) * bits <= (100 - percent) * (F.col("size") + F.col("vsize"))
-    return rows.join(hubs, ["bucket", "salt"]).where(apart & near).select("u", "v", "ru", "rv").distinct()
-
-
-def _full_sets(texts: DataFrame, firsts: DataFrame, width: int) -> DataFrame:
-    """``node, set`` by the new ids, from the texts of the nodes' first rows."""
-    owners = firsts.select(F.col("id").alias("node"), "k1", "k2")
-    holders = firsts.select(F.col("doc_id").alias("holder")).distinct()
-    # Merge joins: the plan is the same at every size.
-    held = texts.join(holders.hint("merge"), texts["doc_id"].eqNullSafe(holders["holder"]), "left_semi").select("text")
-    # An id may stand for several texts: only wanted sets stay, once each.
-    sets = held.mapInArrow(_sets(width), "k1 long, k2 long, set binary").join(owners.hint("merge"), ["k1", "k2"])
-    return sets.groupBy("k1", "k2").agg(F.min("node").alias("node"), F.any_value("set").alias("set")).select("node", "set")
-
-
 def near_components(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -224,42 +108,8 @@ def near_components(
     firsts = written(signed.withColumnRenamed("row", "node").join(nodes.select("node").hint("merge"), "node", "left_semi"), "near-firsts")
     members = firsts.select("node", F.explode("bands").alias("bucket"))
     crowded = written(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("members", F.col("n")), "near-crowded")
-    shared = written(attach(members, crowded, ["bucket"], "n").where("members is not null"), "near-shared")
-    # Sets are hubs in the order of how many others share their buckets: the original of many copies
-    # comes first, and its copies meet it before they meet each other. Ids follow that order.
-    crowds = shared.groupBy("node").agg(F.sum("members").alias("crowd")).orderBy(F.desc("crowd"), "node")
-    wanted = written(crowds.select("node", F.monotonically_increasing_id().alias("id")), "near-wanted")
-    firsts = written(firsts.join(wanted.hint("merge"), "node").select("node", "id", "doc_id", "n_shingles", "k1", "k2", "odd"), "near-firsts")
-    sets = bucketed(_full_sets(texts, firsts, width), "near-sets", ["node"])
-    sketches = bucketed(firsts.select(F.col("id").alias("node"), F.col("n_shingles").alias("size"), "odd"), "near-sketches", ["node"])
-    shared = written(shared.join(wanted.hint("merge"), "node").select("bucket", F.col("id").alias("u"), "members"), "near-shared")
-
-    # One pair a set, to the first hub of its buckets: the links are trees.
-    least = shared.groupBy("bucket").agg(F.min("u").alias("hub"), F.count(F.lit(1)).alias("n"))
-    first = attach(shared, least, ["bucket"], "n").where("u != hub").groupBy("u").agg(F.min("hub").alias("v"))
-    first = written(first, "near-first")
-    trees = _confirmed(first.select("u", "v", F.col("u").alias("ru"), F.col("v").alias("rv")), sets, percent, salts)
-    trees = follow(trees.select(F.col("u").alias("node"), F.col("v").alias("parent")))
-    roots = written(wanted.select(F.col("id").alias("node")).join(trees, "node", "left").withColumn("root", F.coalesce("root", "node")), "near-roots")
-    asked, tried, hubs = first, 0, 2
-    groups = _divided(shared.select("bucket", "u"), roots, tried)
-    while not groups.isEmpty():
-        more = written(_around_hubs(groups, sketches, tried, tried + hubs, percent, salts).join(asked, ["u", "v"], "left_anti"), "near-more")
-        new = _linked(more, roots, sets, percent, salts)
-        asked, tried, hubs = asked.unionByName(more.select("u", "v")), tried + hubs, growth * hubs
-        then = groups.where(F.col("members") > tried + 1) if new is roots else _divided(groups.select("bucket", "u"), new, tried)
-        roots, groups = new, then
-    discard(sets, sketches, shared)
-
-    roots = roots.withColumnRenamed("node", "id").join(wanted, "id").select("node", "root")
-    linked = written(nodes.join(roots, "node"), "near-linked")
-    best = linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
-    named = attach(linked, best, ["root"], "n").select("k1", "k2", "copies", "component_id")
-    copies = nodes.where("copies > 1").join(wanted, "node", "left_anti").select("k1", "k2", "copies", F.col("least").alias("component_id"))
-    out = attach(signed.select("doc_id", "n_shingles", "k1", "k2"), written(named.unionByName(copies), "near-named"), ["k1", "k2"], "copies")
-    # A document that is alone with its set, or whose component has no id at all, keeps its own.
-    component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    shared = written(attach(members, crowded, ["bucket"], "n").where("members is not null").withColumn("at", F.lit(0)), "near-shared")
+    return set_components(texts, signed, nodes, firsts, shared, width, percent, salts, growth)
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:

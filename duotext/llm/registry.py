@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, exact, lines, mixing, neardup, packing, passages, quality, tokens, urls
+from . import centroids, chat, exact, lines, mixing, neardup, ngramjoin, packing, passages, quality, tokens, urls, whitening
 
 QUERIES = {
     "op1_packing": packing.query_packing,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_quality": quality.query_quality,
     "op9_near_dedup": neardup.query_near_dedup,
     "op10_exact_dedup": exact.query_exact_dedup,
+    "op11_ngram_join": ngramjoin.query_ngram_join,
+    "op12_centroids": centroids.query_centroids,
+    "op13_whitening": whitening.query_whitening,
 }
 
 ORACLES = {
@@ -24,4 +27,6 @@ ORACLES = {
     "op7_chat": chat.SQL_CHAT,
     "op9_near_dedup": neardup.SQL_NEAR_DEDUP,
     "op10_exact_dedup": exact.SQL_EXACT_DEDUP,
+    "op11_ngram_join": ngramjoin.SQL_NGRAM_JOIN,
+    "op12_centroids": centroids.SQL_CENTROIDS,
 }

@@ -9,7 +9,8 @@ import pytest
 from duotext.llm import neardup
 from duotext.llm.common import attach
 from duotext.llm.graph import components
-from duotext.llm.neardup import near_components, odd_sketch, set_key, shingle_set
+from duotext.llm.neardup import near_components
+from duotext.llm.setjoin import differing_bits, halves, odd_sketch, set_key, shingle_set, wide_sketch
 
 
 @pytest.mark.parametrize("growth", [8])
@@ -41,7 +42,7 @@ def _one_bucket(width, bins, rows):
         for batch in batches:
             sets = [shingle_set(t, width) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(map(len, sets), pa.int64()), *neardup._halves(list(map(set_key, sets))), pa.array([[1]] * len(sets), pa.list_(pa.int64())), pa.array([odd_sketch(own) for own in sets], pa.list_(pa.int64()))],
+                [batch.column(0), pa.array(map(len, sets), pa.int64()), *halves(list(map(set_key, sets))), pa.array([[1]] * len(sets), pa.list_(pa.int64())), pa.array([odd_sketch(own) for own in sets], pa.list_(pa.int64()))],
                 ["doc_id", "n_shingles", "k1", "k2", "bands", "odd"],
             )
 
