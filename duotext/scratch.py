@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +28,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/duotext-{uuid.uuid4().hex[:12]}-{name}"
 
 
+#: Spark's setting that removes a query's shuffle files when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _shuffles_removed(spark: SparkSession):
+    """What a table cuts the lineage of needs its shuffle files no longer."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there, and a lost
     executor costs no recomputation of what came before."""
@@ -34,7 +53,8 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
+    with _shuffles_removed(df.sparkSession):
+        writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -47,7 +67,8 @@ def bucketed(df: DataFrame, name: str, keys: list[str], dealt: bool = False) ->
     df = df if dealt else df.repartition(buckets, *keys)
     table = f"duotext_{name}_{uuid.uuid4().hex[:12]}".replace("-", "_")
     writer = df.write.format("parquet").option("path", scratch_path(spark, name)).option("compression", "zstd")
-    writer.bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table)
+    with _shuffles_removed(spark):
+        writer.bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table)
     out = spark.table(table)
     out.table_name = table
     return out
