@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import written
+from ..scratch import discard, written
 from .common import attach
 from .setjoin import halves, odd_sketch, set_components, set_key, shingle_set
 
@@ -114,18 +114,21 @@ def _crowded(rows: DataFrame, key: str) -> DataFrame:
     return attach(rows, written(counts, "join-counts"), [key], "n").where("members is not null")
 
 
-def _entries(firsts: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+def _entries(prefixes: DataFrame, firsts: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """``group, node, size`` of all nodes, and ``bucket, group, at, size``: the groups' entries in the lists that pair them."""
-    groups = written(firsts.groupBy("alike").agg(F.min("node").alias("group"), F.count(F.lit(1)).alias("size")), "join-groups")
+    groups = firsts.groupBy("alike").agg(F.min("node").alias("group"), F.count(F.lit(1)).alias("size"), F.min("n_shingles").alias("n_shingles"))
+    groups = written(groups, "join-groups")
     named = attach(firsts.select("alike", "node"), groups.select("alike", "size", "group", F.col("size").alias("n")), ["alike"], "size")
     named = written(named.select("group", "node", F.col("n").alias("size")), "join-named")
-    leaders = firsts.join(groups.select(F.col("group").alias("node"), "size").hint("merge"), "node")
-    lists = leaders.select(F.col("node").alias("group"), "size", "n_shingles", F.posexplode("prefix").alias("at", "gram"))
+    leaders = prefixes.select(F.col("row").alias("group"), "prefix").join(groups.select("group").hint("merge"), "group", "left_semi")
+    lists = leaders.select("group", F.posexplode("prefix").alias("at", "gram"))
     lists = written(_crowded(lists, "gram").drop("members"), "join-lists")
     # A similar set is at most 100 / percent times as large: its class is the same or the next one.
     size_class = F.floor(F.log("n_shingles") / F.log(F.lit(100 / percent)) + 1e-9)
-    classed = lists.select(F.explode(F.array(size_class, size_class + 1)).alias("class"), "gram", "group", "at", "size")
+    sized = lists.join(groups.select("group", "size", "n_shingles").hint("merge"), "group")
+    classed = sized.select(F.explode(F.array(size_class, size_class + 1)).alias("class"), "gram", "group", "at", "size")
     entries = written(_crowded(classed.select(F.xxhash64("gram", "class").alias("bucket"), "group", "at", "size"), "bucket").drop("members"), "join-entries")
+    discard(groups, lists)
     return named, entries
 
 
@@ -159,16 +162,21 @@ def ngram_join(
     id_type = dict(texts.dtypes)["doc_id"]
     order = spark.sparkContext.broadcast(common_grams(texts, width, common))
     signed = texts.mapInArrow(_keyed(width, percent, order), f"doc_id {id_type}, n_shingles long, k1 long, k2 long, alike binary, prefix array<long>, odd array<long>")
-    signed = written(signed.withColumn("row", F.monotonically_increasing_id()), "join-signed")
+    prefixes = written(signed.withColumn("row", F.monotonically_increasing_id()), "join-prefixes")
+    # The prefixes, most of its bytes, are read once.
+    signed = written(prefixes.drop("prefix"), "join-signed")
     nodes = written(
         signed.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least")),
         "join-nodes",
     )
     firsts = written(signed.withColumnRenamed("row", "node").join(nodes.select("node").hint("merge"), "node", "left_semi"), "join-firsts")
-    named, entries = _entries(firsts, percent)
+    named, entries = _entries(prefixes, firsts, percent)
+    discard(prefixes)
     shared = written(_expanded(named, entries, salts), "join-shared")
+    discard(named, entries)
     sizes = written(shared.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).withColumn("members", F.col("n")), "join-sizes")
     shared = written(attach(shared, sizes, ["bucket"], "n"), "join-shared")
+    discard(sizes)
     return set_components(texts, signed, nodes, firsts, shared, width, percent, salts, growth)
 
 

@@ -184,15 +184,39 @@ def _around_hubs(groups: DataFrame, sketches: DataFrame, tried: int, upto: int,
     return rows.join(hubs, ["bucket", "salt"]).where(apart & near).select("u", "v", "ru", "rv", both.alias("both"), large.alias("large")).distinct()
 
 
+def _owned(width: int):
+    """The sets that have the key which their owner gave: an id may stand for other texts as well."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, sets, wide = [], [], []
+            for text, node, *key in zip(*(batch.column(c) for c in ("text", "node", "k1", "k2")), strict=True):
+                own = shingle_set(text.as_py(), width)
+                if set_key(own) == tuple(k.as_py() for k in key):
+                    nodes.append(node.as_py())
+                    sets.append(own.tobytes())
+                    wide.append(wide_sketch(own))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary()), pa.array(wide, pa.list_(pa.int64()))], ["node", "set", "wide"])
+
+    return run
+
+
 def _full_sets(texts: DataFrame, firsts: DataFrame, width: int) -> DataFrame:
-    """``node, set, wide`` by the new ids, from the texts of the nodes' first rows."""
-    owners = firsts.select(F.col("id").alias("node"), "k1", "k2")
-    holders = firsts.select(F.col("doc_id").alias("holder")).distinct()
-    # Merge joins: the plan is the same at every size.
-    held = texts.join(holders.hint("merge"), texts["doc_id"].eqNullSafe(holders["holder"]), "left_semi").select("text")
-    # An id may stand for several texts: only wanted sets stay, once each.
-    sets = held.mapInArrow(_sets(width), "k1 long, k2 long, set binary, wide array<long>").join(owners.hint("merge"), ["k1", "k2"])
-    return sets.groupBy("k1", "k2").agg(F.min("node").alias("node"), F.any_value("set").alias("set"), F.any_value("wide").alias("wide")).select("node", "set", "wide")
+    """``node, set, wide`` by the new ids, from the texts of the nodes' first rows. Merge joins: the plan is the
+    same at every size."""
+    owners = firsts.select("doc_id", F.col("id").alias("node"), "k1", "k2")
+    several = written(owners.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").select(F.col("doc_id").alias("holder")), "near-holders")
+    one = owners
+    if not several.isEmpty():
+        one = owners.join(several, owners["doc_id"].eqNullSafe(several["holder"]), "left_anti")
+    # The rows of a text that repeats are one node's.
+    sets = texts.join(one.hint("merge"), "doc_id").select("text", "node", "k1", "k2").mapInArrow(_owned(width), "node long, set binary, wide array<long>")
+    if not several.isEmpty():
+        # An id of several nodes, or none: its texts are told apart by their sets.
+        held = texts.join(several.hint("merge"), texts["doc_id"].eqNullSafe(several["holder"]), "left_semi").select("text")
+        more = held.mapInArrow(_sets(width), "k1 long, k2 long, set binary, wide array<long>").join(owners.drop("doc_id").hint("merge"), ["k1", "k2"])
+        sets = sets.unionByName(more.select("node", "set", "wide"))
+    return sets.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node").dropDuplicates(["node"])
 
 
 def set_components(texts: DataFrame, signed: DataFrame, nodes: DataFrame, firsts: DataFrame, shared: DataFrame, width: int, percent: int, salts: int, growth: int) -> DataFrame:
@@ -206,7 +230,7 @@ def set_components(texts: DataFrame, signed: DataFrame, nodes: DataFrame, firsts
     crowds = shared.groupBy("node").agg(F.sum("members").alias("crowd")).orderBy(F.desc("crowd"), "node")
     wanted = written(crowds.select("node", F.monotonically_increasing_id().alias("id")), "near-wanted")
     firsts = written(firsts.join(wanted.hint("merge"), "node").select("node", "id", "doc_id", "n_shingles", "k1", "k2", "odd"), "near-firsts")
-    sets = bucketed(_full_sets(texts, firsts, width), "near-sets", ["node"])
+    sets = bucketed(_full_sets(texts, firsts, width), "near-sets", ["node"], dealt=True)
     sketches = bucketed(firsts.select(F.col("id").alias("node"), F.col("n_shingles").alias("size"), "odd"), "near-sketches", ["node"])
     shared = written(shared.join(wanted.hint("merge"), "node").select("bucket", F.col("id").alias("u"), "at", "members"), "near-shared")
 
