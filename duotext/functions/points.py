@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
+import itertools
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,43 +50,80 @@ def union(a: Column, b: Column) -> Column:
     return F.array_sort(F.array_union(a, b))
 
 
-def _add(acc: Column, x: Column, free) -> Column:
-    rows, cols = F.exists(acc, lambda q: q["s"] == x["s"]), F.exists(acc, lambda q: q["t"] == x["t"])
-    return F.when(free(rows, cols) & ~F.array_contains(acc, x), F.concat(acc, F.array(x))).otherwise(acc)
+_AROUND = [(x, y) for x in (-1, 0, 1) for y in (-1, 0, 1) if x or y]
+
+
+def _grown(a: list, b: list, final: str | None) -> list:
+    """Passes over the union in order, each adding points next to one held, until one adds nothing. A point is
+    looked at when it gets a neighbour: later in the same pass if it comes behind that one, else in the next
+    pass. So the work is linear in the links but for the order."""
+    first, second = set(a), set(b)
+    held, union = first & second, first | second
+    rows, cols = {s for s, _ in held}, {t for _, t in held}
+
+    def add(x) -> None:
+        held.add(x)
+        rows.add(x[0])
+        cols.add(x[1])
+
+    waiting = lambda x: [y for d in _AROUND if (y := (x[0] + d[0], x[1] + d[1])) in union and y not in held]
+    now, later = sorted({y for x in held for y in waiting(x)}), []
+    while now:
+        while now:
+            x = heapq.heappop(now)
+            # A taken row and column stay taken.
+            if x in held or (x[0] in rows and x[1] in cols):
+                continue
+            add(x)
+            for y in waiting(x):
+                heapq.heappush(now if y > x else later, y)
+        now, later = later, []
+    for side in (first, second) if final else ():
+        for x in sorted(side):
+            row, col = x[0] in rows, x[1] in cols
+            if x not in held and not ((row and col) if final == "or" else (row or col)):
+                add(x)
+    return sorted(held)
+
+
+def _tuples(points: pa.ListArray) -> list[list | None]:
+    """The points of each row as pairs."""
+    flat = points.flatten()
+    pairs = list(zip(flat.field("s").to_pylist(), flat.field("t").to_pylist(), strict=True))
+    out, at = [], 0
+    for n in points.value_lengths().to_pylist():
+        out.append(None if n is None else pairs[at : at + n])
+        at += n or 0
+    return out
+
+
+def _grow(final: str | None):
+    """The heuristic as a column: rows of links in Arrow batches, as each step depends on the one before."""
+
+    @F.arrow_udf(POINTS)
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        out = [None if x is None or y is None else _grown(x, y, final) for x, y in zip(_tuples(a), _tuples(b), strict=True)]
+        offsets = pa.array([0, *itertools.accumulate(len(x or ()) for x in out)], pa.int32())
+        ends = [pa.array([p[i] for x in out for p in x or ()], pa.int32()) for i in (0, 1)]
+        return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(ends, ["s", "t"]), mask=pa.array([x is None for x in out]))
+
+    return run
 
 
 def grow_diag(a: Column, b: Column) -> Column:
     """From the intersection, points of the union next to one held, with a free row or column; in
     passes over the union in order, until a pass adds nothing."""
-    un = union(a, b)
-
-    def one_pass(state, _):
-        def step(acc, x):
-            near = F.exists(acc, lambda q: (F.abs(q["s"] - x["s"]) <= 1) & (F.abs(q["t"] - x["t"]) <= 1))
-            return F.when(near, _add(acc, x, lambda r, c: ~(r & c))).otherwise(acc)
-
-        grown = F.aggregate(un, state["p"], step)
-        return F.when(state["done"], state).otherwise(F.struct(grown.alias("p"), (F.size(grown) == F.size(state["p"])).alias("done")))
-
-    start = F.struct(intersect(a, b).alias("p"), F.lit(False).alias("done"))
-    passes = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(un)))
-    return normalise(F.aggregate(passes, start, one_pass)["p"])
-
-
-def _final(grown: Column, a: Column, b: Column, free) -> Column:
-    for side in (a, b):
-        grown = F.aggregate(F.array_sort(side), grown, lambda acc, x: _add(acc, x, free))
-    return normalise(grown)
+    return _grow(None)(a, b)
 
 
 def grow_diag_final(a: Column, b: Column) -> Column:
     """Then points of each direction with a free row or column."""
-    return _final(grow_diag(a, b), a, b, lambda r, c: ~(r & c))
+    return _grow("or")(a, b)
 
 
 def grow_diag_final_and(a: Column, b: Column) -> Column:
     """Then points of each direction with a free row and a free column."""
-    return _final(grow_diag(a, b), a, b, lambda r, c: ~(r | c))
+    return _grow("and")(a, b)
 
 
 SYMMETRISE = {

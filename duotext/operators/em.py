@@ -1,13 +1,9 @@
-"""Word alignment by EM, written as joins and aggregates.
-
-The pair table holds one row per (row, source word, target word) with its number of position pairs; words
-are counted per row first, and joined by row. Training knows words by 64 bits of hash, so that
-its shuffles carry numbers; the words come back with the finished table, and two words of one
-hash stop it. A step joins the pair table, which is bucketed by its words, with the lexical table, sums
-per (row, target word), and sums the shares per word pair; the first step, where all words are
-equally likely, needs neither join nor sum per row. Lineage is cut after each step by a written
-table. The NULL word meets every target word; sums over it are combined before the shuffle, so it
-is no hot group.
+"""Word alignment by EM.
+
+Training and alignment run in blocks (``blocked``): rows stay, packed numbers of word pairs move. The steps are here as joins and
+aggregates as well, for expected counts, new tables and figures of any pairs: the pair table holds one row per (row,
+source word, target word) with its number of position pairs; words are counted per row first, and joined by row. The NULL
+word meets every target word; sums over it are combined before the shuffle, so it is no hot group.
 """
 
 from __future__ import annotations
@@ -17,26 +13,26 @@ from pyspark.sql import functions as F
 
 from ..functions.mathx import diagonal_prior, digamma, log_factorial
 from ..functions.points import SYMMETRISE, invert, none, point
-from ..scratch import bucketed, discard, spread, written
-
-NULL_WORD = "<eps>"
-UNSEEN = 1e-9
+from ..scratch import discard, spread, written
+from . import blocked
+from .blocked import NULL_WORD, UNSEEN, Blocks, Prior, make_blocks
+from .prep import length_stats
 
 
 def _aligned_rows(df: DataFrame) -> DataFrame:
     return spread(df.where((F.size("src") > 0) & (F.size("tgt") > 0)), "row_id")
 
 
-def cooccurrences(df: DataFrame, chunk_col: str | None = None, code=lambda word: word) -> DataFrame:
+def cooccurrences(df: DataFrame, chunk_col: str | None = None) -> DataFrame:
     """``row_id, e, f, n, m, k``: n position pairs of the words, m positions of f, k positions of sources
-    with NULL. ``e`` includes NULL. ``code`` maps words to what stands for them."""
+    with NULL. ``e`` includes NULL."""
     keep = ["row_id"] + ([chunk_col] if chunk_col else [])
     rows = _aligned_rows(df)
     sources = F.concat(F.array(F.lit(NULL_WORD)), F.col("src"))
     # Both sides are dealt by row already: neither the counts nor their join shuffle again.
     e = rows.select("row_id", F.explode(sources).alias("w"), F.size(sources).alias("k")).groupBy("row_id", "w", "k").agg(F.count(F.lit(1)).alias("ns"))
     f = rows.select(*keep, F.explode("tgt").alias("w")).groupBy(*keep, "w").agg(F.count(F.lit(1)).alias("m"))
-    left, right = e.select("row_id", "k", "ns", code(F.col("w")).alias("e")), f.select(*keep, "m", code(F.col("w")).alias("f"))
+    left, right = e.withColumnRenamed("w", "e"), f.withColumnRenamed("w", "f")
     return right.join(left, "row_id").select(*keep, "e", "f", (F.col("ns") * F.col("m")).alias("n"), "m", F.col("k").cast("long").alias("k"))
 
 
@@ -50,20 +46,6 @@ def e_step(pairs: DataFrame, ttable: DataFrame | None = None, keys: tuple[str, .
     return shares.groupBy(*keys, "e", "f").agg(F.sum("share").alias("c"))
 
 
-def _hash(word: Column) -> Column:
-    return F.xxhash64(word)
-
-
-def _with_words(table: DataFrame, df: DataFrame) -> DataFrame:
-    """The words of hashed ``e, f``."""
-    words = df.select(F.explode(F.concat("src", "tgt", F.array(F.lit(NULL_WORD)))).alias("word")).distinct()
-    found = words.groupBy(_hash(F.col("word")).alias("h")).agg(F.min("word").alias("word"), (F.min("word") != F.max("word")).alias("clash"))
-    found = found.select("h", F.when(F.col("clash"), F.raise_error(F.lit("two words have one hash"))).otherwise(F.col("word")).alias("word"))
-    for c in ("e", "f"):
-        table = table.join(found.select(F.col("h").alias(c), F.col("word").alias(f"{c}_word")), c).drop(c).withColumnRenamed(f"{c}_word", c)
-    return table
-
-
 def m_step(counts: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """``e, f, p``: counts normalised per source word; the totals are combined before their shuffle."""
     totals = counts.groupBy(*keys, "e").agg(F.sum("c").alias("total"))
@@ -76,23 +58,61 @@ def m_step_vb(counts: DataFrame, alpha: float = 0.01) -> DataFrame:
     return counts.join(totals, "e").select("e", "f", F.exp(digamma(F.col("c") + alpha) - digamma(F.col("total"))).alias("p"))
 
 
-def train_ttable(df: DataFrame, iterations: int = 5, variational: bool = False, alpha: float = 0.01, chunk_col: str | None = None) -> DataFrame:
+def _trained(b: Blocks, iterations: int, prior: Prior, alpha: float | None, optimise: bool) -> tuple[DataFrame | None, Prior, list[dict]]:
+    """The probabilities after ``iterations - 1`` steps, the prior that the last pass has, and each step's figures."""
+    sizes = written(length_stats(b.rows), "em-sizes") if prior.favor_diagonal and optimise else None
+    sent, figures = None, []
+    for i in range(iterations - 1):
+        made = blocked.step(b, sent, prior, alpha)
+        if sent is not None:
+            discard(sent)
+        sent = made.sent
+        figures.append(made.metrics | {"tension": prior.tension})
+        if sizes is not None and i > 0:
+            prior = Prior(True, optimise_tension(sizes, made.metrics["feature"], prior.tension), prior.p0)
+    return sent, prior, figures
+
+
+def train_ttable(
+    df: DataFrame, iterations: int = 5, variational: bool = False, alpha: float = 0.01, chunk_col: str | None = None,
+    favor_diagonal: bool = False, optimise: bool = False, tension: float = 4.0, p0: float = 0.08,
+) -> DataFrame:
     """The lexical table after ``iterations - 1`` steps (the last pass aligns). ``chunk_col`` trains a
-    model of its own for each of its values."""
-    keys = (chunk_col,) if chunk_col else ()
-    pairs = bucketed(cooccurrences(df, chunk_col, _hash), "em-pairs", [*keys, "e", "f"])
-    table = None
-    for _ in range(iterations - 1):
-        counts = e_step(pairs, table, keys)
-        new = written(m_step_vb(counts, alpha) if variational and not keys else m_step(counts, keys), "em-table")
-        if table is not None:
-            discard(table)
-        table = new
-    out = written(_with_words(table, df).select(*keys, "e", "f", "p"), "em-table")
-    discard(pairs, table)
+    model of its own for each of its values. ``favor_diagonal`` weighs positions by the diagonal prior; ``optimise`` fits its tension to
+    the alignments from the second step on."""
+    b = make_blocks(df, [chunk_col] if chunk_col else [])
+    sent, _, _ = _trained(b, iterations, Prior(favor_diagonal, tension, p0), alpha if variational else None, optimise)
+    out = written(blocked.table_words(b, sent), "em-table")
+    b.discard()
+    discard(sent)
     return out
 
 
+def training_figures(df: DataFrame, iterations: int = 5, variational: bool = False, alpha: float = 0.01, favor_diagonal: bool = False, optimise: bool = False, tension: float = 4.0, p0: float = 0.08) -> DataFrame:
+    """One row a step: ``step, log_likelihood, cross_entropy, perplexity, p0, feature, tension`` of its expectations."""
+    b = make_blocks(df, [])
+    sent, prior, figures = _trained(b, iterations, Prior(favor_diagonal, tension, p0), alpha if variational else None, optimise)
+    b.discard()
+    names = ["log_likelihood", "cross_entropy", "perplexity", "p0", "feature", "tension"]
+    rows = [(i + 1, *(float(f[n]) for n in names)) for i, f in enumerate(figures)]
+    return df.sparkSession.createDataFrame(rows, "step int, " + ", ".join(f"{n} double" for n in names)).withColumn("last_tension", F.lit(float(prior.tension)))
+
+
+def expected_counts(df: DataFrame) -> DataFrame:
+    """``e, f, c``: the first step's expected counts, where all words are equally likely; in blocks."""
+    b = make_blocks(df, [])
+    return blocked.table_words(b, blocked.step(b, None, Prior(), normalise=False).sent).withColumnRenamed("p", "c")
+
+
+def align(df: DataFrame, chunk_col: str | None = None, iterations: int = 5, variational: bool = False, alpha: float = 0.01, favor_diagonal: bool = False, optimise: bool = False, tension: float = 4.0, p0: float = 0.08) -> DataFrame:
+    """``df`` with ``points``: trained and aligned in the same blocks. Row ids occur once."""
+    b = make_blocks(df, [chunk_col] if chunk_col else [])
+    sent, prior, _ = _trained(b, iterations, Prior(favor_diagonal, tension, p0), alpha if variational else None, optimise)
+    made = written(blocked.links(b, sent, prior), "em-links")
+    b.discard()
+    return df.drop("points").join(made, "row_id", "left").withColumn("points", F.coalesce("points", none()))
+
+
 def _positions(df: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     rows = _aligned_rows(df)
     sources = F.concat(F.array(F.lit(NULL_WORD)), F.col("src"))
@@ -124,20 +144,33 @@ def swapped(df: DataFrame) -> DataFrame:
 
 def align_reverse(df: DataFrame, **settings) -> DataFrame:
     """Align from target to source and give the links as source-target points."""
-    back = swapped(df)
-    out = viterbi(back, train_ttable(back, **settings))
-    return swapped(out).withColumn("points", invert(F.col("points")))
-
-
-def align_bitext(df: DataFrame, heuristic: str = "grow-diag-final-and", chunk_col: str | None = None, **settings) -> DataFrame:
-    """Both directions and their symmetrisation, joined by row."""
-    keys = (chunk_col,) if chunk_col else ()
-    forward = viterbi(df, train_ttable(df, chunk_col=chunk_col, **settings), keys).select("row_id", F.col("points").alias("a"))
-    back = swapped(df)
-    reverse = viterbi(back, train_ttable(back, chunk_col=chunk_col, **settings), keys).select("row_id", invert(F.col("points")).alias("b"))
-    both = written(forward.join(reverse, "row_id"), "em-directions")
+    return swapped(align(swapped(df), **settings)).withColumn("points", invert(F.col("points")))
+
+
+def _both_at_once(df: DataFrame, chunk_col: str | None, iterations: int, alpha: float | None) -> DataFrame:
+    """``row_id, a, b``: both directions as two models of one run."""
+    keys = ["way", chunk_col] if chunk_col else ["way"]
+    ways = [side.select(F.struct(F.lit(i).alias("way"), "row_id").alias("row_id"), F.lit(i).alias("way"), *keys[1:], "src", "tgt") for i, side in enumerate((df, swapped(df)))]
+    b = make_blocks(ways[0].unionByName(ways[1]), keys)
+    sent, prior, _ = _trained(b, iterations, Prior(), alpha, False)
+    made = written(blocked.links(b, sent, prior), "em-links")
+    b.discard()
+    of = lambda i, name: made.where(F.col("row_id.way") == i).select(F.col("row_id.row_id").alias("row_id"), F.col("points").alias(name))
+    return of(0, "a").join(of(1, "b"), "row_id").withColumn("b", invert(F.col("b")))
+
+
+def align_bitext(df: DataFrame, heuristic: str = "grow-diag-final-and", chunk_col: str | None = None, iterations: int = 5, variational: bool = False, alpha: float = 0.01, favor_diagonal: bool = False, **prior) -> DataFrame:
+    """Both directions and their symmetrisation, joined by row. With the diagonal prior each direction has a
+    run, and a tension, of its own."""
+    if favor_diagonal:
+        settings = {"chunk_col": chunk_col, "iterations": iterations, "variational": variational, "alpha": alpha, "favor_diagonal": True, **prior}
+        forward = align(df, **settings).select("row_id", F.col("points").alias("a"))
+        both = forward.join(align_reverse(df, **settings).select("row_id", F.col("points").alias("b")), "row_id")
+    else:
+        both = _both_at_once(df, chunk_col, iterations, alpha if variational else None)
+    both = written(both, "em-directions")
     made = both.select("row_id", SYMMETRISE[heuristic](F.col("a"), F.col("b")).alias("points"))
-    return df.drop("points").join(made, "row_id")
+    return df.drop("points").join(made, "row_id", "left").withColumn("points", F.coalesce("points", none()))
 
 
 def realign(bitext: DataFrame, **settings) -> DataFrame:

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from ..functions.points import repair_points
 from ..functions.text import detokenise, span_starts, tokenise_query
 from ..scratch import written
+from .index import find_phrases, token_index
+from .numbering import numbered
 from .phrases import PAIR, extract_phrases, phrase_counts
 
 ROW = ["project_id", "row_id"]
@@ -29,30 +31,40 @@ def tokenised(fixes: DataFrame) -> DataFrame:
     return fixes.withColumns(same).withColumns({c: tokenise_query(F.coalesce(c, F.lit(""))) for c in TEXTS})
 
 
-def match_fix(bitext: DataFrame, occ: DataFrame, fixes: DataFrame) -> DataFrame:
+def match_fix(bitext: DataFrame, occ: DataFrame, fixes: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """``fix_id, project_id, row_id``: rows of a fix's phrase pair; for fixes without occurrences, rows
-    that hold both phrases as whole tokens. The search joins on the phrase's first token."""
+    that hold both phrases as whole tokens, found by the rarest token of both (``index`` is the corpus' token index, built
+    here if it is not given)."""
     fixes = tokenised(fixes)
     known = fixes.join(occ.select("project_id", "row_id", *PAIR).distinct(), ["project_id", *PAIR]).select(F.col("id").alias("fix_id"), *ROW)
+    known = written(known, "fix-known")
     rest = fixes.join(known.select(F.col("fix_id").alias("id")).distinct(), "id", "left_anti")
-    keyed = rest.withColumn("first", F.get(F.split("src_phrase", " "), F.lit(0)))
-    rows = bitext.where("not deleted").select(*ROW, "src", "tgt", F.explode(F.array_distinct("src")).alias("first"))
-    has = lambda arr, p: F.size(span_starts(F.col(arr), F.split(F.col(p), " "))) > 0
-    found = keyed.join(rows, ["project_id", "first"]).where(has("src", "src_phrase") & has("tgt", "tgt_phrase"))
+    found = find_phrases(written(token_index(bitext), "fix-index") if index is None else index, rest)
     return known.unionByName(found.select(F.col("id").alias("fix_id"), *ROW))
 
 
+#: Bins of a hash of whose first three hexadecimal digits a row is told.
+BIN_DIGITS = 3
+
+
 def sample_rows(matches: DataFrame, fixes: DataFrame, seed: int = 0) -> DataFrame:
     """``percentage`` of each fix's rows, at least one, by a hash of the row: reruns agree. A fix taken
-    whole needs no ranking; the others are ranked within their fix."""
+    whole needs no ranking. Of the others a histogram of the hash tells the bin in which the last row taken lies:
+    bins before it are taken whole, and that bin alone, one in 4,096 of a fix's rows, is ranked."""
     pct = matches.join(fixes.select(F.col("id").alias("fix_id"), "percentage"), "fix_id")
     whole = pct.where("percentage >= 100")
-    part = pct.where("percentage < 100")
     order = F.md5(F.concat_ws("/", F.col("row_id").cast("string"), F.lit(str(seed))))
+    part = pct.where("percentage < 100").withColumn("hash", order).withColumn("bin", F.substring("hash", 1, BIN_DIGITS))
+    # At most 4,096 rows a fix.
+    bins = part.groupBy("fix_id", "percentage", "bin").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("fix_id")
-    ranked = part.withColumn("k", F.row_number().over(w.orderBy(order, "row_id"))).withColumn("n", F.count(F.lit(1)).over(w))
-    some = ranked.where(F.col("k") <= F.greatest(F.lit(1), F.floor(F.col("n") * F.col("percentage") / 100)))
-    return whole.select("fix_id", *ROW).unionByName(some.select("fix_id", *ROW))
+    upto = F.sum("n").over(w.orderBy("bin"))
+    take = F.greatest(F.lit(1), F.floor(F.sum("n").over(w) * F.col("percentage") / 100)) - (upto - F.col("n"))
+    bins = bins.select("fix_id", "bin", "n", take.alias("take")).where("take > 0")
+    placed = part.drop("percentage").join(bins, ["fix_id", "bin"])
+    rank = F.row_number().over(Window.partitionBy("fix_id", "bin").orderBy("hash", "row_id"))
+    last = placed.where("take < n").withColumn("k", rank).where("k <= take")
+    return whole.select("fix_id", *ROW).unionByName(placed.where("take >= n").select("fix_id", *ROW)).unionByName(last.select("fix_id", *ROW))
 
 
 def _edit(state: Column, sub: Column, fix: Column, side: str, last_only: bool = False) -> Column:
@@ -98,14 +110,11 @@ def augment(bitext: DataFrame, matches: DataFrame, fixes: DataFrame) -> DataFram
         made = _edit(state, F.split(phrase, " "), F.split(fix, " "), key, last_only=True)
         rows = rows.withColumn("done", F.when((F.col(fix) != "") & (F.col(phrase) != ""), made).otherwise(state))
         rows = rows.withColumns({arr: F.col("done.w"), "points": F.col("done.p")}).drop("done")
-    # Dense numbers: ranked inside a fix, fixes set off by their counts.
-    counts = matches.groupBy("project_id", "fix_id").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("project_id").orderBy("fix_id").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("project_id", "fix_id", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    last = bitext.groupBy("project_id").agg(F.max("row_id").alias("last"))
-    rank = F.row_number().over(Window.partitionBy("project_id", "fix_id").orderBy("row_id"))
-    new = rows.withColumn("k", rank).join(starts, ["project_id", "fix_id"]).join(last, "project_id")
-    new = new.withColumns({"row_id": (F.col("last") + F.col("start") + F.col("k")).cast("long"), "score": F.lit(0.0)})
+    rows = numbered(rows, ["project_id", "fix_id", "row_id"], "_k")
+    firsts = rows.groupBy("project_id").agg(F.min("_k").alias("_first"))  # one row a project
+    last = bitext.groupBy("project_id").agg(F.max("row_id").alias("_last"))
+    new = rows.join(firsts.join(last, "project_id"), "project_id")
+    new = new.withColumns({"row_id": (F.col("_last") + F.col("_k") - F.col("_first") + 1).cast("long"), "score": F.lit(0.0)})
     return new.select(bitext.columns)
 
 

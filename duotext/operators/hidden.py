@@ -2,23 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import detokenise
+from .numbering import numbered
 
 KEY = ["project_id", "src_phrase", "tgt_phrase"]
 
 
 def hide(hidden: DataFrame, more: DataFrame) -> DataFrame:
-    """Add entries that are not there yet; ids follow the largest one, in blocks by first letter."""
-    new = more.select(KEY).distinct().join(hidden, KEY, "left_anti").withColumn("block", F.substring("src_phrase", 1, 1))
-    n = F.row_number().over(Window.partitionBy("block").orderBy(KEY))
-    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # one row a letter
-    starts = new.groupBy("block").count().select("block", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
-    last = hidden.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))
-    numbered = new.withColumn("n", n).join(starts, "block").crossJoin(F.broadcast(last))
-    return hidden.select("id", *KEY).unionByName(numbered.select((F.col("last") + F.col("start") + F.col("n")).cast("long").alias("id"), *KEY))
+    """Add entries that are not there yet; ids follow the largest one, in the order of the entries."""
+    new = numbered(more.select(KEY).distinct().join(hidden, KEY, "left_anti"), KEY, "n")
+    last = hidden.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last")).first()["last"]
+    return hidden.select("id", *KEY).unionByName(new.select((F.col("n") + F.lit(last + 1)).cast("long").alias("id"), *KEY))
 
 
 def unhide(hidden: DataFrame, less: DataFrame) -> DataFrame:

@@ -11,42 +11,47 @@ from pyspark.sql import functions as F
 
 from ..functions.text import detokenise, strip_markers
 from ..scratch import spread
-from .em import swapped
 
 PAIR = ["src_phrase", "tgt_phrase"]
 
 
-def _reach(side: str, of: str, to: str) -> tuple[Column, Column]:
-    """Per position of ``side`` the least and the greatest position it is linked to, null without a link:
-    where its links begin in the sorted ones, and in those sorted the other way."""
+def _reach(side: str, of: str, to: str) -> Column:
+    """``struct<low, high>``: per position of ``side`` the least and the greatest position it is linked to, null without
+    a link. Links are sorted once; the first and the last of each position, and the positions without any, sorted, are
+    the index."""
     n = F.size(side)
+    links = F.array_sort(F.transform("points", lambda p: F.struct(p[of].alias("at"), p[to].alias("to"))))
+    at = lambda x, i: F.get(x, i)["at"]
 
-    def first(links: Column) -> Column:
-        # The outer transform binds the links: inside the inner one they would be sorted for each position.
-        ends = F.struct(F.transform(links, lambda p: p[of]).alias("at"), F.transform(links, lambda p: p[to]).alias("to"))
-        pick = lambda x: lambda i: F.element_at(x["to"], F.nullif(F.array_position(x["at"], i), F.lit(0)).cast("int"))
-        reach = F.transform(F.array(ends), lambda x: F.transform(F.sequence(F.lit(0), n - 1), pick(x)))
-        return F.when(n > 0, reach[0])
+    def dense(x: Column) -> Column:
+        firsts = F.filter(x, lambda p, i: (i == 0) | (at(x, i - 1) != p["at"]))
+        lasts = F.filter(x, lambda p, i: (i == F.size(x) - 1) | (at(x, i + 1) != p["at"]))
+        held = F.zip_with(firsts, lasts, lambda a, b: F.struct(a["at"].alias("at"), a["to"].alias("low"), b["to"].alias("high")))
+        none = F.lit(None).cast("int")
+        free = F.array_except(F.sequence(F.lit(0), n - 1), F.transform(x, lambda p: p["at"]))
+        return F.array_sort(F.concat(held, F.transform(free, lambda i: F.struct(i.alias("at"), none.alias("low"), none.alias("high")))))
 
-    ordered = F.array_sort(F.transform("points", lambda p: F.struct(p[of].alias(of), p[to].alias(to))))
-    return first(ordered), first(F.reverse(ordered))
+    # The outer transform binds the links, and their index: they would be sorted again for each position otherwise.
+    index = F.when(n > 0, F.get(F.transform(F.array(links), dense), F.lit(0)))
+    ends = lambda x: F.struct(F.transform(x, lambda p: p["low"]).alias("low"), F.transform(x, lambda p: p["high"]).alias("high"))
+    return F.get(F.transform(F.array(index), ends), F.lit(0))
 
 
 def indexed(df: DataFrame) -> DataFrame:
     """``df (src, tgt, points)`` with the reach of each position: ``t_low, t_high, s_low, s_high``."""
-    (t_low, t_high), (s_low, s_high) = _reach("src", "s", "t"), _reach("tgt", "t", "s")
-    return df.withColumns({"t_low": t_low, "t_high": t_high, "s_low": s_low, "s_high": s_high})
+    out = df.withColumns({"_t": _reach("src", "s", "t"), "_s": _reach("tgt", "t", "s")})
+    return out.withColumns({f"{to}_{end}": F.col(f"_{to}.{end}") for to in "ts" for end in ("low", "high")}).drop("_t", "_s")
 
 
-def spans_of(side: str, min_len: int, max_len: int) -> Column:
+def spans_of(side: str | Column, min_len: int, max_len: int) -> Column:
     """``array<struct<a0, a1>>`` of all spans (inclusive) of a side."""
     n = F.size(side)
     starts = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(0), n - k), lambda a: F.struct(a.alias("a0"), (a + k - 1).alias("a1"))))
     return F.flatten(F.filter(F.transform(F.sequence(F.lit(min_len), F.lit(max_len)), starts), lambda x: x.isNotNull()))
 
 
-def within(reach: str, lo: Column, hi: Column) -> Column:
-    return F.slice(F.col(reach), lo + 1, hi - lo + 1)
+def within(reach: str | Column, lo: Column, hi: Column) -> Column:
+    return F.slice(F.col(reach) if isinstance(reach, str) else reach, lo + 1, hi - lo + 1)
 
 
 def project_spans(df: DataFrame, min_len: int = 1, max_len: int = 3) -> DataFrame:
@@ -64,8 +69,9 @@ def consistent() -> Column:
     return (F.array_min(within("s_low", t0, t1)) == F.col("s0")) & (F.array_max(within("s_high", t0, t1)) == F.col("s1"))
 
 
-def phrase_text(arr: str, start: str, end: str) -> Column:
-    return strip_markers(F.array_join(F.slice(F.col(arr), F.col(start) + 1, F.col(end) - F.col(start) + 1), " "))
+def phrase_text(arr: str | Column, start: str | Column, end: str | Column) -> Column:
+    start, end = (F.col(c) if isinstance(c, str) else c for c in (start, end))
+    return strip_markers(F.array_join(within(arr, start, end), " "))
 
 
 def valid_phrase(col: Column, rule: str = "edge") -> Column:
@@ -75,40 +81,50 @@ def valid_phrase(col: Column, rule: str = "edge") -> Column:
     return col.rlike(r"[^\p{Punct}\s]")
 
 
-def _extract(df: DataFrame, min_len: int, max_len: int, rule: str) -> DataFrame:
-    out = project_spans(df, min_len, max_len).withColumn("both", consistent())
-    out = out.withColumns({"src_phrase": phrase_text("src", "s0", "s1"), "tgt_phrase": phrase_text("tgt", "t0", "t1")})
-    return out.where(valid_phrase(F.col("src_phrase"), rule) & valid_phrase(F.col("tgt_phrase"), rule))
+def _pass(r: Column, side: str, other: str, min_len: int, max_len: int, rule: str) -> Column:
+    """``array<struct<a0, a1, b0, b1, a, b, both>>``: the spans ``a0..a1`` of a side with the outermost links ``b0..b1`` on the
+    other, their texts ``a, b``, and whether these lead back to exactly the span. ``r`` is the row with its index."""
+    t, s = ("t", "s") if side == "src" else ("s", "t")
 
+    def projected(x: Column) -> Column:
+        lo, hi = x["a0"], x["a1"]
+        return F.struct(lo.alias("a0"), hi.alias("a1"), F.array_min(within(r[f"{t}_low"], lo, hi)).alias("b0"), F.array_max(within(r[f"{t}_high"], lo, hi)).alias("b1"))
 
-def _turned(df: DataFrame) -> DataFrame:
-    return swapped(df).withColumn("points", F.transform("points", lambda p: F.struct(p["t"].alias("s"), p["s"].alias("t"))))
+    def phrase(x: Column) -> Column:
+        a0, a1, b0, b1 = (x[c] for c in ("a0", "a1", "b0", "b1"))
+        both = (F.array_min(within(r[f"{s}_low"], b0, b1)) == a0) & (F.array_max(within(r[f"{s}_high"], b0, b1)) == a1)
+        return F.struct(a0.alias("a0"), a1.alias("a1"), b0.alias("b0"), b1.alias("b1"), phrase_text(r[side], a0, a1).alias("a"), phrase_text(r[other], b0, b1).alias("b"), both.alias("both"))
+
+    spans = F.filter(F.transform(spans_of(r[side], min_len, max_len), projected), lambda x: x["b0"].isNotNull())
+    return F.filter(F.transform(spans, phrase), lambda x: valid_phrase(x["a"], rule) & valid_phrase(x["b"], rule))
 
 
 _KEEP = ["row_id", *PAIR, "direction", "s_start", "t_start"]
 
 
+def _emitted(df: DataFrame, min_len: int, max_len: int, rule: str, ahead, back) -> DataFrame:
+    """Both passes over the rows: from one index, and inside the row, so that only phrases are expanded. ``ahead`` and
+    ``back`` give the direction of a phrase of their pass, null for one that is not emitted."""
+
+    def found(r: Column) -> Column:
+        a = F.transform(_pass(r, "src", "tgt", min_len, max_len, rule), lambda x: F.struct(x["a"].alias("src_phrase"), x["b"].alias("tgt_phrase"), ahead(x["both"]).alias("direction"), x["a0"].alias("s_start"), x["b0"].alias("t_start")))
+        b = F.transform(_pass(r, "tgt", "src", min_len, max_len, rule), lambda x: F.struct(x["b"].alias("src_phrase"), x["a"].alias("tgt_phrase"), back(x["both"]).alias("direction"), x["b0"].alias("s_start"), x["a0"].alias("t_start")))
+        return F.filter(F.concat(a, b), lambda x: x["direction"].isNotNull())
+
+    rows = indexed(spread(df.select("row_id", "src", "tgt", "points"), "row_id"))
+    bound = F.array(F.struct("src", "tgt", "t_low", "t_high", "s_low", "s_high"))
+    return rows.select("row_id", F.explode(F.get(F.transform(bound, found), F.lit(0))).alias("x")).select("row_id", "x.*").select(_KEEP)
+
+
 def extract_phrases(df: DataFrame, min_len: int = 1, max_len: int = 3, rule: str = "edge") -> DataFrame:
     """Consistent pairs of both passes: ``row_id, src_phrase, tgt_phrase, direction, s_start, t_start``;
     direction 0 in the forward pass, -1 in the reverse pass."""
-    df = spread(df.select("row_id", "src", "tgt", "points"), "row_id")
-    ahead = _extract(df, min_len, max_len, rule).where("both").select("row_id", *PAIR, F.lit(0).alias("direction"), F.col("s0").alias("s_start"), F.col("t0").alias("t_start"))
-    back = _extract(_turned(df), min_len, max_len, rule).where("both").select(
-        "row_id", F.col("tgt_phrase").alias("src_phrase"), F.col("src_phrase").alias("tgt_phrase"), F.lit(-1).alias("direction"), F.col("t0").alias("s_start"), F.col("s0").alias("t_start")
-    )
-    return ahead.unionByName(back).select(_KEEP)
+    return _emitted(df, min_len, max_len, rule, lambda both: F.when(both, 0), lambda both: F.when(both, -1))
 
 
 def extract_directed(df: DataFrame, min_len: int = 1, max_len: int = 3, rule: str = "not_only") -> DataFrame:
     """Inconsistent spans too: forward ones get direction 1, reverse ones -1, consistent ones 0 once."""
-    df = spread(df.select("row_id", "src", "tgt", "points"), "row_id")
-    ahead = _extract(df, min_len, max_len, rule).select(
-        "row_id", *PAIR, F.when(F.col("both"), 0).otherwise(1).alias("direction"), F.col("s0").alias("s_start"), F.col("t0").alias("t_start")
-    )
-    back = _extract(_turned(df), min_len, max_len, rule).where("not both").select(
-        "row_id", F.col("tgt_phrase").alias("src_phrase"), F.col("src_phrase").alias("tgt_phrase"), F.lit(-1).alias("direction"), F.col("t0").alias("s_start"), F.col("s0").alias("t_start")
-    )
-    return ahead.unionByName(back).select(_KEEP)
+    return _emitted(df, min_len, max_len, rule, lambda both: F.when(both, 0).otherwise(1), lambda both: F.when(~both, -1))
 
 
 def drop_ignored(occ: DataFrame, hidden: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenise, tokens
+from .numbering import numbered
 
 
 def filter_bitext(df: DataFrame, min_len: int = 1, max_len: int = 2000, max_tokens: int = 512, src="src_raw", tgt="tgt_raw") -> DataFrame:
@@ -31,13 +32,9 @@ def explode_tokens(df: DataFrame, side: str) -> DataFrame:
 
 
 def vocab(df: DataFrame) -> DataFrame:
-    """Dense ids by word. The numbering is cut by first letter, so that no task sorts all words."""
-    words = df.select(F.explode(F.array_union("src", "tgt")).alias("word")).distinct().withColumn("initial", F.substring("word", 1, 1))
-    inside = F.row_number().over(Window.partitionBy("initial").orderBy("word"))
-    counts = words.groupBy("initial").count()  # one row a letter
-    before = Window.orderBy("initial").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("initial", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
-    return words.withColumn("n", inside).join(starts, "initial").select("word", (F.col("start") + F.col("n") - 1).alias("id"))
+    """Dense ids by word."""
+    words = df.select(F.explode(F.array_union("src", "tgt")).alias("word")).distinct()
+    return numbered(words, ["word"])
 
 
 def length_stats(df: DataFrame) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.morph import head_token
+
 MIN_TOTAL, SURE_SHARE = 10, 0.75
 
 
@@ -19,7 +21,7 @@ def phrase_table(
     """Per (direction, source phrase): ``total, top_tgt, top_count, top_share, num_tgts, entropy, topk``.
 
     Pairs are summed first, combined before the shuffle. Totals and entropy then need sums only, and
-    only the ``top_k`` targets of a source are gathered (ranked in a window), never all of them.
+    only the ``top_k`` targets of a source are gathered, never all of them.
     """
     rows = phrases.where("num_occurrences > 0 and trim(src_phrase) != '' and trim(tgt_phrase) != ''")
     single = ~F.trim("src_phrase").rlike(r"\s")
@@ -29,13 +31,14 @@ def phrase_table(
         rows = rows.where(single)
     direction = F.col("direction").cast("string") if split_by_direction else F.lit("all")
     pairs = rows.groupBy(direction.alias("direction"), F.trim("src_phrase").alias("src"), F.trim("tgt_phrase").alias("tgt")).agg(F.sum("num_occurrences").alias("c"))
-    w = Window.partitionBy("direction", "src").orderBy(F.desc("c"), "tgt")
-    ranked = pairs.withColumn("rank", F.row_number().over(w))
+    # A rank that is cut before anything else is done is cut in each task before the shuffle as well: a hot source
+    # sends at most ``top_k`` targets from each.
+    rank = F.row_number().over(Window.partitionBy("direction", "src").orderBy(F.desc("c"), "tgt"))
+    top = pairs.withColumn("rank", rank).where(F.col("rank") <= top_k)
+    best = top.groupBy("direction", "src").agg(F.array_sort(F.collect_list(F.struct("rank", "tgt", "c"))).alias("best"))
     clog = F.sum(F.col("c") * F.log(F.col("c").cast("double")))
-    best = F.array_sort(F.collect_list(F.when(F.col("rank") <= top_k, F.struct("rank", "tgt", "c"))))
-    out = ranked.groupBy("direction", "src").agg(
-        F.sum("c").alias("total"), F.count(F.lit(1)).alias("num_tgts"), clog.alias("clog"), best.alias("best")
-    )
+    sums = pairs.groupBy("direction", "src").agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("num_tgts"), clog.alias("clog"))
+    out = sums.join(best, ["direction", "src"])
     total = F.col("total")
     return out.where(total >= min_total).select(
         "direction",
@@ -50,7 +53,7 @@ def phrase_table(
     )
 
 
-def topk_text(col: str = "topk"):
+def topk_text(col: str | Column = "topk") -> Column:
     return F.array_join(F.transform(col, lambda x: F.concat(x["tgt"], F.lit("("), x["count"].cast("string"), F.lit(")"))), "|")
 
 
@@ -91,20 +94,56 @@ def robustness_examples(phrases: DataFrame, n: int = 25, alternatives: int = 6)
     classed = robustness(phrases).where("class != 'below'")
     rank = F.row_number().over(Window.partitionBy("class").orderBy(F.desc("total"), "src"))
     return classed.withColumn("rank", rank).where(F.col("rank") <= n).select(
-        "class", "rank", "src", "top_tgt", "total", F.round("top_share", 6).alias("top_share"),
+        "class", "rank", "src", "top_tgt", "top_count", "total", F.round("top_share", 6).alias("top_share"),
         F.array_join(F.transform(F.slice("topk", 2, alternatives), lambda x: F.concat(x["tgt"], F.lit("("), x["count"].cast("string"), F.lit(")"))), "|").alias("alternatives"),
     )
 
 
+def percent_text(part: Column, total: Column) -> Column:
+    """A share in per cent with one digit, halves up, by whole numbers."""
+    tenths = F.floor((part * 2000 + total) / (total * 2)).cast("long")
+    return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit("%"))
+
+
+def _count_lines(counts: DataFrame, section: str) -> DataFrame:
+    """One row of counts as a line each."""
+    line = lambda i, c: F.struct(F.lit(section).alias("section"), F.lit(i).cast("long").alias("line_no"), F.concat(F.lit(f"- {c}: "), F.col(c).cast("string")).alias("text"))
+    return counts.select(F.explode(F.array(*[line(i, c) for i, c in enumerate(counts.columns)])).alias("l")).select("l.*")
+
+
 def render_report(phrases: DataFrame) -> DataFrame:
     """The translation overview as text lines: ``section, line_no, text``."""
-    counts = robustness_report(phrases)
-    lines = F.explode(F.array(*[F.struct(F.lit("counts").alias("section"), F.lit(i).cast("long").alias("line_no"), F.concat(F.lit(f"- {c}: "), F.col(c).cast("string")).alias("text")) for i, c in enumerate(counts.columns)]))
     examples = robustness_examples(phrases).select(
         F.col("class").alias("section"), F.col("rank").cast("long").alias("line_no"),
-        F.concat("src", F.lit(" -> "), "top_tgt", F.lit(" ("), F.format_string("%.1f%%", F.col("top_share") * 100), F.lit(", total "), F.col("total").cast("string"), F.lit(")")).alias("text"),
+        F.concat("src", F.lit(" -> "), "top_tgt", F.lit(" ("), percent_text(F.col("top_count"), F.col("total")), F.lit(", total "), F.col("total").cast("string"), F.lit(")")).alias("text"),
+    )
+    return _count_lines(robustness_report(phrases), "counts").unionByName(examples)
+
+
+def hidden_selection_report(robust: DataFrame, form: DataFrame, examples: int = 12, alternatives: int = 6) -> DataFrame:
+    """The hidden selection as text lines. ``robust`` are rows of the phrase table; ``form`` are form-aligned pairs with
+    their witness: ``src_phrase, tgt_phrase, src_tag, tgt_feat``. The most frequent robust pairs come first."""
+    r = robust.withColumn("tgt", F.col("top_tgt")).select("src", "tgt", "total", "top_count", "num_tgts", topk_text(F.slice("topk", 1, alternatives)).alias("top")).dropDuplicates(["src", "tgt"])
+    f = form.groupBy(F.trim("src_phrase").alias("src"), F.trim("tgt_phrase").alias("tgt")).agg(F.min(F.struct("src_tag", "tgt_feat")).alias("w"))
+    part = F.when(F.col("total").isNotNull() & F.col("w").isNotNull(), "both").when(F.col("total").isNotNull(), "robust only").otherwise("form only")
+    joined = r.join(f, ["src", "tgt"], "full_outer").withColumn("section", part)
+    rank = F.row_number().over(Window.partitionBy("section").orderBy(F.desc_nulls_last("total"), "src", "tgt"))
+    top = joined.withColumn("line_no", rank.cast("long")).where(F.col("line_no") <= examples)
+    share = F.concat(
+        F.lit(" | conf="), percent_text(F.col("top_count"), F.col("total")), F.lit(" ("), F.col("top_count").cast("string"), F.lit("/"), F.col("total").cast("string"),
+        F.lit("), variants="), F.col("num_tgts").cast("string"), F.lit(" | top: "), F.col("top"),
     )
-    return counts.select(lines.alias("l")).select("l.*").unionByName(examples)
+    head = lambda text: F.concat(F.lit(text), F.coalesce(head_token(F.col("tgt")), F.lit("")))
+    tags = F.concat(F.lit(" ["), F.col("w.src_tag"), F.lit("] = ["), F.col("w.tgt_feat"), F.lit("]"))
+    text = F.concat("src", F.lit(" -> "), "tgt", F.when(F.col("total").isNotNull(), share).otherwise(""), F.when(F.col("w").isNotNull(), F.concat(head(" | head: "), tags)).otherwise(""))
+    counts, _ = hidden_report(r, f)
+    return _count_lines(counts, "hidden counts").unionByName(top.select("section", "line_no", text.alias("text")))
+
+
+def combined_report(phrases: DataFrame, robust: DataFrame, form: DataFrame) -> DataFrame:
+    """Overview and hidden selection in one: ``report, section, line_no, text``."""
+    overview = render_report(phrases).withColumn("report", F.lit("overview"))
+    return overview.unionByName(hidden_selection_report(robust, form).withColumn("report", F.lit("hidden selection"))).select("report", "section", "line_no", "text")
 
 
 def hidden_report(robust: DataFrame, form: DataFrame, examples: int = 12) -> tuple[DataFrame, DataFrame]:

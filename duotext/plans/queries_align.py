@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions.mathx import diagonal_prior
@@ -9,6 +11,7 @@ from ..functions.points import format_points
 from ..operators import em, prep
 from ..scratch import written
 from . import fixtures as fx
+from .queries_prep import sql_grow
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -71,7 +74,7 @@ def _(spark, d):
 
 @query("aln3_e_step", f"with {_COOC}{_steps(1)} select e, count(*) as n, round(sum(c), 6) as total, round(max(c), 9) as most from c1 group by e")
 def _(spark, d):
-    counts = em.e_step(written(em.cooccurrences(fx.pseudo(spark, d)), "pairs"))
+    counts = em.expected_counts(fx.pseudo(spark, d))
     return counts.groupBy("e").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("c"), 6).alias("total"), F.round(F.max("c"), 9).alias("most"))
 
 
@@ -106,11 +109,50 @@ def _(spark, d):
     return cells.select("m", "n", p.alias("p")).groupBy("m", "n").agg(F.round(F.sum("p"), 6).alias("total"), F.round(F.max("p"), 9).alias("most"))
 
 
-@query("aln7_optimise_tension")
+_CELLS = (
+    fx.SQL_PSEUDO
+    + """,
+cells0 as (select row_id, len(src) as n, len(tgt) as m, j, tgt[j] as f, i, case when i = 0 then '<eps>' else src[i] end as e, -abs(i / len(src)::double - j / len(tgt)::double) as h
+  from (select row_id, src, tgt, j, unnest(range(len(src) + 1)) as i from (select row_id, src, tgt, unnest(range(1, len(tgt) + 1)) as j from pseudo))),
+cells as (select *, case when i = 0 then 0.08::double else (1 - 0.08::double) * exp(4.0::double * h) / sum(case when i > 0 then exp(4.0::double * h) end) over (partition by row_id, j) end as prior from cells0)"""
+)
+
+
+def _diagonal_steps(k: int) -> str:
+    """EM steps under the diagonal prior, by cells: t1 … tk, and what is expected before each of them."""
+    out = ""
+    for i in range(1, k + 1):
+        source = "select *, prior as p from cells" if i == 1 else f"select cells.*, prior * t{i - 1}.p as p from cells join t{i - 1} using (e, f)"
+        out += f""",
+y{i} as (select *, p / sum(p) over (partition by row_id, j) as share from ({source})),
+c{i} as (select e, f, sum(share) as c from y{i} group by 1, 2),
+t{i} as (select e, f, c / sum(c) over (partition by e) as p from c{i})"""
+    return out
+
+
+def _tension_steps(k: int) -> str:
+    """Gradient steps on the tension, from 4: a0 … ak."""
+    out = """,
+grid as materialized (select n, m, j, -abs(i / n::double - j / m::double) as h, count from (
+  select n, m, count, j, unnest(range(1, n + 1)) as i from (select n, m, count, unnest(range(1, m + 1)) as j from (select len(src) as n, len(tgt) as m, count(*) as count from pseudo group by all)))),
+emp as (select sum(case when i > 0 then h * share else 0 end) / (select sum(len(tgt)) from pseudo) as feature from y2),
+a0 as (select 4.0::double as a)"""
+    for i in range(1, k + 1):
+        out += f""",
+g{i} as (select n, m, j, any_value(count) as count, sum(h * exp(a * h)) / sum(exp(a * h)) as d from grid, a{i - 1} group by n, m, j),
+a{i} as (select least(greatest(any_value(a) + 20 * (any_value(feature) - sum(count * d) / sum(count)), 0.1), 14.0) as a from g{i}, a{i - 1}, emp)"""
+    return out
+
+
+@query("aln6_diagonal_training", f"with {_CELLS}{_diagonal_steps(2)} " + _SUMMARY.format("t2"))
 def _(spark, d):
-    sizes = prep.length_stats(fx.bitext(spark, d))
-    tension = em.optimise_tension(sizes, -0.15)
-    return sizes.agg(F.sum("count").alias("rows")).withColumn("tension", F.lit(float(tension)))
+    return _summary(em.train_ttable(fx.pseudo(spark, d), iterations=3, favor_diagonal=True))
+
+
+@query("aln7_optimise_tension", f"with {_CELLS}{_diagonal_steps(2)}{_tension_steps(8)} select round(feature, 9) as feature, round(a, 6) as tension from emp, a8")
+def _(spark, d):
+    figures = em.training_figures(fx.pseudo(spark, d), iterations=3, favor_diagonal=True, optimise=True)
+    return figures.where("step = 2").select(F.round("feature", 9).alias("feature"), F.round("last_tension", 6).alias("tension"))
 
 
 @query(
@@ -183,17 +225,45 @@ def _(spark, d):
     return out.select("row_id", format_points("points").alias("points"), F.round("log_prob", 5).alias("log_prob"))
 
 
-@query("aln14_align_bitext")
+def _sql_aligned(source: str, k: int) -> str:
+    """CTEs from ``source (row_id, src, tgt)`` to ``grown``: both directions after k steps, symmetrised."""
+    out = ""
+    for way, src, tgt in (("x", "src", "tgt"), ("y", "tgt", "src")):
+        steps = _steps(k)
+        for name in ("pairs", *[f"{c}{i}" for c in "jzct" for i in range(1, k + 1)]):
+            steps = re.sub(rf"\b{name}\b", way + name, steps)
+        made = "{'s': (i - 1)::int, 't': j::int}" if way == "x" else "{'s': j::int, 't': (i - 1)::int}"
+        out += f""",
+{way}side as (select row_id, {src} as src, {tgt} as tgt from {source} where len(src) > 0 and len(tgt) > 0),
+{way}sw as (select row_id, '<eps>' as e, 1 as ns from {way}side union all select row_id, e, count(*) from (select row_id, unnest(src) as e from {way}side) group by all),
+{way}tw as (select row_id, f, count(*) as nt from (select row_id, unnest(tgt) as f from {way}side) group by all),
+{way}pairs as (select row_id, e, f, ns * nt as n, nt as m from {way}sw join {way}tw using (row_id)){steps},
+{way}pos as (select row_id, j, tgt[j + 1] as f, i, case when i = 0 then '<eps>' else src[i] end as e
+  from (select row_id, src, tgt, j, unnest(range(len(src) + 1)) as i from (select row_id, src, tgt, unnest(range(len(tgt))) as j from {way}side))),
+{way}best as (select row_id, j, i, row_number() over (partition by row_id, j order by round(p, 12) desc, i) as k from {way}pos join {way}t{k} using (e, f)),
+{way}links as (select row_id, list({made}) as points from {way}best where k = 1 and i > 0 group by row_id)"""
+    none = "[]::struct(s int, t int)[]"
+    return out + f""",
+directions as (select row_id, coalesce(xlinks.points, {none}) as a, coalesce(ylinks.points, {none}) as b from {source} left join xlinks using (row_id) left join ylinks using (row_id)),{sql_grow('directions', 'and')}"""
+
+
+_POINTS_OF = f"select row_id, {fx.sql_points('list_sort(held)')} as points from grown"
+
+
+@query("aln14_align_bitext", f"with recursive {fx.SQL_PSEUDO}{_sql_aligned('pseudo', 4)} {_POINTS_OF}")
 def _(spark, d):
     return em.align_bitext(fx.pseudo(spark, d)).select("row_id", format_points("points").alias("points"))
 
 
-@query("aln15_chunked_training")
+_COOC_CHUNKS = _COOC.replace("'<eps>' as e", "(row_id % 2)::varchar || '/<eps>' as e").replace("select row_id, e, count(*)", "select row_id, (row_id % 2)::varchar || '/' || e as e, count(*)")
+
+
+@query("aln15_chunked_training", f"with {_COOC_CHUNKS}{_steps(4)} " + _SUMMARY.format("t4"))
 def _(spark, d):
     df = fx.pseudo(spark, d).withColumn("chunk", F.col("row_id") % 2)
     return _summary(em.train_ttable(df, chunk_col="chunk").withColumn("e", F.concat_ws("/", "chunk", "e")))
 
 
-@query("aln16_realign")
+@query("aln16_realign", f"with recursive {fx.SQL_BITEXT}{_sql_aligned('bitext', 1)} {_POINTS_OF}")
 def _(spark, d):
     return em.realign(fx.bitext(spark, d), iterations=2).select("row_id", format_points("points").alias("points"))

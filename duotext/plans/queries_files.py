@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.points import format_points
-from ..operators import em, tables
+from ..operators import em, hidden, tables
 from ..operators import phrases as ph
 from ..scratch import scratch_path
 from ..sources import readers, writers
-from ..streaming.counts import stream_force_align, stream_phrase_counts
+from ..streaming.counts import stream_capped_counts, stream_force_align, stream_phrase_counts
 from . import fixtures as fx
-from . import queries_align, queries_tables
+from . import queries_align, queries_phrases, queries_prep, queries_tables
 from .queries_phrases import occ_of
 
 QUERIES: dict = {}
@@ -119,13 +119,46 @@ def _(spark, d):
     return spark.read.schema("id long, project_id long, src_phrase string, tgt_phrase string").json(path)
 
 
-@query("snk6_symmetric_json", f"with {fx.SQL_OCC} select {fx.sql_detokenise('src_phrase')} as src_phrase, {fx.sql_detokenise('tgt_phrase')} as tgt_phrase, num_occurrences from counts where direction = 0")
+@query("snk7_symmetric_json", f"with {fx.SQL_OCC} select {fx.sql_detokenise('src_phrase')} as src_phrase, {fx.sql_detokenise('tgt_phrase')} as tgt_phrase, num_occurrences from counts where direction = 0")
 def _(spark, d):
     path = scratch_path(spark, "symmetric")
     writers.write_json(writers.symmetric_pairs(ph.phrase_counts(occ_of(spark, d))), path)
     return spark.read.schema("src_phrase string, tgt_phrase string, num_occurrences long").json(path)
 
 
+@query("snk6_ignored_json", f"with {fx.SQL_CATALOGUE}, i as (select src_phrase, tgt_phrase from hidden union select src_phrase, tgt_phrase from catalogue where ignore) select distinct trim(src_phrase) as src, trim(tgt_phrase) as tgt from i where trim(src_phrase) <> ''")
+def _(spark, d):
+    path = scratch_path(spark, "ignored")
+    writers.write_ignored(hidden.all_ignored(fx.hidden_entries(spark, d), fx.catalogue(spark, d)), path)
+    return readers.clean_hidden(spark.read.schema("src string, tgt string").json(path))
+
+
+@query("snk9_stats_json", queries_prep.ORACLES["sta1_line_stats"])
+def _(spark, d):
+    stats, path = queries_prep.QUERIES["sta1_line_stats"](spark, d), scratch_path(spark, "stats")
+    writers.write_stats(stats, path)
+    return spark.read.schema(stats.schema).json(path)
+
+
+@query("src5_read_fixes", f"with {queries_phrases._FIXES} select src_phrase, src_fix, tgt_phrase, tgt_fix, direction, percentage from fixes where id % 5 <> 0")
+def _(spark, d):
+    """Fixes as JSON arrays in several files; every fifth lacks a field and is left out."""
+    fixes, path = queries_phrases._fixes(spark, d)[1], scratch_path(spark, "fixes")
+    fixes = fixes.withColumn("tgt_fix", F.when(F.col("id") % 5 != 0, F.col("tgt_fix")))
+    writers.write_fixes(fixes.drop("id", "project_id"), path, per_file=100)
+    return readers.read_fixes(spark, path).select("src_phrase", "src_fix", "tgt_phrase", "tgt_fix", "direction", "percentage")
+
+
+@query("prj3_save_bitext", f"with {fx.SQL_BITEXT} select project_id, row_number() over (partition by project_id order by b.row_id) - 1 as row_id, array_to_string(src, ' ') as src, {fx.sql_points('points')} as points from bitext b where project_id <> 1 or b.row_id % 2 = 0")
+def _(spark, d):
+    """Project 1 is saved again with half of its rows."""
+    df, path = fx.bitext(spark, d), scratch_path(spark, "bitext")
+    writers.save_bitext(writers.dense_rows(df), path)
+    writers.save_bitext(writers.dense_rows(df.where("project_id = 1 and row_id % 2 = 0")), path)
+    saved = spark.read.parquet(path)
+    return saved.select(F.col("project_id").cast("long").alias("project_id"), "row_id", F.array_join("src", " ").alias("src"), format_points("points").alias("points"))
+
+
 _REPLACED = ", o as (select distinct row_id % 3 as project_id, * from occ where row_id % 3 <> 1 or row_id % 2 = 0)"
 
 
@@ -146,6 +179,22 @@ def _(spark, d):
     return df.select("project_id", "row_id", F.array_join("src", " ").alias("src"), format_points("points").alias("points"), "score", "deleted")
 
 
+@query("snk11_versions", f"with {fx.SQL_BITEXT} select 1 as version, row_id, array_to_string(src, ' ') as src from bitext union all select 2, row_id, array_to_string(src, ' ') from bitext where row_id % 2 = 0")
+def _(spark, d):
+    """Two versions, and between them a save that fails half-way: both are read."""
+    df, path = fx.bitext(spark, d).select("row_id", F.array_join("src", " ").alias("src")), scratch_path(spark, "versions")
+    writers.save_version({"bitext": df}, path)
+    broken = df.withColumn("src", F.when(F.col("row_id") % 5 == 0, F.raise_error(F.lit("no disk"))).otherwise(F.col("src")))
+    try:
+        writers.save_version({"a": df, "bitext": broken}, path)
+    except Exception as stopped:
+        if "no disk" not in str(stopped):
+            raise
+    writers.save_version({"bitext": df.where("row_id % 2 = 0")}, path)
+    read = [writers.load_version(spark, path, v)["bitext"].select(F.lit(v).alias("version"), "row_id", "src") for v in (1, None)]
+    return read[0].unionByName(read[1].withColumn("version", F.lit(2)))
+
+
 @query("str1_stream_counts", f"with {fx.SQL_OCC} select src_phrase, tgt_phrase, num_occurrences from counts")
 def _(spark, d):
     df, path = fx.bitext(spark, d).select("row_id", "src", "tgt", "points"), scratch_path(spark, "stream")
@@ -160,6 +209,27 @@ def _(spark, d):
     return spark.read.parquet(f"{path}/out")
 
 
+def _sql_capped(batches: int, most: int) -> str:
+    """Batches by ``row_id % batches``: r0 … are the counts after each."""
+    out = ""
+    for k in range(batches):
+        before = f" union all select * from r{k - 1}" if k else ""
+        out += f""",
+b{k} as (select src_phrase, tgt_phrase, sum(n) as n from (select src_phrase, tgt_phrase, count(*) as n from by_row where row_id % {batches} = {k} group by 1, 2{before}) group by 1, 2),
+r{k} as (select src_phrase, tgt_phrase, n from b{k} where n >= (select min(n) from (select n, sum(count(*)) over (order by n desc) as upto from b{k} group by n) where upto <= {most}))"""
+    return out
+
+
+@query("str1_capped_stream", f"with {fx.SQL_OCC}{_sql_capped(3, 400)} select src_phrase, tgt_phrase, n::bigint as num_occurrences from r2")
+def _(spark, d):
+    df, path = fx.bitext(spark, d).select("row_id", "src", "tgt", "points"), scratch_path(spark, "stream")
+    for k in range(3):  # a batch each, in this order
+        df.where(F.col("row_id") % 3 == k).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    rows = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    stream_capped_counts(rows, f"{path}/counts", f"{path}/state", 400).awaitTermination()
+    return spark.read.parquet(f"{path}/counts/0")
+
+
 @query("str2_stream_force_align", queries_align.ORACLES["aln13_force_align"])
 def _(spark, d):
     df, path = fx.pseudo(spark, d), scratch_path(spark, "stream")

@@ -9,6 +9,9 @@ from ..functions import points as P
 from ..functions import text as T
 from ..operators import fixes as fix
 from ..operators import phrases as ph
+from ..operators.index import search_indexed, token_index
+from ..operators.numbering import numbered
+from ..scratch import written
 from ..sources import writers
 from ..streaming.counts import row_pairs
 from . import fixtures as fx
@@ -191,6 +194,40 @@ def _(spark, d):
     return fix.match_fix(fx.bitext(spark, d), occ, fixes)
 
 
+_SEARCHED = (
+    fx.SQL_OCC
+    + """,
+pocc as (select project_id, occ.* from occ join bitext using (row_id)),
+asked as (select row_number() over (order by project_id, src_phrase, tgt_phrase) as id, * from (
+  select distinct project_id, array_to_string(src[1:2], ' ') as src_phrase, tgt[len(tgt)] as tgt_phrase from bitext where row_id % 4 = 0 and len(src) > 1 and len(tgt) > 0)),
+lines as (select project_id, row_id, ' ' || array_to_string(src, ' ') || ' ' as s, ' ' || array_to_string(tgt, ' ') || ' ' as t from bitext where not deleted)"""
+)
+
+
+def _asked(spark, d):
+    """Phrases of rows: the first two tokens of one side and the last of the other, mostly no extracted pair."""
+    df = fx.bitext(spark, d).where("row_id % 4 = 0 and size(src) > 1 and size(tgt) > 0")
+    pairs = df.select("project_id", F.array_join(F.slice("src", 1, 2), " ").alias("src_phrase"), F.element_at("tgt", -1).alias("tgt_phrase")).distinct()
+    return numbered(pairs, ["project_id", *ph.PAIR]).withColumn("id", F.col("id") + 1)
+
+
+@query(
+    "fix1_search",
+    f"with {_SEARCHED}, known as (select distinct id, project_id, row_id from asked join pocc using (project_id, src_phrase, tgt_phrase)) select id as fix_id, project_id, row_id from known union all select id, project_id, row_id from asked join lines using (project_id) where contains(s, ' ' || src_phrase || ' ') and contains(t, ' ' || tgt_phrase || ' ') and id not in (select id from known)",
+)
+def _(spark, d):
+    occ = occ_of(spark, d).withColumn("project_id", F.col("row_id") % 3)
+    fixes = _asked(spark, d).withColumns({"src_fix": F.concat("src_phrase", F.lit(" new")), "tgt_fix": F.lit("")})
+    return fix.match_fix(fx.bitext(spark, d), occ, fixes)
+
+
+@query("qry2_indexed_search", f"with {_SEARCHED} select id, project_id, row_id from asked join lines using (project_id) where contains(lower(s), ' ' || lower(src_phrase) || ' ') and (id % 2 = 0 or contains(lower(t), ' ' || lower(tgt_phrase) || ' '))")
+def _(spark, d):
+    """Every second search asks for one side only."""
+    queries = _asked(spark, d).withColumns({"src_phrase": F.upper("src_phrase"), "tgt_phrase": F.when(F.col("id") % 2 != 0, F.col("tgt_phrase"))})
+    return search_indexed(written(token_index(fx.bitext(spark, d), lower=True), "search-index"), queries)
+
+
 @query("fix2_sample", f"with {_FIXES}{_MATCH}, r as (select match.*, percentage, row_number() over (partition by fix_id order by md5(row_id::varchar || '/0'), row_id) as k, count(*) over (partition by fix_id) as n from match join fixes on fixes.id = fix_id) select fix_id, project_id, row_id from r where percentage >= 100 or k <= greatest(1, n * percentage // 100)")
 def _(spark, d):
     occ, fixes = _fixes(spark, d)
@@ -236,7 +273,35 @@ def _(spark, d):
     return out.select("row_id", F.array_join("tgt", " ").alias("tgt"), P.format_points("points").alias("points"))
 
 
-@query("fix7_augment")
+def _group(q: str, n: str, k: str) -> str:
+    """The group of item q when n items go into k groups."""
+    return f"(case when {q} < ({n} % {k}) * ({n} // {k} + 1) then {q} // ({n} // {k} + 1) else ({n} % {k}) + ({q} - ({n} % {k}) * ({n} // {k} + 1)) // greatest({n} // {k}, 1) end)"
+
+
+def _sql_last_replaced(name: str, source: str, arr: str, sub: str, fix: str, key: str) -> str:
+    """CTEs from ``source`` to ``name``: the last ``sub`` in ``arr`` replaced by ``fix``, and the links ``points`` repaired on that side."""
+    other = "t" if key == "s" else "s"
+    made = lambda mine, theirs: f"{{'s': ({mine if key == 's' else theirs})::int, 't': ({theirs if key == 's' else mine})::int}}"
+    dealt_new = f"list_transform(range(k), lambda q: {made('st + q', f'inside[1 + {_group("q", "k", "n")}].{other}')})"
+    dealt_old = f"list_transform(range(n), lambda q: {made(f'st + {_group("q", "n", "k")}', f'inside[q + 1].{other}')})"
+    # As many new tokens as links inside: a side with more items deals them over the other.
+    return f"""
+{name}0 as (select *, list_max(list_filter(range(len({arr}) - len({sub}) + 1), lambda i: {arr}[i + 1 : i + len({sub})] = {sub})) as st, len({sub}) as old, len({fix}) as k from {source}),
+{name}1 as (select *, list_filter(points, lambda p: p.{key} >= st and p.{key} < st + old) as inside, len(list_filter(points, lambda p: p.{key} >= st and p.{key} < st + old)) as n from {name}0),
+{name} as (select * exclude (st, old, k, inside, n) replace (list_concat(list_concat({arr}[1 : st], {fix}), {arr}[st + old + 1 :]) as {arr},
+  case when k = old then points else list_concat(list_concat(list_filter(points, lambda p: p.{key} < st), list_transform(list_filter(points, lambda p: p.{key} >= st + old), lambda p: {made(f'p.{key} + k - old', f'p.{other}')})),
+    case when n = 0 then [] when n < k then {dealt_new} else {dealt_old} end) end as points) from {name}1)"""
+
+
+_SAMPLED = _MATCH + ", ranked as (select match.*, percentage, row_number() over (partition by fix_id order by md5(row_id::varchar || '/0'), row_id) as rk, count(*) over (partition by fix_id) as of_all from match join fixes on fixes.id = fix_id), sampled as (select fix_id, project_id, row_id from ranked where percentage >= 100 or rk <= greatest(1, of_all * percentage // 100))"
+_AUGMENTED = f"""{_SAMPLED},
+copies as (select fix_id, project_id, row_id, src, tgt, points, string_split(src_phrase, ' ') as ssub, string_split(src_fix, ' ') as sfix, string_split(tgt_phrase, ' ') as tsub, string_split(tgt_fix, ' ') as tfix
+  from sampled join fixes using (project_id) join bitext using (project_id, row_id) where fixes.id = fix_id),{_sql_last_replaced('onesrc', 'copies', 'src', 'ssub', 'sfix', 's')},{_sql_last_replaced('onetgt', 'onesrc', 'tgt', 'tsub', 'tfix', 't')}
+select project_id, (select max(row_id) from bitext b where b.project_id = onetgt.project_id) + row_number() over (partition by project_id order by fix_id, row_id) as row_id,
+  array_to_string(src, ' ') as src, array_to_string(tgt, ' ') as tgt, {fx.sql_points('points')} as points from onetgt"""
+
+
+@query("fix7_augment", f"with {_FIXES}{_AUGMENTED}")
 def _(spark, d):
     occ, fixes = _fixes(spark, d)
     df = fx.bitext(spark, d)

@@ -198,8 +198,36 @@ _set_query("sym1_normalise", lambda a, b: P.normalise(F.concat(b, a)), "list_sor
 _set_query("sym2_invert", lambda a, b: P.normalise(P.invert(b)), "list_sort(list_transform(b, lambda p: {'s': p.t, 't': p.s}))")
 _set_query("sym3_intersect", P.intersect, "list_sort(list_filter(a, lambda p: list_contains(b, p)))")
 _set_query("sym4_union", P.union, "list_sort(list_distinct(list_concat(a, b)))")
-for _name, _key in (("sym5_grow_diag", "grow-diag"), ("sym6_grow_diag_final", "grow-diag-final"), ("sym7_grow_diag_final_and", "grow-diag-final-and")):
-    query(_name)(lambda spark, d, k=_key: _two(spark, d).select("row_id", P.format_points(P.SYMMETRISE[k](F.col("a"), F.col("b"))).alias("points")))
+_HELD = "list_contains(held, x)"
+_ROW, _COL = "len(list_filter(held, lambda q: q.s = x.s)) > 0", "len(list_filter(held, lambda q: q.t = x.t)) > 0"
+
+
+def sql_grow(two: str, final: str = "") -> str:
+    """CTEs from ``two (row_id, a, b)`` to ``grown (row_id, held)``: a point of the union a step, until as many in a row as
+    the union has add nothing; then each direction's points once, where ``final`` (and, or) is given."""
+    near = "len(list_filter(held, lambda q: abs(q.s - x.s) <= 1 and abs(q.t - x.t) <= 1)) > 0"
+    last = "select row_id, held from walk join ends using (row_id) where quiet >= len(un)"
+    out = f"""
+ends as (select row_id, list_sort(list_distinct(a)) as a, list_sort(list_distinct(b)) as b, list_sort(list_distinct(list_concat(a, b))) as un,
+  list_distinct(list_filter(a, lambda p: list_contains(b, p))) as held0 from {two}),
+walk as (select row_id, held0 as held, 0 as i, 0 as quiet from ends
+  union all select row_id, case when ok then list_append(held, x) else held end, i + 1, case when ok then 0 else quiet + 1 end
+  from (select row_id, held, i, quiet, x, not {_HELD} and {near} and not (({_ROW}) and ({_COL})) as ok
+        from (select walk.*, un[i % len(un) + 1] as x from walk join ends using (row_id) where quiet < len(un)))),
+grown0 as ({last})"""
+    if not final:
+        return out + ",\ngrown as (select * from grown0)"
+    return out + f""",
+sweep as (select row_id, held, 0 as i from grown0
+  union all select row_id, case when not {_HELD} and not (({_ROW}) {'and' if final == 'or' else 'or'} ({_COL})) then list_append(held, x) else held end, i + 1
+  from (select sweep.*, list_concat(a, b)[i + 1] as x from sweep join ends using (row_id) where i < len(a) + len(b))),
+grown as (select row_id, held from sweep join ends using (row_id) where i = len(a) + len(b))"""
+
+
+for _name, _key, _final in (("sym5_grow_diag", "grow-diag", ""), ("sym6_grow_diag_final", "grow-diag-final", "or"), ("sym7_grow_diag_final_and", "grow-diag-final-and", "and")):
+    query(_name, f"with recursive {_TWO},{sql_grow('two', _final)} select row_id, {fx.sql_points('list_sort(held)')} as points from grown")(
+        lambda spark, d, k=_key: _two(spark, d).select("row_id", P.format_points(P.SYMMETRISE[k](F.col("a"), F.col("b"))).alias("points"))
+    )
 
 
 @query(

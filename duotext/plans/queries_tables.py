@@ -74,7 +74,7 @@ def _(spark, d):
     return tables.robustness_report(_words(spark, d))
 
 
-@query("tab6_robustness_examples", _ROBUST + ", r as (select *, row_number() over (partition by class order by total desc, src) as rank from cl where class <> 'below'), alt as (select direction, src, string_agg(tgt || '(' || c || ')', '|' order by rank) filter (where rank between 2 and 7) as alternatives from tab_ranked group by 1, 2) select class, rank::int as rank, r.src, top_tgt, total, round(top_share, 6) as top_share, coalesce(alternatives, '') as alternatives from r join alt using (direction, src) where rank <= 25")
+@query("tab6_robustness_examples", _ROBUST + ", r as (select *, row_number() over (partition by class order by total desc, src) as rank from cl where class <> 'below'), alt as (select direction, src, string_agg(tgt || '(' || c || ')', '|' order by rank) filter (where rank between 2 and 7) as alternatives from tab_ranked group by 1, 2) select class, rank::int as rank, r.src, top_tgt, top_count, total, round(top_share, 6) as top_share, coalesce(alternatives, '') as alternatives from r join alt using (direction, src) where rank <= 25")
 def _(spark, d):
     return tables.robustness_examples(_words(spark, d))
 
@@ -84,11 +84,6 @@ def _(spark, d):
     return tables.robustness_report(_words(spark, d)).select("to_review", F.col("below_min_total").alias("excluded"))
 
 
-@query("snk8_render_report")
-def _(spark, d):
-    return tables.render_report(_words(spark, d))
-
-
 _SETS = f"with {fx.SQL_CATALOGUE}, ra as (select distinct src_phrase as src, tgt_phrase as tgt from catalogue where num_occurrences >= 2), fo as (select distinct src_phrase as src, tgt_phrase as tgt from catalogue where length(src_phrase) % 2 = 0) "
 
 
@@ -207,6 +202,38 @@ def _(spark, d):
     return morphology.form_aligned(fx.words_catalogue(spark, d), *_lexicons(spark, d))
 
 
+def _percent(part, total):
+    tenths = f"((2000 * {part} + {total}) // (2 * {total}))::bigint"
+    return f"({tenths} // 10)::varchar || '.' || ({tenths} % 10)::varchar || '%'"
+
+
+_REPORT = (
+    _LEX
+    + f""",{fx.sql_table('words_catalogue', where='direction = 0')},
+cl as (select *, case when total < 10 then 'below' when top_share >= 0.75 then 'sure' else 'dubious' end as class from tab where not regexp_matches(src, '\\s')),
+ro as (select tab.*, top from tab join (select direction, src, string_agg(tgt || '(' || c || ')', '|' order by rank) filter (where rank <= 6) as top from tab_ranked group by 1, 2) using (direction, src) where total >= 2 and top_share >= 0.17),
+co as (select ro.src as src, top_tgt as tgt, total, top_count, num_tgts, top, src_tag, tgt_feat, case when src_tag is null then 'robust only' else 'both' end as section from ro left join wit on src_phrase = src and tgt_phrase = top_tgt
+  union all select src_phrase, tgt_phrase, null, null, null, null, src_tag, tgt_feat, 'form only' from wit where not exists (select 1 from ro where src = src_phrase and top_tgt = tgt_phrase)),
+nums as (select 'overview' as report, 'counts' as section, unnest(range(6)) as line_no, unnest(['unique_src_considered', 'below_min_total', 'classified_total', 'sure_found', 'dubious_found', 'to_review']) as name,
+    unnest([count(*), count_if(class = 'below'), count_if(class <> 'below'), count_if(class = 'sure'), count_if(class = 'dubious'), count_if(class <> 'sure')]) as v from cl
+  union all select 'hidden selection', 'hidden counts', unnest(range(6)), unnest(['robust', 'form', 'both', 'only_robust', 'only_form', 'all']),
+    unnest([count_if(section <> 'form only'), count_if(section <> 'robust only'), count_if(section = 'both'), count_if(section = 'robust only'), count_if(section = 'form only'), count(*)]) from co)
+select report, section, line_no, '- ' || name || ': ' || v::bigint as text from nums
+union all select 'overview', class, k, src || ' -> ' || top_tgt || ' (' || {_percent('top_count', 'total')} || ', total ' || total || ')' from (select *, row_number() over (partition by class order by total desc, src) as k from cl where class <> 'below') where k <= 25
+union all select 'hidden selection', section, k, src || ' -> ' || tgt || case when total is not null then ' | conf=' || {_percent('top_count', 'total')} || ' (' || top_count || '/' || total || '), variants=' || num_tgts || ' | top: ' || top else '' end
+  || case when src_tag is not null then ' | head: ' || lower(tgt) || ' [' || src_tag || '] = [' || tgt_feat || ']' else '' end
+  from (select *, row_number() over (partition by section order by total desc nulls last, src, tgt) as k from co) where k <= 12"""
+)
+
+
+@query("snk8_render_report", _REPORT)
+def _(spark, d):
+    """Overview, hidden selection and both combined: robust pairs by a low bar, as part types are spread evenly."""
+    words = fx.words_catalogue(spark, d)
+    robust = tables.sure(tables.phrase_table(words.where("direction = 0")), 2, 0.17)
+    return tables.combined_report(words, robust, morphology.form_aligned(words, *_lexicons(spark, d)))
+
+
 @query("mor8_reduce_lexicon", _LEX + "select line, form from ls where form in (select sf from cand)")
 def _(spark, d):
     words = fx.words_catalogue(spark, d).where("direction = 0 and not contains(tgt_phrase, ' ')").select(F.lower(F.trim("src_phrase")).alias("form"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.points import format_points
 from ..functions.text import detokenise
+from ..operators.numbering import numbered
 from ..operators.tables import dubious, sure, table_summary, topk_text
+from ..scratch import written
 
 
 def export_lines(bitext: DataFrame) -> DataFrame:
@@ -62,6 +65,24 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_ignored(ignored: DataFrame, path: str) -> None:
+    """The ignore list as the hidden-phrase reader takes it: ``src, tgt``, each pair once."""
+    write_json(ignored.select(F.col("src_phrase").alias("src"), F.col("tgt_phrase").alias("tgt")).distinct(), path)
+
+
+def write_stats(stats: DataFrame, path: str) -> None:
+    """Statistics of a corpus, one object a row."""
+    write_json(stats, path)
+
+
+def write_fixes(fixes: DataFrame, path: str, per_file: int = 10_000) -> None:
+    """Fixes as JSON arrays, as the reader of fixes takes them: a file for about ``per_file`` of them."""
+    n = max(1, -(-fixes.count() // per_file))
+    group = F.pmod(F.xxhash64("src_phrase", "tgt_phrase", "direction"), F.lit(n))
+    arrays = fixes.groupBy(group.alias("file")).agg(F.to_json(F.collect_list(F.struct(*fixes.columns))).alias("value"))
+    arrays.select("value").write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
+
+
 def symmetric_pairs(counts: DataFrame) -> DataFrame:
     shown = {c: detokenise(F.col(c)) for c in ("src_phrase", "tgt_phrase")}
     return counts.where("direction = 0").withColumns(shown).select("src_phrase", "tgt_phrase", "num_occurrences")
@@ -110,6 +131,46 @@ def load_snapshot(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return out
 
 
+_COMMIT = "version long, at timestamp"
+
+
+def _commits(spark: SparkSession, path: str) -> list[int]:
+    """The versions that were saved whole."""
+    try:
+        return [r.version for r in spark.read.schema(_COMMIT).json(f"{path}/commits").select("version").distinct().orderBy("version").collect()]
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+
+
+def save_version(tables: dict[str, DataFrame], path: str) -> int:
+    """A snapshot beside the earlier ones, in two phases: its tables and its manifest are written to a folder of
+    their own, then one line commits it. A save that fails on the way leaves the last version as it was, and its folder is
+    written again by the next save."""
+    spark = next(iter(tables.values())).sparkSession
+    version = max(_commits(spark, path), default=0) + 1
+    save_snapshot(tables, f"{path}/{version}")
+    commit = spark.createDataFrame([(version,)], "version long").withColumn("at", F.current_timestamp())
+    commit.coalesce(1).write.mode("append").json(f"{path}/commits")
+    return version
+
+
+def load_version(spark: SparkSession, path: str, version: int | None = None) -> dict[str, DataFrame]:
+    """The tables of a committed version, by default the last one."""
+    known = _commits(spark, path)
+    if not known or (version is not None and version not in known):
+        raise ValueError(f"{path} has no version {'at all' if version is None else version}")
+    return load_snapshot(spark, f"{path}/{known[-1] if version is None else version}")
+
+
+def dense_rows(bitext: DataFrame) -> DataFrame:
+    """Row ids from 0 without gaps in each project, in the order of the old ones."""
+    rows = written(numbered(bitext, ["project_id", "row_id"], "_n"), "dense-rows")
+    firsts = rows.groupBy("project_id").agg(F.min("_n").alias("_first"))  # one row a project
+    return rows.join(firsts, "project_id").withColumn("row_id", F.col("_n") - F.col("_first")).select(*bitext.columns)
+
+
 def save_bitext(bitext: DataFrame, path: str) -> None:
     """Rows by project; a project that is written again replaces its partition only."""
     bitext.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project_id").parquet(path)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip_markers
 from ..operators.em import force_align
-from ..operators.phrases import PAIR, indexed, spans_of, valid_phrase, within
+from ..operators.phrases import PAIR, cap_phrases, indexed, spans_of, valid_phrase, within
 
 
 def row_pairs(min_len: int = 1, max_len: int = 3, rule: str = "edge") -> Column:
@@ -41,6 +41,26 @@ def stream_phrase_counts(rows: DataFrame, **extraction) -> DataFrame:
     return pairs.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("num_occurrences"))
 
 
+def merged_counts(running: DataFrame | None, batch: DataFrame, max_phrases: int) -> DataFrame:
+    """Counts so far and of a batch, capped as a whole: the lowest classes go until at most ``max_phrases`` are left."""
+    both = batch if running is None else running.unionByName(batch)
+    return cap_phrases(both.groupBy(*PAIR).agg(F.sum("num_occurrences").alias("num_occurrences")), max_phrases)
+
+
+def stream_capped_counts(rows: DataFrame, path: str, checkpoint: str, max_phrases: int = 500_000, **extraction):
+    """Running counts that never hold more than ``max_phrases`` pairs after a batch. Which pairs go depends on the
+    histogram of all of them, so the running table is merged by a job a batch instead of in keyed state. It has two
+    folders, ``path/0`` and ``path/1``: a batch reads the one of the batch before and replaces the other, so a
+    batch that is run again after a failure gives the same table. The last batch's number is even for ``path/0``."""
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        counts = stream_phrase_counts(batch, **extraction)
+        before = batch.sparkSession.read.parquet(f"{path}/{(batch_id - 1) % 2}") if batch_id else None
+        merged_counts(before, counts, max_phrases).write.mode("overwrite").parquet(f"{path}/{batch_id % 2}")
+
+    return rows.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def stream_force_align(rows: DataFrame, ttable: DataFrame, mean_ratio: float, sink, checkpoint: str, tension: float = 4.0):
     """Align each micro-batch with a saved table; ``sink(batch, batch_id)`` gets the aligned rows."""
 

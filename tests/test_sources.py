@@ -12,7 +12,7 @@ from duotext.operators.em import force_align, train_ttable
 from duotext.operators.phrases import extract_phrases, phrase_counts
 from duotext.operators.tables import phrase_table
 from duotext.sources import readers, writers
-from duotext.streaming.counts import stream_force_align, stream_phrase_counts
+from duotext.streaming.counts import stream_capped_counts, stream_force_align, stream_phrase_counts
 
 BITEXT = f"project_id long, row_id long, src array<string>, tgt array<string>, points {POINTS}, score double, deleted boolean"
 ROWS = [(i % 2, i, ["the", "car", str(i % 3)], ["il", "auto", str(i % 3)], [(0, 0), (1, 1), (2, 2)], 0.5, i == 3) for i in range(12)]
@@ -82,6 +82,40 @@ def test_projects_and_snapshots(spark, tmp_path):
         writers.load_snapshot(spark, snap)
 
 
+def test_a_save_that_fails_leaves_the_last_version(spark, tmp_path):
+    bt, path = spark.createDataFrame(ROWS, BITEXT), str(tmp_path / "versions")
+    with pytest.raises(ValueError, match="no version"):
+        writers.load_version(spark, path)
+    assert writers.save_version({"bitext": bt}, path) == 1
+    broken = bt.withColumn("score", F.when(F.col("row_id") == 5, F.raise_error(F.lit("no disk")).cast("double")).otherwise(F.col("score")))
+    with pytest.raises(Exception, match="no disk"):
+        writers.save_version({"extra": bt, "bitext": broken}, path)
+    assert set(writers.load_version(spark, path)) == {"bitext"} and writers.load_version(spark, path)["bitext"].count() == len(ROWS)
+    assert writers.save_version({"bitext": bt.limit(2)}, path) == 2
+    assert writers.load_version(spark, path)["bitext"].count() == 2 and writers.load_version(spark, path, 1)["bitext"].count() == len(ROWS)
+    with pytest.raises(ValueError, match="no version 3"):
+        writers.load_version(spark, path, 3)
+
+
+def test_a_capped_stream_equals_caps_by_hand(spark, tmp_path):
+    bt = spark.createDataFrame(ROWS, BITEXT)
+    parts = [bt.where(f"row_id % 3 = {k}") for k in range(3)]
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(BITEXT).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    stream_capped_counts(stream, str(tmp_path / "out"), str(tmp_path / "ck"), max_phrases=12).awaitTermination()
+    running = {}
+    for part in parts:
+        for r in phrase_counts(extract_phrases(part)).collect():
+            key = (r.src_phrase, r.tgt_phrase)
+            running[key] = running.get(key, 0) + r.num_occurrences
+        while len(running) > 12:
+            least = min(running.values())
+            running = {k: v for k, v in running.items() if v > least}
+    got = {(r.src_phrase, r.tgt_phrase): r.num_occurrences for r in spark.read.parquet(str(tmp_path / "out/0")).collect()}
+    assert got == running
+
+
 def test_streams_equal_batches(spark, tmp_path):
     bt = spark.createDataFrame(ROWS, BITEXT)
     bt.repartition(3).write.parquet(str(tmp_path / "in"))
