@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import discard, written
@@ -66,10 +66,16 @@ def _counted(width: int):
 
 
 def common_grams(texts: DataFrame, width: int, common: int) -> np.ndarray:
-    """The most frequent n-grams, from less to more frequent."""
+    """The most frequent n-grams, from less to more frequent: whole classes of equal counts, at most ``common`` n-grams."""
     counts = texts.select("text").mapInArrow(_counted(width), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "gram").limit(common).select("gram")
-    return np.array([r.gram for r in top.collect()][::-1], np.int64).view(np.uint64)
+    counts = written(counts, "join-common")
+    classes = counts.groupBy("n").agg(F.count(F.lit(1)).alias("grams"))  # one row a count
+    upto = F.sum("grams").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0))
+    least = classes.withColumn("upto", upto).where(F.col("upto") <= common).agg(F.min("n").alias("least")).first()["least"]
+    top = counts.where(F.lit(False) if least is None else F.col("n") >= least).toArrow()
+    discard(counts)
+    grams, n = (top.column(c).to_numpy() for c in ("gram", "n"))
+    return grams[np.lexsort((grams, n))].view(np.uint64)
 
 
 def prefix_of(sorted_set: np.ndarray, percent: int, known: np.ndarray, ranks: np.ndarray) -> np.ndarray:
@@ -149,7 +155,7 @@ def ngram_join(
     text_col: str = "text",
     width: int = 4,
     percent: int = 85,
-    common: int = 1 << 16,
+    common: int = 1 << 20,
     salts: int = 64,
     growth: int = 32,
 ) -> DataFrame:

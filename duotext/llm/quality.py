@@ -93,17 +93,21 @@ def word_stats(text: str) -> tuple[int, int, int, int, int]:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     waiting: dict[str, list[np.ndarray]] = {}
+    sizes: dict[str, int] = {}
 
     def counted(model: str) -> pa.RecordBatch:
         codes, n = np.unique(np.concatenate(waiting.pop(model)), return_counts=True)
+        del sizes[model]
         return pa.RecordBatch.from_arrays([pa.array([model] * len(codes), pa.string()), pa.array(codes, pa.int64()), pa.array(n, pa.int64())], ["model", "code", "n"])
 
     for batch in batches:
         for model, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            waiting.setdefault(model, []).append(trigram_codes(text.as_py()))
-            if sum(map(len, waiting[model])) > FLUSH:
+            codes = trigram_codes(text.as_py())
+            waiting.setdefault(model, []).append(codes)
+            sizes[model] = sizes.get(model, 0) + len(codes)
+            if sizes[model] > FLUSH:
                 yield counted(model)
-        if sum(len(c) for codes in waiting.values() for c in codes) > FLUSH:
+        if sum(sizes.values()) > FLUSH:
             yield from map(counted, list(waiting))
     yield from map(counted, list(waiting))
 

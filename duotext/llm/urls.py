@@ -11,9 +11,9 @@ url's, the longest decides. Urls without a rule are judged by their template:
    few labels too, at the level of ``z`` divided by the number of branches.
 3. Branches whose share of bad labels does not differ from their parent's by more than ``z``
    standard errors are similar and are merged into ``*`` as well. Of the others, those above and those
-   below their parent's share are each sorted by their share, and neighbours that do not
-   differ by more than ``z`` standard errors are merged into a numbered group, ``{+1}`` or ``{-1}``. What
-   is like no other keeps its name, as do branches without labels that are not rare, and only ones.
+   below their parent's share are each sorted by their share; neighbours that do not differ by more than ``z``
+   standard errors are a chain, and a chain whose first and last do not differ by more than that either is
+   merged into a numbered group, ``{+1}`` or ``{-1}``. What is like no other keeps its name, as do branches without labels that are not rare, and only ones.
 4. A template's purity is its share of good labels, smoothed by ``weight`` labels at its host's
    share, which itself is smoothed by the share of all urls. Templates below ``least_purity`` are
    rejected.
@@ -76,18 +76,28 @@ def divergence(q: Column, p: Column) -> Column:
     return part(q, p) + part(1 - q, 1 - p)
 
 
+def _differs_little(neg: Column, lab: Column, neg2: Column, lab2: Column, z: float) -> Column:
+    """Two shares are within ``z`` standard errors of their difference; null where one has no labels."""
+    pooled = (neg + neg2 + 1) / (lab + lab2 + 2)
+    return F.abs(neg / F.nullif(lab, F.lit(0)) - neg2 / F.nullif(lab2, F.lit(0))) <= F.lit(z) * F.sqrt(pooled * (1 - pooled) * (1 / F.nullif(lab, F.lit(0)) + 1 / F.nullif(lab2, F.lit(0))))
+
+
 def _alike(branches: DataFrame, z: float) -> DataFrame:
     """``branches`` with ``name``: neighbours by share on the same side of their parent that do not
-    differ are one group. Rare branches that look like their parent are one wildcard before this, so few
-    are left under a parent."""
-    along = Window.partitionBy("host", "template", "side").orderBy("share", "child")
-    lab, neg, last = F.lag("lab").over(along), F.lag("neg").over(along), F.lag("share").over(along)
-    pooled = (F.col("neg") + neg + 1) / (F.col("lab") + lab + 2)
-    same = F.abs(F.col("share") - last) <= F.lit(z) * F.sqrt(pooled * (1 - pooled) * (1 / F.nullif("lab", F.lit(0)) + 1 / F.nullif(lab, F.lit(0))))
-    grouped = branches.withColumn("first", (~F.coalesce(same, F.lit(False))).cast("int")).withColumn("group", F.sum("first").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    size = F.count(F.lit(1)).over(Window.partitionBy("host", "template", "side", "group"))
+    differ are a chain, and a chain whose ends do not differ either is one group. Wildcards and unlabelled branches,
+    which may be very many under a parent, are not sorted."""
+    key = ["host", "template", "side"]
+    along = Window.partitionBy(key).orderBy("share", "child")
+    same = _differs_little(F.col("neg"), F.col("lab"), F.lag("neg").over(along), F.lag("lab").over(along), z)
+    chains = branches.where("side != 0").withColumn("first", (~F.coalesce(same, F.lit(False))).cast("int"))
+    chains = chains.withColumn("group", F.sum("first").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = Window.partitionBy(*key, "group").orderBy("share", "child").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ends = [f(c).over(whole) for f in (F.first, F.last) for c in ("neg", "lab")]
     number = F.concat(F.lit("{"), F.when(F.col("side") > 0, "+").otherwise("-"), F.col("group"), F.lit("}"))
-    return grouped.withColumn("name", F.when(F.col("wild"), F.lit("*")).when((F.col("side") != 0) & (size > 1), number).otherwise(F.col("child")))
+    merged = (F.count(F.lit(1)).over(whole) > 1) & F.coalesce(_differs_little(*ends, z), F.lit(False))
+    named = chains.withColumn("name", F.when(merged, number).otherwise(F.col("child"))).drop("first", "group")
+    rest = branches.where("side = 0").withColumn("name", F.when(F.col("wild"), F.lit("*")).otherwise(F.col("child")))
+    return named.unionByName(rest)
 
 
 def judge_urls(
@@ -196,7 +206,9 @@ y{d} as (select *, k > 1 and ((k > 16 and n < 0.02::double * pn and not coalesce
 s{d} as (select *, neg::double / nullif(lab, 0) as share, case when wild or lab = 0 then 0 when neg::double / lab > pneg::double / plab then 1 else -1 end as side from y{d}),
 g{d} as (select *, sum(case when coalesce(abs(share - ls) <= 1.96::double * sqrt(po * (1 - po) * (1 / nullif(lab, 0)::double + 1 / nullif(ll, 0)::double)), false) then 0 else 1 end) over (partition by host, template, side order by share nulls first, child) as grp
          from (select *, lag(share) over v as ls, lag(lab) over v as ll, (neg + lag(neg) over v + 1)::double / (lab + lag(lab) over v + 2) as po from s{d} window v as (partition by host, template, side order by share nulls first, child))),
-x{d} as (select host, template, child, case when wild then '*' when side <> 0 and count(*) over (partition by host, template, side, grp) > 1 then '{{' || case when side > 0 then '+' else '-' end || grp::varchar || '}}' else child end as name from g{d}),
+e{d} as (select *, count(*) over v as size, first_value(neg) over v as n1, first_value(lab) over v as l1, last_value(neg) over v as n2, last_value(lab) over v as l2
+         from g{d} window v as (partition by host, template, side, grp order by share nulls first, child rows between unbounded preceding and unbounded following)),
+x{d} as (select host, template, child, case when wild then '*' when side <> 0 and size > 1 and abs(n1::double / nullif(l1, 0) - n2::double / nullif(l2, 0)) <= 1.96::double * sqrt(((n1 + n2 + 1)::double / (l1 + l2 + 2)) * (1 - (n1 + n2 + 1)::double / (l1 + l2 + 2)) * (1 / nullif(l1, 0)::double + 1 / nullif(l2, 0)::double)) then '{{' || case when side > 0 then '+' else '-' end || grp::varchar || '}}' else child end as name from e{d}),
 t{d} as (select c.host, c.segments, c.n, c.lab, c.neg, case when name is null then c.template else c.template || '/' || name end as template
          from c{d} c left join x{d} x on x.host = c.host and x.template = c.template and x.child = c.child),"""
         for d in (1, 2, 3)

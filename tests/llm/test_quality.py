@@ -6,6 +6,8 @@ import statistics
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 
 from duotext.llm import quality
@@ -134,3 +136,13 @@ def test_nulls_empty_tables_and_clashing_columns(spark):
     assert quality_filter(df).count() == 0
     assert quality_scores(df.where("doc_id < 0")).count() == 0
     assert quality_filter(df.where("doc_id < 0")).columns == df.columns
+
+
+def test_counting_many_short_texts_is_linear():
+    import time
+
+    texts = [f"text {i:035d}" for i in range(100_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["+en"] * len(texts)), pa.array(texts)], ["model", "text"])
+    began = time.time()
+    got = sum(pa.compute.sum(b.column(2)).as_py() for b in quality._count(iter([batch])))
+    assert got == sum(map(len, texts)) and time.time() - began < 20
