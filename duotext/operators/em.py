@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.mathx import diagonal_prior, digamma, log_factorial
+from ..functions.mathx import diagonal_feature, diagonal_prior, digamma, log_factorial
 from ..functions.points import SYMMETRISE, invert, none, point
 from ..scratch import discard, spread, written
 from . import blocked
@@ -202,11 +202,8 @@ def optimise_tension(size_counts: DataFrame, alignment_feature: float, tension:
     target = F.explode(F.sequence(F.lit(1), F.col("len_t"))).alias("j")
     positions = size_counts.where("len_s > 0 and len_t > 0").select("len_t", "len_s", "count", target)
     for _ in range(steps):
-        feature = lambda k: -F.abs(k / F.col("len_s") - F.col("j") / F.col("len_t"))
-        sources = F.sequence(F.lit(1), F.col("len_s"))
-        z = F.aggregate(sources, F.lit(0.0), lambda a, k: a + F.exp(tension * feature(k)))
-        d = F.aggregate(sources, F.lit(0.0), lambda a, k: a + feature(k) * F.exp(tension * feature(k)))
-        model = positions.agg((F.sum(F.col("count") * d / z) / F.sum("count")).alias("d")).first()["d"]
+        expected = diagonal_feature(F.col("j"), F.col("len_t"), F.col("len_s"), tension)
+        model = positions.agg((F.sum(F.col("count") * expected) / F.sum("count")).alias("d")).first()["d"]
         tension = min(max(tension + 20 * (alignment_feature - (model or 0.0)), 0.1), 14.0)
     return tension
 
