@@ -37,7 +37,7 @@ from .common import attach
 from .setjoin import halves, odd_sketch, set_components, set_key, shingle_set
 
 #: Set members that a task counts at a time.
-FLUSH = 2_000_000
+FLUSH = 4_000_000
 
 
 def _counted(width: int):
@@ -155,7 +155,7 @@ def ngram_join(
     text_col: str = "text",
     width: int = 4,
     percent: int = 85,
-    common: int = 1 << 20,
+    common: int = 1 << 22,
     salts: int = 64,
     growth: int = 32,
 ) -> DataFrame:
