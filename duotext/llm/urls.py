@@ -19,7 +19,7 @@ url's, the longest decides. Urls without a rule are judged by their template:
    rejected.
 
 A path that is alone below its template is named at once. A hot host is spread: counting is combined
-before the shuffle, and the joins are on host and shape.
+before the shuffle, and the joins deal hot keys over all tasks.
 
 Defined results: urls that are null or have no ``://`` have an empty host and path; a host without
 labels has the purity of all urls, and without any labels everything is allowed; unlabelled urls
@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import written
-from .common import ascii_lower
+from .common import ascii_lower, attach
 
 #: Fixed values of the contract: action, host, path.
 RULES = (
@@ -129,10 +129,11 @@ def judge_urls(
     while depth == 0 or not going.isEmpty():
         depth += 1
         going = going.withColumn("child", F.element_at("segments", depth))
-        kids = going.groupBy("host", "template", "child").agg(*counts, F.count(F.lit(1)).alias("shapes"))
+        kids = written(going.groupBy("host", "template", "child").agg(*counts, F.count(F.lit(1)).alias("shapes")), "url-branches")
         parents = kids.groupBy("host", "template").agg(
             F.count(F.lit(1)).alias("k"), F.sum("n").alias("pn"), F.sum("lab").alias("plab"), F.sum("neg").alias("pneg"), (F.sum("shapes") == 1).alias("alone")
         )
+        parents = written(parents.withColumn("kids", F.col("k")), "url-parents")
         p = (F.col("pneg") + 1) / (F.col("plab") + 2)
         share = F.col("neg") / F.nullif("lab", F.lit(0))
         near = F.abs(share - F.col("pneg") / F.nullif("plab", F.lit(0))) <= F.lit(z) * F.sqrt(p * (1 - p) / F.nullif("lab", F.lit(0)))
@@ -141,7 +142,8 @@ def judge_urls(
             ((F.col("k") > max_children) & (F.col("n") < F.lit(rare) * F.col("pn")) & ~F.coalesce(unlike, F.lit(False))) | F.coalesce(near, F.lit(False))
         )
         side = F.when(wild | (F.col("lab") == 0), 0).when(share > F.col("pneg") / F.nullif("plab", F.lit(0)), 1).otherwise(-1)
-        branches = kids.join(parents, ["host", "template"]).select("host", "template", "child", "alone", "lab", "neg", share.alias("share"), wild.alias("wild"), side.alias("side"))
+        # A hot parent's branches, a hot shape's urls and a hot number's pages are dealt over all tasks.
+        branches = attach(kids, parents, ["host", "template"], "kids").select("host", "template", "child", "alone", "lab", "neg", share.alias("share"), wild.alias("wild"), side.alias("side"))
         named = _alike(branches, z).select("host", "template", "child", "alone", "name")
         rest = F.array_join(F.slice("segments", F.lit(depth), F.size("segments")), "/")
         level = (
@@ -161,10 +163,10 @@ def judge_urls(
     templates = templates.select(
         "host", "template", (1 - (F.col("tneg") + F.lit(weight) * F.col("host_bad")) / (F.col("tlab") + F.lit(weight))).alias("purity")
     )
-    judged = tree.select("host", "segments", "template").join(templates, ["host", "template"])
+    judged = tree.select("host", "segments", "template", F.col("n").alias("urls")).join(templates, ["host", "template"])
     rule = longest_rule(F.col("host"), F.col("path"), rules)
     return (
-        urls.join(judged, ["host", "segments"])
+        attach(urls, written(judged, "url-judged"), ["host", "segments"], "urls")
         .withColumn("fit", rule)
         .select(
             "page_id", "host", "path", F.col("fit.rule").alias("rule"),
@@ -183,8 +185,9 @@ def labelled_pages(pages: DataFrame, labels: DataFrame) -> DataFrame:
     known = labels.groupBy("doc_id").agg(F.max((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
     number = F.expr("try_cast(regexp_extract(path, '([0-9]+)', 1) as bigint)")
     _, path = host_and_path(F.col("url"))
-    rows = pages.select("page_id", "url").withColumn("path", path).withColumn("number", number)
-    return rows.join(known, rows["number"] == known["doc_id"], "left").select("page_id", "url", "bad")
+    rows = pages.select("page_id", "url").withColumn("path", path).withColumn("number", number).drop("path")
+    counts = rows.groupBy("number").agg(F.count(F.lit(1)).alias("n")).join(known.withColumnRenamed("doc_id", "number"), "number")
+    return attach(rows, written(counts, "url-labels"), ["number"], "n").select("page_id", "url", "bad")
 
 
 def query_urls(spark, sf_dir: str) -> DataFrame:
