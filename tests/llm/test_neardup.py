@@ -10,7 +10,7 @@ from duotext.llm import neardup
 from duotext.llm.common import attach
 from duotext.llm.graph import components
 from duotext.llm.neardup import near_components
-from duotext.llm.setjoin import differing_bits, halves, odd_sketch, set_key, shingle_set, wide_sketch
+from duotext.llm.setjoin import halves, odd_sketch, set_key, shingle_set
 
 
 @pytest.mark.parametrize("growth", [8])
