@@ -58,12 +58,12 @@ def m_step_vb(counts: DataFrame, alpha: float = 0.01) -> DataFrame:
     return counts.join(totals, "e").select("e", "f", F.exp(digamma(F.col("c") + alpha) - digamma(F.col("total"))).alias("p"))
 
 
-def _trained(b: Blocks, iterations: int, prior: Prior, alpha: float | None, optimise: bool) -> tuple[DataFrame | None, Prior, list[dict]]:
+def _trained(b: Blocks, iterations: int, prior: Prior, alpha: float | None, optimise: bool, with_feature: bool = True) -> tuple[DataFrame | None, Prior, list[dict]]:
     """The probabilities after ``iterations - 1`` steps, the prior that the last pass has, and each step's figures."""
     sizes = written(length_stats(b.rows), "em-sizes") if prior.favor_diagonal and optimise else None
     sent, figures = None, []
     for i in range(iterations - 1):
-        made = blocked.step(b, sent, prior, alpha)
+        made = blocked.step(b, sent, prior, alpha, figures=with_feature)
         if sent is not None:
             discard(sent)
         sent = made.sent
@@ -81,7 +81,7 @@ def train_ttable(
     model of its own for each of its values. ``favor_diagonal`` weighs positions by the diagonal prior; ``optimise`` fits its tension to
     the alignments from the second step on."""
     b = make_blocks(df, [chunk_col] if chunk_col else [])
-    sent, _, _ = _trained(b, iterations, Prior(favor_diagonal, tension, p0), alpha if variational else None, optimise)
+    sent, _, _ = _trained(b, iterations, Prior(favor_diagonal, tension, p0), alpha if variational else None, optimise, with_feature=favor_diagonal)
     out = written(blocked.table_words(b, sent), "em-table")
     b.discard()
     discard(sent)
@@ -107,7 +107,7 @@ def expected_counts(df: DataFrame) -> DataFrame:
 def align(df: DataFrame, chunk_col: str | None = None, iterations: int = 5, variational: bool = False, alpha: float = 0.01, favor_diagonal: bool = False, optimise: bool = False, tension: float = 4.0, p0: float = 0.08) -> DataFrame:
     """``df`` with ``points``: trained and aligned in the same blocks. Row ids occur once."""
     b = make_blocks(df, [chunk_col] if chunk_col else [])
-    sent, prior, _ = _trained(b, iterations, Prior(favor_diagonal, tension, p0), alpha if variational else None, optimise)
+    sent, prior, _ = _trained(b, iterations, Prior(favor_diagonal, tension, p0), alpha if variational else None, optimise, with_feature=favor_diagonal)
     made = written(blocked.links(b, sent, prior), "em-links")
     b.discard()
     return df.drop("points").join(made, "row_id", "left").withColumn("points", F.coalesce("points", none()))
@@ -152,7 +152,7 @@ def _both_at_once(df: DataFrame, chunk_col: str | None, iterations: int, alpha:
     keys = ["way", chunk_col] if chunk_col else ["way"]
     ways = [side.select(F.struct(F.lit(i).alias("way"), "row_id").alias("row_id"), F.lit(i).alias("way"), *keys[1:], "src", "tgt") for i, side in enumerate((df, swapped(df)))]
     b = make_blocks(ways[0].unionByName(ways[1]), keys)
-    sent, prior, _ = _trained(b, iterations, Prior(), alpha, False)
+    sent, prior, _ = _trained(b, iterations, Prior(), alpha, False, with_feature=False)
     made = written(blocked.links(b, sent, prior), "em-links")
     b.discard()
     of = lambda i, name: made.where(F.col("row_id.way") == i).select(F.col("row_id.row_id").alias("row_id"), F.col("points").alias(name))
