@@ -39,8 +39,9 @@ def got(df) -> dict:
     return {r.doc_id: (r.n_shingles, r.component_id) for r in df.collect()}
 
 
-@pytest.mark.parametrize(("width", "percent", "common"), [(4, 85, 1 << 16), (2, 60, 0), (3, 75, 5)])
-def test_components_equal_brute_force(spark, width, percent, common):
+@pytest.mark.parametrize(("width", "percent", "common", "flush"), [(4, 85, 1 << 16, 4_000_000), (2, 60, 0, 50), (3, 75, 5, 50)])
+def test_components_equal_brute_force(spark, monkeypatch, width, percent, common, flush):
+    monkeypatch.setattr(ngramjoin, "FLUSH", flush)  # counts are handed on in parts
     texts = varied(width, 60)
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
     assert got(ngram_join(docs, width=width, percent=percent, common=common)) == brute(texts, width, percent)
@@ -67,13 +68,6 @@ def test_prefixes_of_similar_sets_meet():
     assert len(prefix_of(np.arange(1, dtype=np.uint64), 85, known, ranks)) == 1
 
 
-def test_counts_are_handed_on_in_parts(spark, monkeypatch):
-    monkeypatch.setattr(ngramjoin, "FLUSH", 50)
-    texts = varied(9, 20)
-    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    assert got(ngram_join(docs)) == brute(texts, 4, 85)
-
-
 def test_odd_rows(spark):
     long = " ".join(f"x{i}" for i in range(300_000))
     rows = [(1, None), (2, ""), (3, " \t"), (4, "Ab c"), (5, "aB  C"), (5, "aB  C"), (None, "ab c"), (7, long), (8, long + " end"), (9, "é É"), (10, "É É")]
@@ -81,8 +75,8 @@ def test_odd_rows(spark):
     out = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join(docs).collect()), key=repr)
     n = 300_000 - 3
     assert out == sorted([(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (5, 1, 4), (5, 1, 4), (None, 1, 4), (7, n, 7), (8, n + 1, 7), (9, 1, 9), (10, 1, 10)], key=repr)
-    assert ngram_join(docs.limit(0)).columns == ["doc_id", "n_shingles", "component_id", "kept"]
-    assert ngram_join(docs.limit(0)).count() == 0
+    empty = ngram_join(docs.limit(0))
+    assert empty.columns == ["doc_id", "n_shingles", "component_id", "kept"] and empty.count() == 0
 
 
 def test_wide_sketches_rule_out_large_disjoint_sets_and_no_similar_ones():
