@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.points import format_points
 from ..functions.text import detokenise
@@ -31,8 +33,14 @@ def export_corpus(bitext: DataFrame, fixes: DataFrame, path: str) -> None:
     fixes.write.mode("overwrite").json(f"{path}/fixes")
 
 
+@F.pandas_udf(StringType())
+def _six(x: pd.Series) -> pd.Series:
+    """Six decimals of the number's exact value, as C prints it; Java rounds the shortest decimal form, half up."""
+    return x.map(lambda v: f"{v:.6f}", na_action="ignore")
+
+
 def csv_columns(table: DataFrame) -> DataFrame:
-    six = lambda c: F.format_string("%.6f", F.col(c))
+    six = lambda c: _six(F.col(c).cast("double"))
     return table.select("direction", "src", "total", "top_tgt", "top_count", six("top_share").alias("top_share"), "num_tgts", six("entropy").alias("entropy"), topk_text().alias("topk"))
 
 

@@ -7,6 +7,7 @@ import random
 import time
 from collections import defaultdict
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -18,8 +19,9 @@ from duotext.operators.index import find_phrases, search_indexed, token_index
 from duotext.operators.numbering import numbered
 from duotext.operators.prep import vocab
 from duotext.operators.tables import percent_text, phrase_table
+from duotext.plans import registry
 from duotext.sources.readers import read_fixes
-from duotext.sources.writers import dense_rows, write_fixes
+from duotext.sources.writers import csv_columns, dense_rows, write_fixes
 
 
 def plan_of(df) -> str:
@@ -126,3 +128,22 @@ def test_fixes_written_as_arrays_are_read(spark, tmp_path):
 def test_row_ids_are_dense_in_each_project(spark):
     df = spark.createDataFrame([(p, i * 7 + p, f"{p}/{i}") for p in (0, 1, 5) for i in range(6)], "project_id long, row_id long, x string")
     assert sorted(tuple(r) for r in dense_rows(df).collect()) == [(p, i, f"{p}/{i}") for p in (0, 1, 5) for i in range(6)]
+
+
+def test_shares_are_written_as_their_exact_value_rounds(spark):
+    """1/128 lies half way between two texts of six decimals; 3/3200 is a little off it as a double."""
+    values = [1 / 128, 3 / 128, 3 / 3200, 0.0, 1.0, 2 / 3]
+    table = spark.createDataFrame([("all", f"s{i}", 1, "t", 1, v, 1, v, [("t", 1)]) for i, v in enumerate(values)], "direction string, src string, total long, top_tgt string, top_count long, top_share double, num_tgts long, entropy double, topk array<struct<tgt:string,count:long>>")
+    got = {r.src: (r.top_share, r.entropy) for r in csv_columns(table).collect()}
+    want = duckdb.sql(f"select printf('%.6f', unnest({values}::double[]))").fetchall()
+    assert [got[f"s{i}"] for i in range(len(values))] == [(w, w) for w, in want] and got["s0"][0] == "0.007812"
+
+
+def test_searched_words_may_have_letters_without_capitals(spark, tmp_path):
+    """The query in capitals against its SQL."""
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", f"Groß{c % 2} Straße ist da {c}" if t % 2 == 0 else f"Ja {c} gut") for c in range(4) for t in range(2)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    want = con.execute(registry.ORACLES["qry2_indexed_search"]).fetchall()
+    assert want and sorted(tuple(r) for r in registry.QUERIES["qry2_indexed_search"](spark, str(tmp_path)).select("id", "project_id", "row_id").collect()) == sorted(want)
