@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import detokenise, occurrence_spans, tokenise, tokens
+from ..scratch import spread
 from .hidden import visible
 from .phrases import PAIR
 
@@ -96,8 +97,9 @@ def delete_rows(bitext: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def linked_words(bitext: DataFrame) -> DataFrame:
-    """Per row and source position the words it is linked to, in order of their positions."""
-    links = bitext.select("row_id", "src", "tgt", F.explode(F.array_sort(F.array_distinct("points"))).alias("p"))
+    """Per row and source position the words it is linked to, in order of their positions. Rows are dealt before they are
+    expanded: the grouping then moves nothing."""
+    links = spread(bitext.select("row_id", "src", "tgt", "points"), "row_id").select("row_id", "src", "tgt", F.explode(F.array_sort(F.array_distinct("points"))).alias("p"))
     inside = links.where("p.s < size(src) and p.t < size(tgt)")
     word = F.struct(F.col("p.t").alias("t"), F.get("tgt", F.col("p.t")).alias("w"))
     return inside.groupBy("row_id", F.col("p.s").alias("s"), F.get("src", F.col("p.s")).alias("word")).agg(

@@ -35,7 +35,8 @@ def match_fix(bitext: DataFrame, occ: DataFrame, fixes: DataFrame, index: DataFr
     """``fix_id, project_id, row_id``: rows of a fix's phrase pair; for fixes without occurrences, rows
     that hold both phrases as whole tokens, found by the rarest token of both (``index`` is the corpus' token index, built
     here if it is not given)."""
-    fixes = tokenised(fixes)
+    # Tokenising is a loop a text: written, as it is read three times.
+    fixes = written(tokenised(fixes).select("id", "project_id", *TEXTS), "fix-tokens")
     known = fixes.join(occ.select("project_id", "row_id", *PAIR).distinct(), ["project_id", *PAIR]).select(F.col("id").alias("fix_id"), *ROW)
     known = written(known, "fix-known")
     rest = fixes.join(known.select(F.col("fix_id").alias("id")).distinct(), "id", "left_anti")
@@ -113,7 +114,8 @@ def augment(bitext: DataFrame, matches: DataFrame, fixes: DataFrame) -> DataFram
     rows = numbered(rows, ["project_id", "fix_id", "row_id"], "_k")
     firsts = rows.groupBy("project_id").agg(F.min("_k").alias("_first"))  # one row a project
     last = bitext.groupBy("project_id").agg(F.max("row_id").alias("_last"))
-    new = rows.join(firsts.join(last, "project_id"), "project_id")
+    # Broadcast: joined by their project, all rows of one would meet in one task.
+    new = rows.join(F.broadcast(firsts.join(last, "project_id")), "project_id")
     new = new.withColumns({"row_id": (F.col("_last") + F.col("_k") - F.col("_first") + 1).cast("long"), "score": F.lit(0.0)})
     return new.select(bitext.columns)
 
@@ -162,7 +164,8 @@ class Applied(NamedTuple):
 
 def apply_changes(bitext: DataFrame, occ: DataFrame, fixes: DataFrame) -> DataFrame:
     """Augment, then the forward and the reverse pass over the same matches."""
-    matches = sample_rows(match_fix(bitext, occ, fixes), fixes)
+    # Read by the augmentation and both passes.
+    matches = written(sample_rows(match_fix(bitext, occ, fixes), fixes), "fix-matches")
     aug = fixes.where("type = 'augment'")
     fix = fixes.where("coalesce(type, 'fix') = 'fix'")
     of = lambda f: matches.join(f.select(F.col("id").alias("fix_id")), "fix_id", "left_semi")

@@ -176,7 +176,8 @@ def dense_rows(bitext: DataFrame) -> DataFrame:
     """Row ids from 0 without gaps in each project, in the order of the old ones."""
     rows = written(numbered(bitext, ["project_id", "row_id"], "_n"), "dense-rows")
     firsts = rows.groupBy("project_id").agg(F.min("_n").alias("_first"))  # one row a project
-    return rows.join(firsts, "project_id").withColumn("row_id", F.col("_n") - F.col("_first")).select(*bitext.columns)
+    # Broadcast: joined by their project, all rows of one would meet in one task.
+    return rows.join(F.broadcast(firsts), "project_id").withColumn("row_id", F.col("_n") - F.col("_first")).select(*bitext.columns)
 
 
 def save_bitext(bitext: DataFrame, path: str) -> None:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from duotext.functions import points as P
 from duotext.operators import fixes as fx
 from duotext.operators import phrases as ph
+from duotext.operators.browse import linked_words
 from duotext.operators.hidden import hide
 from duotext.operators.index import find_phrases, search_indexed, token_index
 from duotext.operators.numbering import numbered
@@ -22,6 +23,7 @@ from duotext.operators.tables import percent_text, phrase_table
 from duotext.plans import registry
 from duotext.sources.readers import read_fixes
 from duotext.sources.writers import csv_columns, dense_rows, write_fixes
+from duotext.streaming.counts import stream_phrase_counts
 
 
 def plan_of(df) -> str:
@@ -147,3 +149,29 @@ def test_searched_words_may_have_letters_without_capitals(spark, tmp_path):
     con.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
     want = con.execute(registry.ORACLES["qry2_indexed_search"]).fetchall()
     assert want and sorted(tuple(r) for r in registry.QUERIES["qry2_indexed_search"](spark, str(tmp_path)).select("id", "project_id", "row_id").collect()) == sorted(want)
+
+
+def test_a_project_is_no_task_of_its_own(spark):
+    """Numbers of a project's first row are broadcast, and a streamed batch of one file is dealt out before extraction."""
+    df = spark.range(90).selectExpr("id % 3 as project_id", "id as row_id", "array('a') as src", "array('b') as tgt", "array(named_struct('s', 0, 't', 0)) as points")
+    dense = dense_rows(df)
+    assert "BroadcastHashJoin" in plan_of(dense) and "SortMergeJoin" not in plan_of(dense)
+    assert sorted((r.project_id, r.row_id) for r in dense.collect()) == [(p, i) for p in range(3) for i in range(30)]
+    counts = plan_of(stream_phrase_counts(df.coalesce(1)))
+    assert "hashpartitioning(row_id" in counts
+    words = linked_words(df)
+    assert plan_of(words).split("== Physical Plan ==")[-1].count("Exchange") == 1 and words.count() == 90
+
+
+def test_extraction_is_done_once_for_fixes(spark, tmp_path, monkeypatch):
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", f"one two {c % 2}") for c in range(8) for t in range(2)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    for name in ("fix1_match", "fix2_sample", "phr6_drop_ignored", "fix7_augment"):
+        made = registry.QUERIES[name](spark, str(tmp_path))
+        assert "array_sort(transform(points" not in plan_of(made)  # the index of links, with which extraction begins
+        cols = made.columns
+        cur = con.execute(registry.ORACLES[name])
+        names = [x[0] for x in cur.description]
+        assert sorted(tuple(r) for r in made.collect()) == sorted(tuple(r[names.index(c)] for c in cols) for r in cur.fetchall())
