@@ -1,15 +1,23 @@
 """Phrase extraction: narrow per row, then one aggregate over pairs.
 
-Spans are made, projected and checked inside each row. Rows are dealt out once before, as a small file
-would be one task; the only large shuffle is the grouping of pairs, combined before it.
+Spans are made, projected and checked inside each row: by an Arrow function for many rows at once, as nested lambdas
+cost many times what is done in them. Rows are dealt out once before, as a small file would be one task; the only large shuffle is
+the grouping of pairs, combined before it.
 """
 
 from __future__ import annotations
 
+import functools
+import operator
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import detokenise, strip_markers
+from ..functions.text import BLANK, NO_BLANK, detokenise, strip_markers
 from ..scratch import spread
 
 PAIR = ["src_phrase", "tgt_phrase"]
@@ -81,50 +89,141 @@ def valid_phrase(col: Column, rule: str = "edge") -> Column:
     return col.rlike(r"[^\p{Punct}\s]")
 
 
-def _pass(r: Column, side: str, other: str, min_len: int, max_len: int, rule: str) -> Column:
-    """``array<struct<a0, a1, b0, b1, a, b, both>>``: the spans ``a0..a1`` of a side with the outermost links ``b0..b1`` on the
-    other, their texts ``a, b``, and whether these lead back to exactly the span. ``r`` is the row with its index."""
-    t, s = ("t", "s") if side == "src" else ("s", "t")
-
-    def projected(x: Column) -> Column:
-        lo, hi = x["a0"], x["a1"]
-        return F.struct(lo.alias("a0"), hi.alias("a1"), F.array_min(within(r[f"{t}_low"], lo, hi)).alias("b0"), F.array_max(within(r[f"{t}_high"], lo, hi)).alias("b1"))
-
-    def phrase(x: Column) -> Column:
-        a0, a1, b0, b1 = (x[c] for c in ("a0", "a1", "b0", "b1"))
-        both = (F.array_min(within(r[f"{s}_low"], b0, b1)) == a0) & (F.array_max(within(r[f"{s}_high"], b0, b1)) == a1)
-        return F.struct(a0.alias("a0"), a1.alias("a1"), b0.alias("b0"), b1.alias("b1"), phrase_text(r[side], a0, a1).alias("a"), phrase_text(r[other], b0, b1).alias("b"), both.alias("both"))
-
-    spans = F.filter(F.transform(spans_of(r[side], min_len, max_len), projected), lambda x: x["b0"].isNotNull())
-    return F.filter(F.transform(spans, phrase), lambda x: valid_phrase(x["a"], rule) & valid_phrase(x["b"], rule))
+def _stripped(col: Column) -> Column:
+    """:func:`strip_markers` where there may be something to strip: a marker at an end, or before a last line break."""
+    ends = [f(F.lit(marker)) for marker in (NO_BLANK, BLANK) for f in (col.startswith, col.endswith)]
+    return F.when(functools.reduce(operator.or_, ends) | F.right(col, F.lit(1)).isin(*"\n\r\x85\u2028\u2029"), strip_markers(col)).otherwise(col)
+
+
+class _Side:
+    """A side of a batch of rows, flat: its words, and the least and the greatest position on the other side that each position is
+    linked to. Positions that only links have, behind a row's last word, hold no word."""
+
+    def __init__(self, words: pa.ListArray, row: np.ndarray, at: np.ndarray, to: np.ndarray):
+        self.n = np.asarray(pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False), np.int64)
+        self.words, self.word_from = words.flatten().to_pylist(), np.cumsum(self.n) - self.n
+        size = self.n.copy()
+        np.maximum.at(size, row, at + 1)
+        self.begin = np.cumsum(size) - size
+        self.low, self.high = np.full(int(size.sum()), _NOWHERE), np.full(int(size.sum()), -1)
+        np.minimum.at(self.low, self.begin[row] + at, to)
+        np.maximum.at(self.high, self.begin[row] + at, to)
+
+    def text(self, row: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> list[str]:
+        begin = self.word_from[row]
+        ends = zip((begin + np.minimum(lo, self.n[row])).tolist(), (begin + np.minimum(hi + 1, self.n[row])).tolist(), strict=True)
+        return [" ".join([w for w in self.words[a:b] if w is not None]) for a, b in ends]
+
+
+_NOWHERE = 1 << 40
+
+
+def _outermost(low: np.ndarray, high: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least of ``low`` and the greatest of ``high`` from each ``lo`` to its ``hi``: of two runs of a power of two that cover them."""
+    least, most = np.empty(len(lo), np.int64), np.empty(len(lo), np.int64)
+    level, width = np.frexp((hi - lo + 1).astype(float))[1] - 1, 1
+    for k in range(int(level.max(initial=-1)) + 1):
+        mine = np.flatnonzero(level == k)
+        a, b = lo[mine], hi[mine] - width + 1
+        least[mine], most[mine] = np.minimum(low[a], low[b]), np.maximum(high[a], high[b])
+        low, high = np.minimum(low[:-width], low[width:]), np.maximum(high[:-width], high[width:])
+        width *= 2
+    return least, most
+
+
+def _spans(side: _Side, other: _Side, min_len: int, max_len: int) -> tuple[np.ndarray, ...]:
+    """``row, a0, b0, b1, a1, both`` of the spans ``a0..a1`` of a side with links: the outermost of these on the other, and whether they
+    lead back to exactly the span."""
+    row_of = np.repeat(np.arange(len(side.n)), side.n)
+    a = np.arange(len(row_of)) - side.word_from[row_of]
+    at, found = side.begin[row_of] + a, []
+    low, high = side.low[at], side.high[at]
+    for k in range(1, max_len + 1):
+        if k > 1:
+            # Spans that go on in their row take the next position.
+            on = a + k <= side.n[row_of]
+            row_of, a, at = row_of[on], a[on], at[on]
+            low, high = np.minimum(low[on], side.low[at + k - 1]), np.maximum(high[on], side.high[at + k - 1])
+        if k >= min_len:
+            held = high >= 0
+            found.append((row_of[held], a[held], low[held], high[held], a[held] + k - 1))
+    row, a0, b0, b1, a1 = (np.concatenate(x) for x in zip(*found, strict=True))
+    least, most = _outermost(other.low, other.high, other.begin[row] + b0, other.begin[row] + b1)
+    return row, a0, b0, b1, a1, (least == a0) & (most == a1)
+
+
+#: Rows that a task looks at together.
+TOGETHER = 1024
+
+
+def _found(min_len: int, max_len: int, consistent_only: bool, by_row: bool):
+    """Spans of both passes with their texts on both sides: a row each, or all of a row as one array."""
+
+    def of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        points = batch.column("points")
+        links, row = points.flatten(), np.repeat(np.arange(batch.num_rows), pc.fill_null(pc.list_value_length(points), 0).to_numpy(zero_copy_only=False))
+        s, t = (np.asarray(pc.fill_null(links.field(c), -1).to_numpy(zero_copy_only=False), np.int64) for c in "st")
+        ok = (s >= 0) & (t >= 0)
+        row, s, t = row[ok], s[ok], t[ok]
+        src, tgt = _Side(batch.column("src"), row, s, t), _Side(batch.column("tgt"), row, t, s)
+        parts = []
+        for back in (False, True):
+            row, a0, b0, b1, a1, both = _spans(*((tgt, src) if back else (src, tgt)), min_len, max_len)
+            keep = both if consistent_only else np.ones(len(row), bool)
+            row, a0, b0, b1, a1, both = (x[keep] for x in (row, a0, b0, b1, a1, both))
+            (s0, s1), (t0, t1) = ((b0, b1), (a0, a1)) if back else ((a0, a1), (b0, b1))
+            parts.append((row, s0, s1, t0, t1, np.full(len(row), back), both))
+        row, s0, s1, t0, t1, back, both = (np.concatenate(x) for x in zip(*parts, strict=True))
+        if by_row:
+            order = np.argsort(row, kind="stable")
+            row, s0, s1, t0, t1 = (x[order] for x in (row, s0, s1, t0, t1))
+        pair = [pa.array(src.text(row, s0, s1), pa.string()), pa.array(tgt.text(row, t0, t1), pa.string())]
+        if by_row:
+            offsets = np.searchsorted(row, np.arange(batch.num_rows + 1))
+            return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(pair, PAIR))], ["pairs"])
+        rest = [pa.array(back), pa.array(both), pa.array(s0, pa.int32()), pa.array(t0, pa.int32())]
+        return pa.RecordBatch.from_arrays([batch.column("row_id").take(pa.array(row)), *pair, *rest], ["row_id", *PAIR, "back", "both", "s_start", "t_start"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, TOGETHER):
+                yield of(batch.slice(a, TOGETHER))
+
+    return run
 
 
 _KEEP = ["row_id", *PAIR, "direction", "s_start", "t_start"]
 
 
-def _emitted(df: DataFrame, min_len: int, max_len: int, rule: str, ahead, back) -> DataFrame:
-    """Both passes over the rows: from one index, and inside the row, so that only phrases are expanded. ``ahead`` and
-    ``back`` give the direction of a phrase of their pass, null for one that is not emitted."""
+def _emitted(df: DataFrame, min_len: int, max_len: int, rule: str, ahead, back, consistent_only: bool) -> DataFrame:
+    """Both passes over the rows, from one index of their links. ``ahead`` and ``back`` give the direction of a phrase of their
+    pass, null for one that is not emitted."""
+    rows = spread(df.select("row_id", "src", "tgt", "points"), "row_id")
+    schema = f"row_id {dict(rows.dtypes)['row_id']}, src_phrase string, tgt_phrase string, back boolean, both boolean, s_start int, t_start int"
+    found = rows.mapInArrow(_found(min_len, max_len, consistent_only, False), schema)
+    direction = F.when(F.col("back"), back(F.col("both"))).otherwise(ahead(F.col("both")))
+    found = found.withColumns({**{c: _stripped(F.col(c)) for c in PAIR}, "direction": direction})
+    return found.where(F.col("direction").isNotNull() & valid_phrase(F.col("src_phrase"), rule) & valid_phrase(F.col("tgt_phrase"), rule)).select(_KEEP)
 
-    def found(r: Column) -> Column:
-        a = F.transform(_pass(r, "src", "tgt", min_len, max_len, rule), lambda x: F.struct(x["a"].alias("src_phrase"), x["b"].alias("tgt_phrase"), ahead(x["both"]).alias("direction"), x["a0"].alias("s_start"), x["b0"].alias("t_start")))
-        b = F.transform(_pass(r, "tgt", "src", min_len, max_len, rule), lambda x: F.struct(x["b"].alias("src_phrase"), x["a"].alias("tgt_phrase"), back(x["both"]).alias("direction"), x["b0"].alias("s_start"), x["a0"].alias("t_start")))
-        return F.filter(F.concat(a, b), lambda x: x["direction"].isNotNull())
 
-    rows = indexed(spread(df.select("row_id", "src", "tgt", "points"), "row_id"))
-    bound = F.array(F.struct("src", "tgt", "t_low", "t_high", "s_low", "s_high"))
-    return rows.select("row_id", F.explode(F.get(F.transform(bound, found), F.lit(0))).alias("x")).select("row_id", "x.*").select(_KEEP)
+def row_phrases(df: DataFrame, min_len: int = 1, max_len: int = 3, rule: str = "edge") -> DataFrame:
+    """``src_phrase, tgt_phrase``: the consistent pairs of both passes, once a row."""
+    rows = spread(df.select("row_id", "src", "tgt", "points"), "row_id")
+    found = rows.mapInArrow(_found(min_len, max_len, True, True), "pairs array<struct<src_phrase:string,tgt_phrase:string>>")
+    stripped = F.transform("pairs", lambda x: F.struct(*[_stripped(x[c]).alias(c) for c in PAIR]))
+    valid = F.filter(stripped, lambda x: valid_phrase(x["src_phrase"], rule) & valid_phrase(x["tgt_phrase"], rule))
+    return found.select(F.explode(F.array_distinct(valid)).alias("p")).select("p.*")
 
 
 def extract_phrases(df: DataFrame, min_len: int = 1, max_len: int = 3, rule: str = "edge") -> DataFrame:
     """Consistent pairs of both passes: ``row_id, src_phrase, tgt_phrase, direction, s_start, t_start``;
     direction 0 in the forward pass, -1 in the reverse pass."""
-    return _emitted(df, min_len, max_len, rule, lambda both: F.when(both, 0), lambda both: F.when(both, -1))
+    return _emitted(df, min_len, max_len, rule, lambda both: F.when(both, 0), lambda both: F.when(both, -1), True)
 
 
 def extract_directed(df: DataFrame, min_len: int = 1, max_len: int = 3, rule: str = "not_only") -> DataFrame:
     """Inconsistent spans too: forward ones get direction 1, reverse ones -1, consistent ones 0 once."""
-    return _emitted(df, min_len, max_len, rule, lambda both: F.when(both, 0).otherwise(1), lambda both: F.when(~both, -1))
+    return _emitted(df, min_len, max_len, rule, lambda both: F.when(both, 0).otherwise(1), lambda both: F.when(~both, -1), False)
 
 
 def drop_ignored(occ: DataFrame, hidden: DataFrame) -> DataFrame:

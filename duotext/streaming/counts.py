@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip_markers
 from ..operators.em import force_align
-from ..operators.phrases import PAIR, cap_phrases, indexed, spans_of, valid_phrase, within
-from ..scratch import spread
+from ..operators.phrases import PAIR, cap_phrases, row_phrases, spans_of, valid_phrase, within
 
 
 def row_pairs(min_len: int = 1, max_len: int = 3, rule: str = "edge") -> Column:
@@ -38,8 +37,7 @@ def stream_phrase_counts(rows: DataFrame, **extraction) -> DataFrame:
     """Running number of rows per pair, for update or complete mode. Pairs are distinct inside their row
     before they are counted, so the state is one counter a pair (use the RocksDB state store);
     there is no event time, hence no watermark. A batch of one small file would be one task, so its rows are dealt out first."""
-    pairs = indexed(spread(rows, "row_id")).select(F.explode(row_pairs(**extraction)).alias("p")).select("p.*")
-    return pairs.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("num_occurrences"))
+    return row_phrases(rows, **extraction).groupBy(*PAIR).agg(F.count(F.lit(1)).alias("num_occurrences"))
 
 
 def merged_counts(running: DataFrame | None, batch: DataFrame, max_phrases: int) -> DataFrame:

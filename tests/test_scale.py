@@ -175,3 +175,40 @@ def test_extraction_is_done_once_for_fixes(spark, tmp_path, monkeypatch):
         cur = con.execute(registry.ORACLES[name])
         names = [x[0] for x in cur.description]
         assert sorted(tuple(r) for r in made.collect()) == sorted(tuple(r[names.index(c)] for c in cols) for r in cur.fetchall())
+
+
+def test_extraction_of_many_rows_at_once_is_that_of_each_row(spark):
+    # Nested lambdas took each row by itself; flat arrays must keep rows apart, also where links lead behind the last word.
+    rng = random.Random(12)
+    rows = [(0, [], [], []), (1, ["a"], ["b"], [(0, 0), (5, 0), (0, 7)]), (2, ["#NB", "x", "#NB"], ["y"], [(0, 0), (1, 0), (2, 0)]), (3, ["a", "b"], ["c"], [])]
+    for i in range(4, 40):
+        n, m = rng.randrange(1, 9), rng.randrange(1, 9)
+        words = lambda k: [rng.choice(["u", "v", "w", "#NB", ",", "#BLANK"]) for _ in range(k)]
+        rows.append((i, words(n), words(m), [(rng.randrange(n), rng.randrange(m)) for _ in range(rng.randrange(8))]))
+    df = spark.createDataFrame([(i, s, t, [{"s": a, "t": b} for a, b in p]) for i, s, t, p in rows], "row_id long, src array<string>, tgt array<string>, points array<struct<s:int,t:int>>")
+
+    def strip(words):
+        while words and words[0] in ("#NB", "#BLANK"):
+            words = words[1:]
+        while words and words[-1] in ("#NB", "#BLANK"):
+            words = words[:-1]
+        return " ".join(words)
+
+    ok = lambda x: x != "" and not {x[0], x[-1]} & set("#,")
+    want = []
+    for i, src, tgt, links in rows:
+        for back in (False, True):
+            mine, other, at = (tgt, src, [(t, s) for s, t in links]) if back else (src, tgt, links)
+            for k in (1, 2, 3):
+                for a in range(len(mine) - k + 1):
+                    to = [y for x, y in at if a <= x < a + k]
+                    if to:
+                        b0, b1 = min(to), max(to)
+                        home = [x for x, y in at if b0 <= y <= b1]
+                        x, y = strip(mine[a : a + k]), strip(other[b0 : b1 + 1])
+                        if min(home) == a and max(home) == a + k - 1 and ok(x) and ok(y):
+                            want.append((i, y, x, -1, b0, a) if back else (i, x, y, 0, a, b0))
+    assert sorted(tuple(r) for r in ph.extract_phrases(df.repartition(3)).collect()) == sorted(want)
+    pairs = sorted({r[:3] for r in want})
+    assert sorted((r.src_phrase, r.tgt_phrase) for r in ph.row_phrases(df).collect()) == sorted(r[1:] for r in pairs)
+    assert "lambda" not in ph.extract_phrases(df)._jdf.queryExecution().executedPlan().toString()
