@@ -230,5 +230,5 @@ def _(spark, d):
     df.write.parquet(f"{path}/in")
     rows = spark.readStream.schema(df.schema).parquet(f"{path}/in")
     sink = lambda batch, i: batch.select("row_id", "points", "log_prob").write.mode("append").parquet(f"{path}/out")
-    stream_force_align(rows, em.train_ttable(df, iterations=3), 1.0, sink, f"{path}/state").awaitTermination()
+    stream_force_align(rows, em.train_model(df, iterations=3), 1.0, sink, f"{path}/state").awaitTermination()
     return spark.read.parquet(f"{path}/out").select("row_id", format_points("points").alias("points"), F.round("log_prob", 5).alias("log_prob"))

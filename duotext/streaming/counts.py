@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import strip_markers
 from ..operators.em import force_align
 from ..operators.phrases import PAIR, cap_phrases, row_phrases, spans_of, valid_phrase, within
+from ..operators.sliced import Model
 
 
 def row_pairs(min_len: int = 1, max_len: int = 3, rule: str = "edge") -> Column:
@@ -60,8 +61,8 @@ def stream_capped_counts(rows: DataFrame, path: str, checkpoint: str, max_phrase
     return rows.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stream_force_align(rows: DataFrame, ttable: DataFrame, mean_ratio: float, sink, checkpoint: str, tension: float = 4.0):
-    """Align each micro-batch with a saved table; ``sink(batch, batch_id)`` gets the aligned rows."""
+def stream_force_align(rows: DataFrame, ttable: DataFrame | Model, mean_ratio: float, sink, checkpoint: str, tension: float = 4.0):
+    """Align each micro-batch with a saved table or a model; ``sink(batch, batch_id)`` gets the aligned rows."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
         sink(force_align(batch, ttable, mean_ratio, tension), batch_id)
